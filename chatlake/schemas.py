@@ -3,8 +3,15 @@
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "binary": T.BinaryType(),
+    "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "double": T.DoubleType(),
+}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    pairs = (field.split() for field in spec.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 # Source side.
@@ -41,11 +48,13 @@ SYNC_PROGRESS = _schema(
 REQUEST = _schema("chat_id bigint, user_id string, contents string")
 RESPONSE = _schema("response_1 string, response_2 string, response_3 string")
 HISTORY_LINE = _schema("contents string, is_from_me boolean, created_at string")
-PROMPT = _schema(
-    "system_prompt string, user_prompt string, "
-    "chat_history array<struct<contents:string,is_from_me:boolean,created_at:string>>, "
-    "new_message struct<contents:string,created_at:string>"
-)
+NEW_MESSAGE = _schema("contents string, created_at string")
+PROMPT = T.StructType([
+    T.StructField("system_prompt", T.StringType()),
+    T.StructField("user_prompt", T.StringType()),
+    T.StructField("chat_history", T.ArrayType(HISTORY_LINE)),
+    T.StructField("new_message", NEW_MESSAGE),
+])
 BOUNDARIES = T.ArrayType(
     _schema("after_message_index bigint, reason string, confidence double")
 )

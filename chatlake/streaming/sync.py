@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from chatlake import schemas
@@ -39,8 +39,8 @@ class SyncTarget:
         schema = self.tables[table]
         if not _exists(spark, self.path(table)):
             return spark.createDataFrame([], schema)
-        partitioned = schemas.T.StructType([f for f in schema.fields if f.name != "batch_id"])
-        partitioned = partitioned.add("batch_id", "bigint")
+        stored = [f for f in schema.fields if f.name != "batch_id"]
+        partitioned = T.StructType(stored).add("batch_id", T.LongType())
         rows = spark.read.schema(partitioned).parquet(self.path(table))
         if before_batch is not None:
             rows = rows.where(F.col("batch_id") < before_batch)
