@@ -12,9 +12,9 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from chatlake.functions.text import not_blank, strip
+from chatlake.functions.text import not_blank, prefer_text, strip
 
 # Fixed values of the body formats.
 STREAM_HEADER = b"\x04\x0bstreamtyped"
@@ -106,25 +106,45 @@ def _body_text_batch(bodies: pd.Series) -> pd.Series:
     return bodies.map(body_text, na_action="ignore")
 
 
-def marked_text(body: Column) -> Column:
-    """Text behind the fixed marker by built-in expressions, NULL when not that simple."""
-    latin = F.decode(body, "ISO-8859-1")
-    name = F.instr(latin, STRING_CLASS.decode())
-    marker = F.call_function("locate", F.lit(TEXT_MARKER.decode("latin-1")), latin, name + len(STRING_CLASS))
-    at = marker + len(TEXT_MARKER)
+# Keeps the optimizer from copying the call into filters above it.
+_body_text_once = _body_text_batch.asNondeterministic()
+
+
+def with_marked_text(df: DataFrame, body: str, name: str) -> DataFrame:
+    """Add the text behind the fixed marker, by built-in expressions; NULL when not that simple.
+
+    The steps are columns of their own so that no long expression is repeated.
+    """
+    latin, at, raw = F.col("_latin"), F.col("_at"), F.col("_raw")
+    after_name = F.instr(latin, STRING_CLASS.decode()) + len(STRING_CLASS)
+    marker = F.call_function("locate", F.lit(TEXT_MARKER.decode("latin-1")), latin, after_name)
+    # The header ends before the name, so a name found at 0 or a marker at 0 means "none".
+    is_stream = latin.startswith(STREAM_HEADER.decode("latin-1")) & (F.instr(latin, STRING_CLASS.decode()) > 0)
     size = F.ascii(F.substr(latin, at, F.lit(1)))
-    framed = (
-        latin.startswith(STREAM_HEADER.decode("latin-1")) & (name > 0) & (marker > 0)
-        & (size > 0) & (at + size <= F.length(body))
+    framed = (at > len(TEXT_MARKER)) & (size > 0) & (at + size <= F.length(latin))
+    text = F.try_validate_utf8(F.substr(F.col(body), at + 1, size).cast("string"))
+    readable = not_blank(raw) & ~raw.rlike(r"[\p{C}\p{Zl}\p{Zp}]|[\p{Zs}&&[^ ]]")
+    return (
+        df.withColumn("_latin", F.decode(F.col(body), "ISO-8859-1"))
+        .withColumn("_at", F.when(is_stream, marker + len(TEXT_MARKER)))
+        .withColumn("_raw", F.when(framed, text))
+        .withColumn(name, F.when(readable, strip(raw)))
+        .drop("_latin", "_at", "_raw")
     )
-    text = F.try_validate_utf8(F.substr(body, at + 1, size).cast("string"))
-    unprintable = text.rlike(r"[\p{C}\p{Zl}\p{Zp}]|[\p{Zs}&&[^ ]]")
-    return F.when(framed & not_blank(text) & ~unprintable, strip(text))
 
 
-def decode_body(body: Column) -> Column:
-    quick = marked_text(body)
-    return F.coalesce(quick, _body_text_batch(F.when(quick.isNull(), body)))
+def with_decoded(df: DataFrame, body: Column, name: str = "decoded") -> DataFrame:
+    """Add the text of ``body``; only what built-in expressions cannot read reaches Python."""
+    quick = with_marked_text(df.withColumn("_body", body), "_body", "_quick")
+    rest = quick.withColumn("_slow", _body_text_once(F.when(F.col("_quick").isNull(), F.col("_body"))))
+    return rest.withColumn(name, F.coalesce("_quick", "_slow")).drop("_body", "_quick", "_slow")
+
+
+def with_best_text(df: DataFrame, name: str) -> DataFrame:
+    """Add the stripped ``text`` of a source row, else the text of its body, else NULL."""
+    blank = ~not_blank(F.col("text"))
+    decoded = with_decoded(df, F.when(blank, F.col("attributed_body")), "_decoded")
+    return decoded.withColumn(name, prefer_text(F.col("text"), F.col("_decoded"))).drop("_decoded")
 
 
 def encode_body(text: Column) -> Column:

@@ -7,48 +7,50 @@ from pyspark.sql import Column, functions as F
 from chatlake.functions.text import present, strip
 
 
-def digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+# Ten digits with anything between them, after an optional leading US country code.
+# One pattern per value keeps plans small: nothing below repeats its argument often.
+TEN_DIGITS = r"^[^0-9]*(?:1[^0-9]*)?" + r"([0-9])[^0-9]*" * 10 + "$"
+
+
+def _spelled(value: Column, template: str) -> Column:
+    """The ten digits written into ``template`` (one ``#`` each); other values unchanged."""
+    for group in range(1, 11):
+        template = template.replace("#", f"${group}", 1)
+    return F.regexp_replace(value, TEN_DIGITS, template)
+
+
+def _has_ten(value: Column) -> Column:
+    return value.rlike(TEN_DIGITS)
 
 
 def phone_digits(value: Column) -> Column:
     """Digits without a leading US country code; '' for a missing value."""
-    d = digits(F.coalesce(value, F.lit("")))
-    return F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
+    digits = F.regexp_replace(F.coalesce(value, F.lit("")), "[^0-9]", "")
+    return F.regexp_replace(digits, "^1([0-9]{10})$", "$1")
 
 
 def phone_from_handle(value: Column) -> Column:
     """The ten national digits, or NULL when there are not exactly ten."""
-    d = phone_digits(value)
-    return F.when(F.length(d) == 10, d)
-
-
-def _spelled(d: Column, opening: str, after_area: str, after_exchange: str) -> Column:
-    return F.concat(
-        F.lit(opening), F.substring(d, 1, 3), F.lit(after_area), F.substring(d, 4, 3),
-        F.lit(after_exchange), F.substring(d, 7, 4),
-    )
+    return F.when(_has_ten(value), _spelled(value, "##########"))
 
 
 def normalize_phone(value: Column) -> Column:
     """``(AAA) BBB-CCCC`` for ten national digits, else the value as it came."""
-    d = phone_from_handle(value)
-    return F.when(d.isNotNull(), _spelled(d, "(", ") ", "-")).otherwise(F.coalesce(value, F.lit("")))
+    return F.coalesce(_spelled(value, "(###) ###-####"), F.lit(""))
+
+
+# The spellings under which a ten-digit number may be stored.
+PHONE_SPELLINGS = (
+    "##########", "(###) ###-####", "###-###-####", "###.###.####", "+1##########", "1##########",
+)
 
 
 def phone_formats(value: Column) -> Column:
-    """Every spelling under which a phone number may be stored."""
-    d = phone_from_handle(value)
+    """Every spelling of a phone number; one that has no ten digits stands for itself."""
     return (
-        F.when(~present(value), F.array().cast("array<string>"))
-        .when(
-            d.isNotNull(),
-            F.array(
-                d, _spelled(d, "(", ") ", "-"), _spelled(d, "", "-", "-"), _spelled(d, "", ".", "."),
-                F.concat(F.lit("+1"), d), F.concat(F.lit("1"), d),
-            ),
-        )
-        .otherwise(F.array(value))
+        F.when(_has_ten(value), F.array(*[_spelled(value, s) for s in PHONE_SPELLINGS]))
+        .when(present(value), F.array(value))
+        .otherwise(F.array().cast("array<string>"))
     )
 
 
@@ -57,7 +59,7 @@ def has_digit(value: Column) -> Column:
 
 
 def looks_like_phone(value: Column) -> Column:
-    return F.coalesce(F.length(digits(value)) >= 10, F.lit(False))
+    return F.coalesce(value.rlike("(?:[0-9][^0-9]*){10}"), F.lit(False))
 
 
 def looks_like_email(value: Column) -> Column:

@@ -11,7 +11,7 @@ from chatlake.operators.sequences import MAX_GROUP_ROWS, collect_parts, top_n_pe
 
 def chat_users_build(chat_handle_join: DataFrame, users: DataFrame) -> DataFrame:
     """Members of each chat; unmapped handles and handle 0 are dropped."""
-    linked = one_user_per_handle(users.where("handle_id <> 0")).select("handle_id", "user_id")
+    linked = users.where("handle_id <> 0").groupBy("handle_id").agg(F.min("user_id").alias("user_id"))
     return chat_handle_join.join(linked, "handle_id").select("chat_id", "user_id").distinct()
 
 

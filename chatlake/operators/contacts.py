@@ -97,11 +97,21 @@ def last_wins(contacts: DataFrame, key: Column) -> DataFrame:
     return keyed.groupBy("key").agg(latest).select("key", "_latest.first_name", "_latest.last_name")
 
 
-def contact_keys(contacts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lookups by ten-digit phone and by e-mail."""
-    phones = last_wins(contacts, C.phone_from_handle(F.col("phone_number")))
-    emails = last_wins(contacts, C.normalize_email(F.col("email")))
-    return phones, emails
+def _phone_key(phone: Column) -> Column:
+    return F.concat(F.lit("phone:"), phone)
+
+
+def _email_key(email: Column) -> Column:
+    return F.concat(F.lit("email:"), email)
+
+
+def contact_keys(contacts: DataFrame) -> DataFrame:
+    """Names by ten-digit phone and by e-mail, in one lookup with prefixed keys."""
+    email = C.normalize_email(F.col("email"))
+    keys = F.array(_phone_key(C.phone_from_handle(F.col("phone_number"))),
+                   _email_key(F.when(present(email), email)))
+    keyed = contacts.select("first_name", "last_name", "load_order", F.explode(keys).alias("_key"))
+    return last_wins(keyed, F.col("_key"))
 
 
 def handle_user_id(handle_id: Column) -> Column:
@@ -115,31 +125,33 @@ def resolve_handles(handle: DataFrame, contacts: DataFrame, existing: DataFrame
     Order of preference: a user that already has the handle, a contact with that
     phone, a contact with that e-mail, a user made of the handle alone.
     """
-    phones, emails = contact_keys(contacts)
+    lookup = contact_keys(contacts)
     value = F.col("id")
-    by_phone = phones.select(F.col("key").alias("_pk"), F.struct("first_name", "last_name").alias("_by_phone"))
-    by_email = emails.select(F.col("key").alias("_ek"), F.struct("first_name", "last_name").alias("_by_email"))
+    # Both joins read the same lookup, so it is computed and exchanged once.
+    by_phone = lookup.select(F.col("key").alias("_pk"), F.struct("first_name", "last_name").alias("_by_phone"))
+    by_email = lookup.select(F.col("key").alias("_ek"), F.struct("first_name", "last_name").alias("_by_email"))
     probes = handle.select("handle_id", "id").where(present(value)).withColumns({
-        "_phone": F.when(C.looks_like_phone(value), C.phone_from_handle(value)),
-        "_email": F.when(C.looks_like_email(value), C.normalize_email(value)),
+        "_is_phone": C.looks_like_phone(value), "_is_email": C.looks_like_email(value),
+    }).withColumns({
+        "_phone": F.when(F.col("_is_phone"), C.phone_from_handle(value)),
+        "_email": F.when(F.col("_is_email"), C.normalize_email(value)),
+    })
+    found = probes.join(by_phone, _phone_key(F.col("_phone")) == F.col("_pk"), "left")
+    found = found.join(by_email, _email_key(F.col("_email")) == F.col("_ek"), "left")
+
+    kind = F.when(F.col("_pk").isNotNull(), "phone").when(F.col("_ek").isNotNull(), "email").otherwise("fallback")
+    # The handle's own value is its phone when it looks like one, or has digits and is no address.
+    as_phone = F.col("_is_phone") | (~F.col("_is_email") & C.has_digit(value))
+    found = found.withColumns({
+        "match_kind": kind, "_contact": F.coalesce("_by_phone", "_by_email"),
+        "_point": F.when(F.col("_pk").isNotNull(), "phone").when(F.col("_ek").isNotNull(), "email")
+        .when(as_phone, "phone").otherwise("email"),
     })
-    found = probes.join(by_phone, F.col("_phone") == F.col("_pk"), "left")
-    found = found.join(by_email, F.col("_email") == F.col("_ek"), "left")
-
-    phone_hit, email_hit = F.col("_by_phone").isNotNull(), F.col("_by_email").isNotNull()
-    kind = F.when(phone_hit, "phone").when(email_hit, "email").otherwise("fallback")
-    contact = F.coalesce("_by_phone", "_by_email")
-    as_phone = C.looks_like_phone(value) | (~C.looks_like_email(value) & C.has_digit(value))
-    own_phone = F.coalesce(F.when(C.looks_like_phone(value), F.col("_phone")), value)
-    phone_number = (
-        F.when(phone_hit, F.col("_phone")).when(email_hit, "").when(as_phone, own_phone).otherwise("")
-    )
-    email = F.when(phone_hit, "").when(email_hit, value).when(as_phone, "").otherwise(value)
     resolved = found.select(
         handle_user_id(F.col("handle_id")).alias("user_id"),
-        F.coalesce(contact["first_name"], F.lit("")).alias("first_name"),
-        F.coalesce(contact["last_name"], F.lit("")).alias("last_name"),
-        phone_number.alias("phone_number"), email.alias("email"), "handle_id", kind.alias("match_kind"),
+        _or_empty("_contact.first_name").alias("first_name"), _or_empty("_contact.last_name").alias("last_name"),
+        F.when(F.col("_point") == "phone", F.coalesce("_phone", value)).otherwise("").alias("phone_number"),
+        F.when(F.col("_point") == "email", value).otherwise("").alias("email"), "handle_id", "match_kind",
     )
     if existing is None:
         return resolved

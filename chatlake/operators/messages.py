@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chatlake.functions.body import decode_body
-from chatlake.functions.text import not_blank, prefer_text
+from chatlake.functions.body import with_best_text
 from chatlake.functions.time import apple_ts
-from chatlake.operators.contacts import contact_lookup, lookup_cascade, one_user_per_handle
+from chatlake.operators.contacts import contact_lookup, lookup_cascade
 from chatlake.operators.lookups import drop_blank, drop_system_rows, has_body, limited, with_handle
 
 MESSAGE_COLUMNS = ["message_id", "user_id", "contents", "is_from_me", "created_at"]
@@ -20,14 +19,9 @@ def message_handle_left(message: DataFrame, handle: DataFrame) -> DataFrame:
     )
 
 
-def recovered_contents() -> Column:
-    """Best text of a source row; a body is decoded only when the text is blank."""
-    text = F.col("text")
-    return prefer_text(text, decode_body(F.when(~not_blank(text), F.col("attributed_body"))))
-
-
 def _with_user(message: DataFrame, users: DataFrame) -> DataFrame:
-    linked = one_user_per_handle(users).select(F.col("handle_id").alias("_h"), F.col("user_id").alias("_user"))
+    linked = users.where("handle_id IS NOT NULL").groupBy(F.col("handle_id").alias("_h")).agg(
+        F.min("user_id").alias("_user"))
     return message.join(linked, message["handle_id"] == linked["_h"], "left")
 
 
@@ -51,13 +45,13 @@ def normalize_messages(message: DataFrame, users: DataFrame, as_of: Column | Non
     """Lake messages of the whole log; rows without a known user keep a placeholder."""
     rows = has_body(message)
     rows = limited(rows.orderBy(F.desc("date"), F.desc("rowid")), limit) if limit else rows
-    rows = drop_blank(rows.withColumn("contents", recovered_contents()))
+    rows = drop_blank(with_best_text(rows, "contents"))
     return map_message_user(rows, users).select(_lake_columns(as_of))
 
 
 def normalize_increment(message: DataFrame, users: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Lake messages of an increment; system rows and rows without a user are dropped."""
-    rows = drop_blank(drop_system_rows(message).withColumn("contents", recovered_contents()))
+    rows = drop_blank(with_best_text(drop_system_rows(message), "contents"))
     known = _with_user(rows, users).where("_user IS NOT NULL").withColumn("user_id", F.col("_user"))
     return known.select(_lake_columns(as_of))
 

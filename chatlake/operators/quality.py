@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chatlake.functions.body import decode_body
+from chatlake.functions.body import with_decoded
 from chatlake.functions.contact import sender_name
 from chatlake.functions.records import violations
 from chatlake.functions.text import not_blank, present, suspicious_text, truncate_ellipsis
@@ -65,8 +65,9 @@ def text_extraction_stats(message: DataFrame) -> DataFrame:
     """Text coverage, and the decode rate over every body that needs decoding."""
     text, body = present(F.col("text")), F.col("attributed_body").isNotNull()
     needs = ~text & body
-    decoded = decode_body(F.when(needs, F.col("attributed_body"))).isNotNull()
-    counts = message.select(text.alias("t"), body.alias("b"), needs.alias("n"), decoded.alias("d")).agg(
+    rows = with_decoded(message.select("text", "attributed_body"), F.when(needs, F.col("attributed_body")))
+    flags = rows.select(text.alias("t"), body.alias("b"), needs.alias("n"), F.col("decoded").isNotNull().alias("d"))
+    counts = flags.agg(
         F.count(F.lit(1)).alias("total_messages"), F.count_if("t").alias("has_text_column"),
         F.count_if(~F.col("t")).alias("null_text_column"), F.count_if("b").alias("has_attributed_body"),
         F.count_if("n").alias("needs_decoding"), F.count_if("d").alias("recoverable_messages"))
@@ -80,8 +81,8 @@ def text_extraction_stats(message: DataFrame) -> DataFrame:
 
 def decode_stats(message: DataFrame) -> DataFrame:
     """Outcome of decoding every body."""
-    decoded = message.where(F.length("attributed_body") > 0).select(
-        decode_body(F.col("attributed_body")).isNotNull().alias("ok"))
+    bodies = message.where(F.length("attributed_body") > 0).select("attributed_body")
+    decoded = with_decoded(bodies, F.col("attributed_body")).select(F.col("decoded").isNotNull().alias("ok"))
     counts = decoded.agg(F.count_if("ok").alias("success_count"), F.count_if(~F.col("ok")).alias("failure_count"),
                          F.count(F.lit(1)).alias("total_attempts"))
     return counts.withColumn("success_rate_percent", percent(F.col("success_count"), F.col("total_attempts")))

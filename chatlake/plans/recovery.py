@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from chatlake.functions.body import decode_body
-from chatlake.functions.text import present, strip
+from chatlake.functions.body import with_decoded
+from chatlake.functions.text import not_blank, present, strip
 from chatlake.operators.quality import recovery_validation, text_extraction_stats
 
 
@@ -21,13 +21,12 @@ def recover_text(message: DataFrame) -> DataFrame:
 
     Running it again changes nothing. Only bodies still to be read reach the decoder.
     """
-    rows = with_extracted_column(message)
     done = present(F.col("extracted_text"))
     wanted = F.when(~present(F.col("text")) & ~done, F.col("attributed_body"))
-    # A text of blanks only is kept as it is; the decoder runs on NULL or ''.
-    found = F.nullif(strip(decode_body(wanted)), F.lit(""))
-    return rows.withColumn("extracted_text", F.when(done, F.col("extracted_text")).otherwise(
-        F.coalesce(found, F.col("extracted_text"))))
+    rows = with_decoded(with_extracted_column(message), wanted)
+    found = F.when(not_blank(F.col("decoded")), strip(F.col("decoded")))
+    kept = F.when(done, F.col("extracted_text")).otherwise(F.coalesce(found, F.col("extracted_text")))
+    return rows.withColumn("extracted_text", kept).drop("decoded")
 
 
 def refresh_report(message: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from chatlake.functions.body import decode_body
-from chatlake.functions.text import not_blank, prefer_text, text_source
+from chatlake.functions.body import with_best_text
+from chatlake.functions.text import not_blank, text_source
 from chatlake.functions.time import apple_ts
 from chatlake.operators.lookups import limited
 
@@ -28,8 +28,7 @@ def scan_messages(message: DataFrame, limit: int | None = None) -> DataFrame:
     """The message log with the best text of each row and where it came from, newest first."""
     text, body = F.col("text"), F.col("attributed_body")
     rows = message if not limit else limited(message.orderBy(F.desc("date"), F.desc("rowid")), limit)
-    rows = rows.withColumn("extracted_text", prefer_text(text, decode_body(F.when(~not_blank(text), body))))
-    return rows.select(
+    return with_best_text(rows, "extracted_text").select(
         "rowid", "guid", "text", "extracted_text", "handle_id", "date", "date_read",
         F.coalesce(F.col("is_from_me") != 0, F.lit(False)).alias("is_from_me"), "service",
         body.isNotNull().alias("has_attributed_body"),

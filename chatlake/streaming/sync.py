@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from chatlake import schemas
-from chatlake.functions.body import decode_body
-from chatlake.functions.text import not_blank, prefer_text
+from chatlake.functions.body import with_best_text
 from chatlake.operators.contacts import resolve_handle_ids
 from chatlake.operators.messages import normalize_increment
 from chatlake.operators.quality import notification_rows
@@ -82,8 +81,7 @@ def sync_batch(batch: DataFrame, batch_id: int, target: SyncTarget, handle: Data
     spark = batch.sparkSession
     mark = max(start_at, high_water_mark(spark, target, batch_id))
     rows = batch.where(F.col("rowid") > mark).dropDuplicates(["rowid"])
-    rows = rows.withColumn("extracted_text", prefer_text(
-        F.col("text"), decode_body(F.when(~not_blank(F.col("text")), F.col("attributed_body")))))
+    rows = with_best_text(rows, "extracted_text")
     rows = rows.persist()
     try:
         read, last = rows.agg(F.count(F.lit(1)), F.max("rowid")).first()

@@ -10,7 +10,7 @@ from chatlake.functions.body import encode_body
 from chatlake.functions.time import to_apple
 from chatlake.operators import chats as CH, contacts as CT, messages as M
 from chatlake.plans.lake import Lake, Sources
-from chatlake.session import tune
+from chatlake.session import scratch_path, tune
 from chatlake.sources import readers as R
 
 AS_OF = "2024-02-01 00:00:00"
@@ -25,14 +25,31 @@ def case(expression: str) -> Column:
     return F.expr(f"CASE {expression} END")
 
 
+# Lake tables written by this application: (application, data folder, table) -> path.
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = tune(spark), sf_dir
+        self._schemas = {}
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        df = self.spark.read.schema(self._schemas[name]).parquet(path)
         return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else c for c, t in df.dtypes])
 
+    def stored(self, name: str, build) -> DataFrame:
+        """A lake table, built whole from the given tables once and read by every query."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            path = scratch_path(self.spark, f"lake-{name}")
+            build().write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
     # Source tables.
 
     @cached_property
@@ -154,11 +171,11 @@ class Inputs:
 
     @cached_property
     def contacts(self) -> DataFrame:
-        return CT.extract_contacts(*self.book)
+        return self.stored("contacts", lambda: CT.extract_contacts(*self.book))
 
     @cached_property
     def users(self) -> DataFrame:
-        return CT.build_users(self.handle, self.contacts)
+        return self.stored("users", lambda: CT.build_users(self.handle, self.contacts))
 
     @cached_property
     def raw_chats(self) -> DataFrame:
@@ -166,7 +183,8 @@ class Inputs:
 
     @cached_property
     def enhanced(self) -> DataFrame:
-        return CH.enhance_display_names(self.raw_chats, self.chat_handle_join, self.handle, self.users)
+        return self.stored("chats", lambda: CH.enhance_display_names(
+            self.raw_chats, self.chat_handle_join, self.handle, self.users))
 
     @cached_property
     def chats(self) -> DataFrame:
@@ -174,15 +192,15 @@ class Inputs:
 
     @cached_property
     def chat_users(self) -> DataFrame:
-        return CH.chat_users_build(self.chat_handle_join, self.users)
+        return self.stored("chat_users", lambda: CH.chat_users_build(self.chat_handle_join, self.users))
 
     @cached_property
     def messages(self) -> DataFrame:
-        return M.normalize_messages(self.message, self.users, as_of())
+        return self.stored("messages", lambda: M.normalize_messages(self.message, self.users, as_of()))
 
     @cached_property
     def chat_messages(self) -> DataFrame:
-        return R.scan_chat_messages(self.chat_message_join, as_of())
+        return self.stored("chat_messages", lambda: R.scan_chat_messages(self.chat_message_join, as_of()))
 
     @property
     def lake(self) -> Lake:

@@ -234,7 +234,7 @@ check("resolve_handle_from_source",
 check("map_message_user", lambda v: M.map_message_user(v.message, v.users).select("rowid", "handle_id", "user_id"), """
 SELECT rowid, m.handle_id, coalesce(user_id, 'unknown_user_' || coalesce(m.handle_id::VARCHAR, 'none')) AS user_id
 FROM message m LEFT JOIN users u ON u.handle_id = m.handle_id""")
-check("chat_users_build", lambda v: v.chat_users, "SELECT * FROM chat_users")
+check("chat_users_build", lambda v: CH.chat_users_build(v.chat_handle_join, v.users), "SELECT * FROM chat_users")
 check("chats_without_users", lambda v: CH.chats_without_members(v.chats, v.chat_users).agg(F.count("*").alias("chats")),
       "SELECT count(*) AS chats FROM chats WHERE chat_id NOT IN (SELECT chat_id FROM chat_users)")
 check("chats_with_users", lambda v: CH.chats_with_members(v.chats, v.chat_users).agg(F.count("*").alias("chats")),
