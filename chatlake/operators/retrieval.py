@@ -35,6 +35,10 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _occurrences(words: str, term: str) -> Column:
+    return F.size(F.filter(words, lambda word: word == F.lit(term)))
+
+
 def bm25_topk(documents: DataFrame, query: str, limit: int = 10, id_column: str = "doc_id",
               text_column: str = "text") -> DataFrame:
     """The best documents for the words of ``query``.
@@ -45,7 +49,7 @@ def bm25_topk(documents: DataFrame, query: str, limit: int = 10, id_column: str
     terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
     counted = documents.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("_tokens")).select(
         "id", F.size("_tokens").alias("_length"),
-        *[F.size(F.filter("_tokens", lambda t, w=w: t == w)).alias(f"_tf{i}") for i, w in enumerate(terms)])
+        *[_occurrences("_tokens", term).alias(f"_tf{i}") for i, term in enumerate(terms)])
     stats = counted.agg(
         F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean"),
         *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
