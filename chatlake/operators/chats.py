@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chatlake.functions.text import not_blank, present, strip
 from chatlake.operators.contacts import one_user_per_handle
-from chatlake.operators.sequences import MAX_GROUP_ROWS, collect_parts, top_n_per_group
+from chatlake.operators.keys import drop_keys, keep_keys
+from chatlake.operators.lookups import chats_with_users
+from chatlake.operators.sequences import MAX_GROUP_ROWS, top_n_per_group
 
 
 def chat_users_build(chat_handle_join: DataFrame, users: DataFrame) -> DataFrame:
@@ -21,11 +23,11 @@ def chat_handles_named(chat_handle_join: DataFrame, handle: DataFrame) -> DataFr
 
 
 def chats_with_members(chats: DataFrame, chat_users: DataFrame) -> DataFrame:
-    return chats.join(chat_users.select("chat_id"), "chat_id", "left_semi")
+    return keep_keys(chats, chat_users, ["chat_id"])
 
 
 def chats_without_members(chats: DataFrame, chat_users: DataFrame) -> DataFrame:
-    return chats.join(chat_users.select("chat_id"), "chat_id", "left_anti")
+    return drop_keys(chats, chat_users, ["chat_id"])
 
 
 # Histories.
@@ -59,21 +61,25 @@ def chat_history(messages: DataFrame, chat_messages: DataFrame, chat_id: int | s
 
 
 def chats_for_messages(chats: DataFrame, chat_messages: DataFrame, wanted: DataFrame) -> DataFrame:
-    keys = wanted.toDF("message_id")
-    return chat_messages.join(keys, "message_id", "left_semi").join(chats, "chat_id").select(
+    return keep_keys(chat_messages, wanted.toDF("message_id"), ["message_id"]).join(chats, "chat_id").select(
         "message_id", "chat_id", "display_name", "message_date")
 
 
-def chats_for_users(chats: DataFrame, chat_users: DataFrame, wanted: DataFrame,
-                    max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """The chats of each wanted user, with the full sorted member list of each chat."""
-    mine = chat_users.join(wanted.toDF("user_id"), "user_id", "left_semi")
-    shared = chat_users.join(mine.select("chat_id"), "chat_id", "left_semi")
-    lists = collect_parts(shared, ["chat_id"], ["user_id"], F.col("user_id"), "user_ids",
-                          max_group_rows=max_group_rows)
-    with_names = chats.join(lists, "chat_id")
-    return mine.select("user_id", "chat_id").join(with_names, "chat_id").select(
-        "user_id", "chat_id", "display_name", "part", "user_ids")
+def chats_for_users(chats: DataFrame, chat_users: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The chats of each wanted user with their member counts.
+
+    Member lists are not repeated per user: that would be every pair of members.
+    ``chats_with_users`` has each list once.
+    """
+    mine = keep_keys(chat_users, wanted.toDF("user_id"), ["user_id"])
+    sizes = chat_users.groupBy("chat_id").agg(F.count(F.lit(1)).alias("members"))
+    return mine.join(chats.join(sizes, "chat_id"), "chat_id").select("user_id", "chat_id", "display_name", "members")
+
+
+def chats_for_user(chats: DataFrame, chat_users: DataFrame, user_id: str) -> DataFrame:
+    """The chats of one user, each with its full sorted member list."""
+    mine = chat_users.where(F.col("user_id") == user_id)
+    return chats_with_users(keep_keys(chats, mine, ["chat_id"]), keep_keys(chat_users, mine, ["chat_id"]))
 
 
 def chat_users_details(chat_users: DataFrame, users: DataFrame) -> DataFrame:
@@ -170,7 +176,7 @@ def display_name_stats(enhanced: DataFrame) -> DataFrame:
 
 def chat_users_stats(chat_handle_join: DataFrame, users: DataFrame, chats: DataFrame) -> DataFrame:
     linked = users.where("handle_id <> 0").select("handle_id")
-    mapped = chat_handle_join.join(linked, "handle_id", "left_semi")
+    mapped = keep_keys(chat_handle_join, linked, ["handle_id"])
     built = chat_users_build(chat_handle_join, users)
 
     def count(df: DataFrame) -> Column:

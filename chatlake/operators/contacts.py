@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chatlake.functions import contact as C
 from chatlake.functions.text import present
+from chatlake.operators.keys import drop_keys, keep_keys
 from chatlake.operators.lookups import USER_COLUMNS
 from chatlake.operators.sequences import MAX_GROUP_ROWS, collect_parts
 
@@ -156,16 +157,14 @@ def resolve_handles(handle: DataFrame, contacts: DataFrame, existing: DataFrame
     if existing is None:
         return resolved
     taken = one_user_per_handle(existing)
-    kept = taken.join(handle.select("handle_id"), "handle_id", "left_semi").select(
-        *USER_COLUMNS, F.lit("existing").alias("match_kind"))
-    return resolved.join(taken.select("handle_id"), "handle_id", "left_anti").unionByName(kept)
+    kept = keep_keys(taken, handle, ["handle_id"]).select(*USER_COLUMNS, F.lit("existing").alias("match_kind"))
+    return drop_keys(resolved, taken, ["handle_id"]).unionByName(kept)
 
 
 def resolve_handle_ids(handle_ids: DataFrame, handle: DataFrame, contacts: DataFrame,
                        existing: DataFrame | None = None) -> DataFrame:
     """Resolve handles known by id only; an id without a handle gives no row."""
-    wanted = handle.join(handle_ids.select("handle_id"), "handle_id", "left_semi")
-    return resolve_handles(wanted, contacts, existing)
+    return resolve_handles(keep_keys(handle, handle_ids, ["handle_id"]), contacts, existing)
 
 
 def one_user_per_handle(users: DataFrame) -> DataFrame:
@@ -221,7 +220,7 @@ def extraction_stats(record: DataFrame, phone: DataFrame, email: DataFrame) -> D
 
     def reachable(points: DataFrame):
         owners = points.select("source", F.col("owner").alias("z_pk"))
-        return people.join(owners, PERSON, "left_semi").select(PERSON).distinct().agg(F.count("*")).scalar()
+        return keep_keys(people, owners, PERSON).select(PERSON).distinct().agg(F.count("*")).scalar()
 
     rows = person_rows(record, phone, email)
     distinct_rows = rows.select("first_name", "last_name", "full_number", "address").distinct()
@@ -237,7 +236,7 @@ def name_completeness(record: DataFrame, phone: DataFrame, email: DataFrame) ->
     """People with a contact point by which name parts they have, per source."""
     reachable = phone.where("full_number IS NOT NULL").select("source", F.col("owner").alias("z_pk")).unionByName(
         email.where("address IS NOT NULL").select("source", F.col("owner").alias("z_pk")))
-    people = record.join(reachable, PERSON, "left_semi").dropDuplicates(PERSON)
+    people = keep_keys(record, reachable, PERSON).dropDuplicates(PERSON)
     first, last = F.col("first_name"), F.col("last_name")
     return people.groupBy("source").agg(
         F.count_if(first.isNotNull() & ~present(last)).alias("first_only"),

@@ -83,29 +83,34 @@ def conversations(messages: DataFrame, gap_hours: float = GAP_HOURS, min_message
     return _summaries(_cells(messages, gap_hours), min_messages).drop("segment")
 
 
-def _label_segments(messages: DataFrame, gap_hours: float) -> DataFrame:
+def _cell_conversations(messages: DataFrame, gap_hours: float, min_messages: int) -> DataFrame:
+    """(chat_id, cell) -> conversation: the small side of the one join that labels messages."""
+    cells = _cells(messages, gap_hours)
+    kept = _summaries(cells, min_messages).select("conversation_id", "chat_id", "segment", "start_index")
+    return cells.select("chat_id", "cell", "segment").join(kept, ["chat_id", "segment"]).drop("segment")
+
+
+def _labelled(messages: DataFrame, conversations_of: DataFrame, gap_hours: float) -> DataFrame:
     # A (chat, cell) key is unique on the right; AQE splits a hot one on the left.
-    segments = _cells(messages, gap_hours).select("chat_id", "cell", "segment")
-    return messages.withColumn("cell", _cell(gap_hours)).join(segments, ["chat_id", "cell"]).drop("cell")
+    return messages.withColumn("cell", _cell(gap_hours)).join(conversations_of, ["chat_id", "cell"])
 
 
 def conversation_members(messages: DataFrame, gap_hours: float = GAP_HOURS,
                          min_messages: int = MIN_MESSAGES) -> DataFrame:
     """The distinct users of each conversation."""
-    kept = _summaries(_cells(messages, gap_hours), min_messages).select("conversation_id", "chat_id", "segment")
-    members = _label_segments(messages, gap_hours).select("chat_id", "segment", "user_id").distinct()
-    return members.join(kept, ["chat_id", "segment"]).select("conversation_id", "user_id")
+    # Distinct per cell first: that combines before the shuffle.
+    present = messages.select("chat_id", _cell(gap_hours).alias("cell"), "user_id").distinct()
+    found = _cell_conversations(messages, gap_hours, min_messages)
+    return present.join(found, ["chat_id", "cell"]).select("conversation_id", "user_id").distinct()
 
 
 def conversation_messages(messages: DataFrame, gap_hours: float = GAP_HOURS, min_messages: int = MIN_MESSAGES,
                           max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """(conversation_id, message_id, sequence_number): the nested messages as rows, numbered from 1."""
-    narrow = messages.select("chat_id", "message_id", "created_at", "user_id")
+    narrow = messages.select("chat_id", "message_id", "created_at")
     indexed = group_index(narrow, ["chat_id"], ORDER, max_group_rows=max_group_rows)
-    kept = _summaries(_cells(messages, gap_hours), min_messages).select(
-        "conversation_id", "chat_id", "segment", "start_index")
-    labelled = _label_segments(indexed, gap_hours)
-    return labelled.join(kept, ["chat_id", "segment"]).select(
+    found = _cell_conversations(messages, gap_hours, min_messages)
+    return _labelled(indexed, found, gap_hours).select(
         "conversation_id", "message_id",
         (F.col("message_index") - F.col("start_index") + 1).alias("sequence_number"),
     )

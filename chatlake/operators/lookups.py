@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chatlake.functions import text as X
 from chatlake.functions.time import apple_ts, to_apple
+from chatlake.operators.keys import keep_keys
 from chatlake.operators.sequences import MAX_GROUP_ROWS, collect_parts, top_n_per_group
 
 USER_COLUMNS = ["user_id", "first_name", "last_name", "phone_number", "email", "handle_id"]
@@ -19,8 +20,7 @@ def limited(df: DataFrame, limit: int | None) -> DataFrame:
 # Users. Each takes a table of wanted keys; ``wanted`` has one column.
 
 def _matching(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    keys = wanted.toDF("_wanted")
-    return df.join(keys, df[column] == keys["_wanted"], "left_semi")
+    return keep_keys(df, wanted.toDF(column), [column]).select(df.columns)
 
 
 def users_by_id(users: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chatlake.functions.body import with_best_text
 from chatlake.functions.time import apple_ts
 from chatlake.operators.contacts import contact_lookup, lookup_cascade
+from chatlake.operators.keys import drop_keys, keep_keys
 from chatlake.operators.lookups import drop_blank, drop_system_rows, has_body, limited, with_handle
 
 MESSAGE_COLUMNS = ["message_id", "user_id", "contents", "is_from_me", "created_at"]
@@ -86,8 +87,7 @@ def wide_messages(message: DataFrame, handle: DataFrame, record: DataFrame, phon
 
 def active_contacts(message: DataFrame, handle: DataFrame) -> DataFrame:
     """Identifiers that have a message, sorted."""
-    active = handle.join(message.select("handle_id"), "handle_id", "left_semi")
-    return active.select("id").distinct().orderBy("id")
+    return keep_keys(handle, message, ["handle_id"]).select("id").distinct().orderBy("id")
 
 
 def chat_transcript(messages: DataFrame, users: DataFrame, chat_messages: DataFrame) -> DataFrame:
@@ -97,4 +97,4 @@ def chat_transcript(messages: DataFrame, users: DataFrame, chat_messages: DataFr
 
 
 def orphan_messages(messages: DataFrame, users: DataFrame) -> DataFrame:
-    return messages.join(users.select("user_id"), "user_id", "left_anti").select(MESSAGE_COLUMNS)
+    return drop_keys(messages, users, ["user_id"]).select(MESSAGE_COLUMNS)

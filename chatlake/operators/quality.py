@@ -11,6 +11,7 @@ from chatlake.functions.text import not_blank, present, suspicious_text, truncat
 from chatlake.functions.time import apple_ts, clock_time, to_apple
 from chatlake.operators.chats import chats_with_members, chats_without_members
 from chatlake.operators.contacts import one_user_per_handle
+from chatlake.operators.keys import drop_keys, keep_keys
 
 
 def rows_of(df: DataFrame) -> Column:
@@ -170,17 +171,20 @@ def integrity_report(messages: DataFrame) -> DataFrame:
 
 def text_quality_report(messages: DataFrame) -> DataFrame:
     text = F.col("contents")
-    filled = not_blank(text)
-    doubtful = messages.where(filled & suspicious_text(text))
-    first = doubtful.orderBy("message_id").limit(10).agg(
+    flags = messages.select(
+        "message_id", F.length(text).alias("length"), not_blank(text).alias("filled"),
+        text.rlike(r"[^\x00-\x7f]").alias("wide"), text.rlike("['\"&<>]").alias("special"),
+        F.is_valid_utf8(text).alias("valid"), suspicious_text(text).alias("doubtful"))
+    filled = F.col("filled")
+    first = flags.where("filled AND doubtful").orderBy("message_id").limit(10).agg(
         F.array_join(F.array_sort(F.collect_list("message_id")).cast("array<string>"), ",")).scalar()
-    return messages.agg(
+    return flags.agg(
         F.count(F.lit(1)).alias("total_messages_analyzed"), F.count_if(filled).alias("messages_with_text"),
-        F.coalesce(F.avg(F.when(filled, F.length(text))), F.lit(0.0)).alias("average_text_length"),
-        F.coalesce(F.bool_or(filled & text.rlike(r"[^\x00-\x7f]")), F.lit(False)).alias("contains_emojis"),
-        F.coalesce(F.bool_or(filled & text.rlike("['\"&<>]")), F.lit(False)).alias("contains_special_chars"),
-        F.count_if(filled & ~F.is_valid_utf8(text)).alias("encoding_error_count"),
-        F.count_if(filled & suspicious_text(text)).alias("suspicious_count"),
+        F.coalesce(F.avg(F.when(filled, F.col("length"))), F.lit(0.0)).alias("average_text_length"),
+        F.coalesce(F.bool_or(filled & F.col("wide")), F.lit(False)).alias("contains_emojis"),
+        F.coalesce(F.bool_or(filled & F.col("special")), F.lit(False)).alias("contains_special_chars"),
+        F.count_if(filled & ~F.col("valid")).alias("encoding_error_count"),
+        F.count_if(filled & F.col("doubtful")).alias("suspicious_count"),
     ).withColumn("suspicious_ids", first)
 
 
@@ -190,8 +194,9 @@ def completeness_report(message: DataFrame, extracted: DataFrame, messages: Data
     ``extracted`` holds the recovered text of the source rows as ``extracted_text``.
     """
     eligible = message.where("text IS NOT NULL OR attributed_body IS NOT NULL")
-    texts = extracted.where(not_blank(F.col("extracted_text"))).select(F.col("extracted_text").alias("contents"))
-    matching = texts.join(messages.select("contents"), "contents", "left_semi")
+    # Texts are compared by digest, so the shuffle carries 64 characters a row.
+    texts = extracted.where(not_blank(F.col("extracted_text"))).select(F.sha2("extracted_text", 256).alias("digest"))
+    matching = keep_keys(texts, messages.select(F.sha2("contents", 256).alias("digest")), ["digest"])
     repeated = messages.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     counts = messages.agg(
         F.count(F.lit(1)).alias("target_message_count"),
@@ -223,12 +228,12 @@ def named_member_check(expected: DataFrame, chats: DataFrame, chat_users: DataFr
         "display_name", F.lower("first_name").alias("first_name"), F.lower("last_name").alias("last_name"))
     wanted = expected.select("display_name", F.lower("first_name").alias("first_name"),
                              F.lower("last_name").alias("last_name"))
-    return wanted.join(members, ["display_name", "first_name", "last_name"], "left_anti")
+    return drop_keys(wanted, members, ["display_name", "first_name", "last_name"])
 
 
 def recent_in_copy(recent: DataFrame, copy: DataFrame) -> DataFrame:
     """How many of the given rows the copy holds."""
-    found = recent.join(copy.select("rowid"), "rowid", "left_semi")
+    found = keep_keys(recent, copy, ["rowid"])
     return recent.agg(F.count(F.lit(1)).alias("recent_messages_count")).select(
         "recent_messages_count", rows_of(found).alias("recent_messages_in_copy"))
 
@@ -239,7 +244,7 @@ def replica_freshness(source: DataFrame, copy: DataFrame, as_of: str, minutes: i
     now = F.lit(as_of).cast("timestamp")
     cutoff = to_apple(now - F.make_dt_interval(mins=F.lit(minutes)))
     recent = source.where(F.col("date") > cutoff)
-    found = recent.join(copy.select("rowid"), "rowid", "left_semi")
+    found = keep_keys(recent, copy, ["rowid"])
     age = F.lit(0.0) if copied_at is None else (
         F.unix_micros(now) - F.unix_micros(F.lit(copied_at).cast("timestamp"))) / 1_000_000
     state = source.agg(F.max("rowid").alias("source_max_rowid")).select(

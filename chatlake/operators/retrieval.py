@@ -6,6 +6,7 @@ Keyword score: BM25 (Robertson & Zaragoza 2009). Fusion: reciprocal rank fusion
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -31,34 +32,44 @@ def episodes(items: DataFrame, as_of: Column | None = None) -> DataFrame:
                         F.coalesce("reference_time", fallback).alias("reference_time"))
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+def _found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
 def _occurrences(words: str, term: str) -> Column:
     return F.size(F.filter(words, lambda word: word == F.lit(term)))
 
 
+def term_counts(documents: DataFrame, terms: list[str], id_column: str, text_column: str) -> DataFrame:
+    """(id, length, tf0, tf1, ...): words of each text and how often each term is one of them."""
+    edge = TOKEN[:-1]
+    wanted = f"(?<!{edge})(?:{'|'.join(terms)})(?!{edge})"
+    lowered = documents.select(F.col(id_column).alias("id"), F.lower(F.col(text_column)).alias("_text"))
+    found = lowered.select("id", F.size(_found(F.col("_text"), TOKEN)).alias("length"),
+                           _found(F.col("_text"), wanted).alias("_hits"))
+    return found.select("id", "length", *[_occurrences("_hits", t).alias(f"tf{i}") for i, t in enumerate(terms)])
+
+
 def bm25_topk(documents: DataFrame, query: str, limit: int = 10, id_column: str = "doc_id",
               text_column: str = "text") -> DataFrame:
     """The best documents for the words of ``query``.
 
-    Term counts are read off each text in place, so the only shuffles are the
-    one-row statistics and the top-k merge.
+    Each text is read once: its counts go to a narrow scratch table, from which
+    both the one-row statistics and the scores are taken.
     """
     terms = list(dict.fromkeys(re.findall(r"[^\W_]+", query.lower())))
-    counted = documents.select(F.col(id_column).alias("id"), tokens(F.col(text_column)).alias("_tokens")).select(
-        "id", F.size("_tokens").alias("_length"),
-        *[_occurrences("_tokens", term).alias(f"_tf{i}") for i, term in enumerate(terms)])
+    if not terms:
+        return _top(documents.select(F.col(id_column).alias("id"), F.lit(0.0).alias("score")).where("false"), limit)
+    counted = settle(term_counts(documents, terms, id_column, text_column), "terms")
     stats = counted.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_length").alias("mean"),
-        *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+        F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"),
+        *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"_tf{i}"), stats[f"df{i}"]
-        idf = F.log(F.lit(1.0 + (stats["n"] - df + 0.5) / (df + 0.5)))
-        norm = K1 * (1 - B + B * F.col("_length") / F.lit(stats["mean"] or 1.0))
-        score = score + idf * tf * (K1 + 1) / (tf + norm)
+        tf, df = F.col(f"tf{i}"), stats[f"df{i}"]
+        idf = math.log(1.0 + (stats["n"] - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * F.col("length") / F.lit(stats["mean"] or 1.0))
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + norm)
     return _top(counted.select("id", score.alias("score")).where("score > 0"), limit)
 
 
@@ -94,7 +105,7 @@ def hybrid_rrf(by_keyword: DataFrame, by_meaning: DataFrame, limit: int = 5) ->
 def hops_from(edges: DataFrame, center: DataFrame, max_hops: int, settle_every_hop: bool = True) -> DataFrame:
     """(node, hops) within ``max_hops`` of the centre nodes, edges taken both ways."""
     both_ways = edges.select("source", "target").unionByName(
-        edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+        edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
     reached = center.toDF("node").distinct().withColumn("hops", F.lit(0))
     for hop in range(1, max_hops + 1):
         frontier = reached.where(F.col("hops") == hop - 1).select("node")
@@ -118,6 +129,7 @@ def graph_distance_rerank(hits: DataFrame, edges: DataFrame, center: DataFrame,
 
 def auto_center_rerank(hits: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
     """Rerank around the source node of the best hit; no hit gives no row."""
+    hits = settle(hits, "hits")
     center = hits.where("rank = 1").select("node")
     return graph_distance_rerank(hits, edges, center, max_hops)
 

@@ -7,10 +7,10 @@ deletes go to a new version folder.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from chatlake.operators.keys import drop_keys, keep_keys
+
 
 def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -31,10 +31,6 @@ def read_version(spark: SparkSession, root: str, version: int, schema: T.StructT
     return spark.read.schema(schema).parquet(f"{root}/version={version}")
 
 
-def _matched(left: DataFrame, right: DataFrame, keys: list[str]):
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def insert_ignore(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``batch`` whose key is new, one per key (the smallest row wins)."""
     rest = [c for c in batch.columns if c not in keys]
@@ -42,15 +38,13 @@ def insert_ignore(existing: DataFrame, batch: DataFrame, keys: list[str]) -> Dat
     one = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")) if rest else batch.dropDuplicates(keys)
     if rest:
         one = one.select(*keys, "_row.*").select(batch.columns)
-    known = existing.select(keys)
-    return one.join(known, _matched(one, known, keys), "left_anti")
+    return drop_keys(one, existing, keys).select(batch.columns)
 
 
 def insert_strict(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """The whole batch, or nothing when one of its keys is repeated or taken."""
     repeated = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(keys)
-    known = existing.select(keys)
-    taken = batch.join(known, _matched(batch, known, keys), "left_semi").select(keys)
+    taken = keep_keys(batch, existing, keys).select(keys)
     return batch.where(~repeated.unionByName(taken).exists())
 
 
@@ -71,4 +65,4 @@ def update_by_key(target: DataFrame, updates: DataFrame, key: str, column: str)
 
 
 def delete_by_key(target: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    return target.join(gone.select(keys), keys, "left_anti")
+    return drop_keys(target, gone, keys)

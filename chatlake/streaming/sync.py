@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from chatlake import schemas
 from chatlake.functions.body import with_best_text
 from chatlake.operators.contacts import resolve_handle_ids
+from chatlake.operators.keys import drop_keys
 from chatlake.operators.messages import normalize_increment
 from chatlake.operators.quality import notification_rows
 
@@ -88,9 +89,8 @@ def sync_batch(batch: DataFrame, batch_id: int, target: SyncTarget, handle: Data
         if not read:
             return
         known = base_users.unionByName(target.read(spark, "users", batch_id))
-        linked = known.where("handle_id IS NOT NULL").select("handle_id")
-        new_ids = rows.where("coalesce(handle_id, 0) <> 0").select("handle_id").distinct().join(
-            linked, "handle_id", "left_anti")
+        linked = known.where("handle_id IS NOT NULL")
+        new_ids = drop_keys(rows.where("coalesce(handle_id, 0) <> 0").select("handle_id").distinct(), linked, ["handle_id"])
         created = resolve_handle_ids(new_ids, handle, contacts).select(schemas.USERS.fieldNames())
         target.write_batch(created, "users", batch_id)
         created = spark.read.schema(schemas.USERS).parquet(f"{target.path('users')}/batch_id={batch_id}")

@@ -101,9 +101,9 @@ UNION ALL SELECT conv_id, turn * 170 + 3, 'b', 0.5 FROM conversations WHERE turn
 LAST_N = """
 SELECT * EXCLUDE (rn), rn AS position FROM (SELECT *, row_number() OVER (
   PARTITION BY chat_id ORDER BY message_date DESC, message_id DESC) AS rn FROM in_chats) WHERE rn <= """
-check("last_n_context", lambda v: CX.last_n_context(v.in_chats, 30).select("chat_id", "message_id", "contents", "position"),
+check("last_n_context", lambda v: CX.last_n_context(v.messages, v.chat_messages, 30).select("chat_id", "message_id", "contents", "position"),
       f"SELECT chat_id, message_id, contents, position FROM ({LAST_N} 30)")
-check("last_n_context_salted", lambda v: CX.last_n_context(v.in_chats, 30, max_group_rows=3).select(
+check("last_n_context_salted", lambda v: CX.last_n_context(v.messages, v.chat_messages, 30, max_group_rows=3).select(
     "chat_id", "message_id", "contents", "position"), f"SELECT chat_id, message_id, contents, position FROM ({LAST_N} 30)")
 check("last_wins_lookup", lambda v: CT.last_wins(v.contacts, F.col("last_name")), """
 SELECT key, first_name, last_name FROM (SELECT last_name AS key, first_name, last_name, row_number() OVER (
@@ -124,7 +124,8 @@ def _prompts(v: Inputs) -> DataFrame:
     requests = v.table("documents").select(
         F.col("doc_id").alias("chat_id"), F.lit("me").alias("user_id"), F.concat("lang", F.lit(" "), "source").alias("contents"),
         as_of().alias("created_at"))
-    return CX.prompt_dataset(requests, v.turns, 3)
+    turns = v.turns.select("message_id", "user_id", "contents", "is_from_me", "created_at")
+    return CX.prompt_dataset(requests, turns, v.turns.select("chat_id", "message_id", "message_date"), 3)
 
 
 check("prompt_dataset", _prompts, f"""

@@ -170,8 +170,7 @@ check("chats_for_message", lambda v: CH.chats_for_messages(v.chats, v.chat_messa
       f"""SELECT message_id, chat_id, display_name, {sql_ts('message_date')} AS message_date
 FROM chat_messages JOIN chats USING (chat_id) WHERE message_id IN (SELECT message_id FROM messages)""")
 check("chats_for_user", lambda v: CH.chats_for_users(v.chats, v.chat_users, v.users.select("user_id")), """
-SELECT u.user_id, c.chat_id, c.display_name, 0::BIGINT AS part,
-  (SELECT string_agg(o.user_id, '|' ORDER BY o.user_id) FROM chat_users o WHERE o.chat_id = c.chat_id) AS user_ids
+SELECT u.user_id, c.chat_id, c.display_name, (SELECT count(*) FROM chat_users o WHERE o.chat_id = c.chat_id) AS members
 FROM chat_users u JOIN chats c USING (chat_id)""")
 check("chat_users_details", lambda v: CH.chat_users_details(v.chat_users, v.users), f"""
 SELECT chat_id, {USER} FROM chat_users JOIN users USING (user_id)""")
