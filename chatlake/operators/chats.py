@@ -140,7 +140,7 @@ def generated_names(chats: DataFrame, chat_handle_join: DataFrame, handle: DataF
         F.coalesce(known, F.col("handle_identifier")).alias("label"),
     )
     shown = top_n_per_group(parts, ["chat_id"], [F.col("bare"), F.col("handle_id")], MAX_NAME_PARTS, "handle_id",
-                            max_group_rows=max_group_rows)
+                            max_group_rows=max_group_rows, sized_by=chat_handle_join)
     names = shown.groupBy("chat_id").agg(
         F.array_sort(F.collect_list(F.struct("bare", "handle_id", "label"))).alias("_shown"))
     sizes = members.groupBy("chat_id").agg(F.count(F.lit(1)).alias("_members"))

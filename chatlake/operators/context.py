@@ -28,7 +28,8 @@ def last_n_context(messages: DataFrame, chat_messages: DataFrame, n: int = MAX_C
     """
     stored = keep_keys(chat_messages.select("chat_id", "message_id", "message_date"), messages, ["message_id"])
     newest = [F.col("message_date").desc(), F.col("message_id").desc()]
-    chosen = top_n_per_group(stored, ["chat_id"], newest, n, "message_id", "position", max_group_rows)
+    chosen = top_n_per_group(stored, ["chat_id"], newest, n, "message_id", "position", max_group_rows,
+                             sized_by=chat_messages)
     return messages.join(chosen, "message_id")
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatlake.functions.text import numbered_line
-from chatlake.operators.sequences import MAX_GROUP_ROWS, group_index
+from chatlake.operators.sequences import MAX_GROUP_ROWS, collect_parts, group_index
 
 GAP_HOURS = 48
 MIN_MESSAGES = 2
@@ -116,6 +116,18 @@ def conversation_messages(messages: DataFrame, gap_hours: float = GAP_HOURS, min
     )
 
 
+def conversation_records(messages: DataFrame, gap_hours: float = GAP_HOURS, min_messages: int = MIN_MESSAGES,
+                         max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Conversations in the stored shape, with their sorted users; a huge list spreads over parts."""
+    users = collect_parts(conversation_members(messages, gap_hours, min_messages), ["conversation_id"], ["user_id"],
+                          F.col("user_id"), "users", max_group_rows=max_group_rows)
+    return conversations(messages, gap_hours, min_messages).join(users, "conversation_id").select(
+        "conversation_id", "chat_id", "part", "users", F.col("start_time").alias("created_at"),
+        F.col("end_time").alias("completed_at"), F.col("message_count").alias("count"),
+        F.lit(None).cast("string").alias("summary"), "status", "initiated_by",
+    )
+
+
 def message_index(messages: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """0-based position of each message in its chat."""
     return group_index(messages, ["chat_id"], ORDER, max_group_rows=max_group_rows)

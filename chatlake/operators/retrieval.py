@@ -22,12 +22,15 @@ TOKEN = r"[\p{L}\p{N}]+"
 def episodes(items: DataFrame, as_of: Column | None = None) -> DataFrame:
     """(name, content, type, description, reference_time) in one shape.
 
-    Text and JSON episodes have default descriptions; a missing time is ``as_of``.
+    Text and JSON episodes have default descriptions; structured content becomes
+    JSON text; a missing time is ``as_of``.
     """
-    kind = F.col("type")
+    kind, content = F.col("type"), F.col("content")
+    if dict(items.dtypes)["content"] != "string":
+        content = F.to_json(content)
     described = F.coalesce("description", F.concat(kind, F.lit(" episode")))
     fallback = F.lit(None).cast("timestamp") if as_of is None else as_of
-    return items.select("name", F.col("content").alias("episode_body"), kind.alias("source"),
+    return items.select("name", content.alias("episode_body"), kind.alias("source"),
                         described.alias("source_description"),
                         F.coalesce("reference_time", fallback).alias("reference_time"))
 

@@ -68,13 +68,15 @@ def _number_slices(sliced: DataFrame, keys: list[str], order: list[str], name: s
 
 
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, salt_on: str,
-                    name: str | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                    name: str | None = None, max_group_rows: int = MAX_GROUP_ROWS,
+                    sized_by: DataFrame | None = None) -> DataFrame:
     """The first ``n`` rows of each group under ``order``.
 
     A group too large for one task is cut into salted parts; each part keeps its
-    first n rows and the parts are merged level by level.
+    first n rows and the parts are merged level by level. ``sized_by`` is a
+    cheaper table with the same keys whose groups are at least as large.
     """
-    largest = largest_group(df, keys)
+    largest = largest_group(df if sized_by is None else sized_by, keys)
     parts = -(-largest // max_group_rows) if largest > max_group_rows else 1
     rank, salt = "_rank", F.pmod(F.xxhash64(salt_on), F.lit(2**31 - 1))
     while parts > 1:

@@ -66,8 +66,13 @@ def sync_state(spark: SparkSession, target: SyncTarget) -> DataFrame:
 
 
 def high_water_mark(spark: SparkSession, target: SyncTarget, before_batch: int) -> int:
-    mark = target.read(spark, "progress", before_batch).agg(F.max("last_rowid")).first()[0]
-    return 0 if mark is None else mark
+    """Largest id read before a batch. Every batch records it, so the previous record is enough."""
+    last = f"{target.path('progress')}/batch_id={before_batch - 1}"
+    if _exists(spark, last):
+        progress = spark.read.schema("last_rowid bigint").parquet(last)
+    else:
+        progress = target.read(spark, "progress", before_batch)
+    return progress.agg(F.max("last_rowid")).first()[0] or 0
 
 
 def notify_rows(users: DataFrame, shown: int = 5) -> Callable[[DataFrame], DataFrame]:
@@ -75,6 +80,14 @@ def notify_rows(users: DataFrame, shown: int = 5) -> Callable[[DataFrame], DataF
     return lambda new_rows: notification_rows(new_rows, users, shown)
 
 
+def _record(spark: SparkSession, target: SyncTarget, batch_id: int, read: int, synced: int, last: int) -> None:
+    progress = spark.range(1).select(
+        F.lit(read).cast("bigint").alias("rows_read"), F.lit(synced).cast("bigint").alias("rows_synced"),
+        F.lit(last).cast("bigint").alias("last_rowid"), F.lit("idle").alias("sync_status"),
+        F.current_timestamp().alias("synced_at"))
+    target.write_batch(progress.coalesce(1), "progress", batch_id)
+
+
 def sync_batch(batch: DataFrame, batch_id: int, target: SyncTarget, handle: DataFrame, contacts: DataFrame,
                base_users: DataFrame, as_of: Column | None = None, start_at: int = 0,
                on_new_messages: BatchHook | None = None) -> None:
@@ -87,6 +100,7 @@ def sync_batch(batch: DataFrame, batch_id: int, target: SyncTarget, handle: Data
     try:
         read, last = rows.agg(F.count(F.lit(1)), F.max("rowid")).first()
         if not read:
+            _record(spark, target, batch_id, 0, 0, mark)
             return
         known = base_users.unionByName(target.read(spark, "users", batch_id))
         linked = known.where("handle_id IS NOT NULL")
@@ -97,11 +111,7 @@ def sync_batch(batch: DataFrame, batch_id: int, target: SyncTarget, handle: Data
         messages = normalize_increment(rows.drop("extracted_text"), known.unionByName(created), as_of)
         target.write_batch(messages, "messages", batch_id)
         synced = spark.read.schema(schemas.MESSAGES).parquet(f"{target.path('messages')}/batch_id={batch_id}").count()
-        progress = spark.range(1).select(
-            F.lit(read).cast("bigint").alias("rows_read"), F.lit(synced).cast("bigint").alias("rows_synced"),
-            F.lit(last).cast("bigint").alias("last_rowid"), F.lit("idle").alias("sync_status"),
-            F.current_timestamp().alias("synced_at"))
-        target.write_batch(progress.coalesce(1), "progress", batch_id)
+        _record(spark, target, batch_id, read, synced, last)
         if on_new_messages is not None:
             try:
                 on_new_messages(rows, synced)
@@ -116,12 +126,15 @@ def latest_rowid(message: DataFrame) -> int:
     return message.agg(F.max("rowid")).first()[0] or 0
 
 
-def start_sync(spark: SparkSession, source: str, target: SyncTarget, checkpoint: str, handle: DataFrame,
-               contacts: DataFrame, base_users: DataFrame | None = None, interval: str | None = None,
+def start_sync(spark: SparkSession, source: str, target: SyncTarget, handle: DataFrame, contacts: DataFrame, base_users: DataFrame | None = None, interval: str | None = None,
                max_files: int | None = None, start_at: int = 0, as_of: Column | None = None,
                on_new_messages: BatchHook | None = None, path_filter: str = "*.parquet",
                transform: Callable[[DataFrame], DataFrame] | None = None, source_schema=None) -> StreamingQuery:
-    """Follow a folder of message files; once through what is there, or every ``interval``."""
+    """Follow a folder of message files; once through what is there, or every ``interval``.
+
+    The checkpoint lives beside the tables: batch numbers name their folders, so
+    a target must never be followed with another checkpoint.
+    """
     reader = spark.readStream.schema(source_schema or schemas.MESSAGE).option("pathGlobFilter", path_filter)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -133,4 +146,5 @@ def start_sync(spark: SparkSession, source: str, target: SyncTarget, checkpoint:
         sync_batch(batch, batch_id, target, handle, contacts, users, as_of, start_at, on_new_messages)
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    checkpoint = target.path("checkpoint")
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()

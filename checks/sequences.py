@@ -43,6 +43,12 @@ SELECT conversation_id, message_id, idx - start_index + 1 AS sequence_number FRO
 check("conversation_members", lambda v: CV.conversation_members(
     v.direct.withColumn("user_id", F.expr("concat('w', message_id % 3)"))), SEGMENTS + """
 SELECT DISTINCT conversation_id, 'w' || (message_id % 3) AS user_id FROM segments JOIN found USING (chat_id, segment)""")
+check("conversation_records", lambda v: CV.conversation_records(v.direct.withColumn(
+    "user_id", F.expr("concat('w', message_id % 3)"))), SEGMENTS.replace("arg_min(user_id, idx)", "'w' || (arg_min(message_id, idx) % 3)") + f"""
+, members AS (SELECT conversation_id, string_agg(DISTINCT 'w' || (message_id % 3), '|' ORDER BY 'w' || (message_id % 3)) AS users
+  FROM segments JOIN found USING (chat_id, segment) GROUP BY 1)
+SELECT conversation_id, chat_id, 0::BIGINT AS part, users, {sql_ts('start_time')} AS created_at, {sql_ts('end_time')} AS completed_at,
+  message_count AS count, NULL::VARCHAR AS summary, 'completed' AS status, initiated_by FROM found JOIN members USING (conversation_id)""")
 check("conversation_metrics", lambda v: CV.conversation_metrics(CV.conversations(v.direct)), SEGMENTS + """
 SELECT conversation_id, chat_id, message_count,
   round((epoch_us(end_time) - epoch_us(start_time)) / 60000000.0::DOUBLE, 6) AS duration_minutes FROM found""")
@@ -162,13 +168,12 @@ check("poll_once", lambda v: M.incremental_sync(v.message, v.users, 400, None, a
       SYNCED + ", (SELECT max(rowid) FROM message WHERE rowid > 400) AS next_mark" + KNOWN + " AND message_id > 400")
 
 
-def _stream(v: Inputs) -> tuple[SY.SyncTarget, DataFrame]:
+def _stream(v: Inputs) -> SY.SyncTarget:
     """Follow the events file as a message stream into an empty lake."""
-    root = scratch_path(v.spark, "sync")
-    target = SY.SyncTarget(root)
+    target = SY.SyncTarget(scratch_path(v.spark, "sync"))
     schema = v.spark.read.parquet(f"{v.sf_dir}/events.parquet").schema
     query = SY.start_sync(
-        v.spark, v.sf_dir, target, f"{root}/checkpoint", v.handle, v.contacts, as_of=as_of(),
+        v.spark, v.sf_dir, target, v.handle, v.contacts, as_of=as_of(),
         path_filter="events.parquet", transform=v.as_messages, source_schema=schema)
     query.awaitTermination()
     return target

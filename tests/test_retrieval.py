@@ -87,3 +87,5 @@ def test_episodes(spark):
                                  "name string, content string, type string, description string, reference_time timestamp")
     got = RT.episodes(rows, F.lit("2024-01-01").cast("timestamp")).collect()
     assert [r["source_description"] for r in got] == ["text episode", "given"] and got[0]["reference_time"] is not None
+    structured = rows.withColumn("content", F.struct("name"))
+    assert RT.episodes(structured).first()["episode_body"] == '{"name":"a"}'

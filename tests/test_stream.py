@@ -32,7 +32,7 @@ def log(spark, ids):
 
 def follow(spark, source, target, static, **kw):
     handle, contacts = static
-    query = SY.start_sync(spark, source, target, f"{target.root}/checkpoint", handle, contacts, **kw)
+    query = SY.start_sync(spark, source, target, handle, contacts, **kw)
     query.awaitTermination()
 
 
@@ -61,7 +61,8 @@ def test_one_file_per_trigger_and_start_at_latest(spark, static):
     for part in (range(1, 6), range(6, 11), range(11, 16)):
         log(spark, part).coalesce(1).write.mode("append").parquet(source)
     follow(spark, source, target, static, max_files=1, start_at=5)
-    assert target.read(spark, "progress").count() == 2
+    progress = target.read(spark, "progress").orderBy("batch_id").collect()
+    assert [(r["rows_read"], r["last_rowid"]) for r in progress] == [(0, 5), (5, 10), (5, 15)]
     assert target.read(spark, "messages").agg(F.min("message_id")).first()[0] > 5
     assert SY.latest_rowid(log(spark, [3, 9])) == 9
 
