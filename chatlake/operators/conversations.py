@@ -33,13 +33,18 @@ def _cell(gap_hours: float) -> Column:
     return F.call_function("div", micros - F.pmod(micros, F.lit(width)), F.lit(width))
 
 
-def _cells(messages: DataFrame, gap_hours: float) -> DataFrame:
-    """One row per chat and occupied cell, numbered into conversations per chat."""
+def _cells(messages: DataFrame, gap_hours: float, with_rows: bool = True) -> DataFrame:
+    """One row per chat and occupied cell, numbered into conversations per chat.
+
+    ``with_rows`` keeps the first and last row of each cell; without them only
+    numbers are aggregated, which a hash aggregation can do in place.
+    """
     row = F.struct("created_at", "message_id", "user_id")
+    edges = [F.min(row).alias("head"), F.max(row).alias("tail")] if with_rows else []
     cells = messages.groupBy("chat_id", _cell(gap_hours).alias("cell")).agg(
-        F.count(F.lit(1)).alias("rows"), F.min(row).alias("head"), F.max(row).alias("tail"))
+        F.count(F.lit(1)).alias("rows"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), *edges)
     by_time = Window.partitionBy("chat_id").orderBy("cell")
-    pause = F.unix_micros("head.created_at") - F.unix_micros(F.lag("tail.created_at").over(by_time))
+    pause = F.unix_micros("first_at") - F.unix_micros(F.lag("last_at").over(by_time))
     up_to_here = by_time.rowsBetween(Window.unboundedPreceding, 0)
     earlier = by_time.rowsBetween(Window.unboundedPreceding, -1)
     starts = F.coalesce((F.col("pause") >= int(gap_hours * HOUR_MICROS)).cast("int"), F.lit(0))
@@ -53,7 +58,7 @@ def _cells(messages: DataFrame, gap_hours: float) -> DataFrame:
 def gap_boundaries(messages: DataFrame, gap_hours: float = GAP_HOURS) -> DataFrame:
     """(chat_id, after_message_index, reason, confidence) where a chat pauses for ``gap_hours`` or more."""
     hours = F.bround(F.col("pause") / HOUR_MICROS, 0).cast("bigint").cast("string")
-    return _cells(messages, gap_hours).where("starts = 1").select(
+    return _cells(messages, gap_hours, with_rows=False).where("starts = 1").select(
         "chat_id", (F.col("before") - 1).alias("after_message_index"),
         F.concat(F.lit("Time gap of "), hours, F.lit(" hours")).alias("reason"),
         F.lit(GAP_CONFIDENCE).alias("confidence"),

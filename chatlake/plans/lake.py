@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -76,6 +76,16 @@ def build_lake(src: Sources, root: str | None = None, as_of: Column | None = Non
     return read_lake(spark, root)
 
 
+def bucket_messages(lake: Lake, root: str, buckets: int, prefix: str = "lake") -> Lake:
+    """The lake with messages and their chat links bucketed by message, for histories without a shuffle.
+
+    ``buckets`` should give files of a few hundred megabytes.
+    """
+    messages = S.save_bucketed(lake.messages, f"{prefix}_messages", f"{root}/messages_bucketed", "message_id", buckets)
+    links = S.save_bucketed(lake.chat_messages, f"{prefix}_chat_messages", f"{root}/chat_messages_bucketed", "message_id", buckets)
+    return replace(lake, messages=messages, chat_messages=links)
+
+
 def lake_report(lake: Lake) -> DataFrame:
     """Row count per lake table."""
     counts = None

@@ -126,8 +126,8 @@ def latest_rowid(message: DataFrame) -> int:
     return message.agg(F.max("rowid")).first()[0] or 0
 
 
-def start_sync(spark: SparkSession, source: str, target: SyncTarget, handle: DataFrame, contacts: DataFrame, base_users: DataFrame | None = None, interval: str | None = None,
-               max_files: int | None = None, start_at: int = 0, as_of: Column | None = None,
+def start_sync(spark: SparkSession, source: str, target: SyncTarget, handle: DataFrame, contacts: DataFrame,
+               base_users: DataFrame | None = None, interval: str | None = None, max_files: int | None = None, start_at: int = 0, as_of: Column | None = None,
                on_new_messages: BatchHook | None = None, path_filter: str = "*.parquet",
                transform: Callable[[DataFrame], DataFrame] | None = None, source_schema=None) -> StreamingQuery:
     """Follow a folder of message files; once through what is there, or every ``interval``.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chatlake import schemas
 from chatlake.operators import (
-    chats as CH, contacts as CT, context as CX, conversations as CV, messages as M, retrieval as RT,
+    contacts as CT, context as CX, conversations as CV, messages as M, retrieval as RT,
 )
 from chatlake.plans import conversations as PC, lake as PL
 from chatlake.session import scratch_path

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from chatlake import schemas
 from chatlake.functions.contact import phone_formats, phone_from_handle

@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from chatlake.operators import chats as CH, conversations as CV, lookups as L, retrieval as RT, sendlog as SL
 from checks.inputs import Inputs
@@ -52,6 +51,23 @@ def test_top_n_limits_each_group_before_the_shuffle(inputs):
     assert text.count("WindowGroupLimit") >= 2
 
 
+def test_bucketed_histories_need_no_shuffle(spark, inputs):
+    from chatlake.plans.lake import bucket_messages
+    from chatlake.session import scratch_path
+
+    lake = bucket_messages(inputs.lake, scratch_path(spark, "buckets"), 4, prefix="plan_test")
+    joined = CH.in_chats(lake.messages, lake.chat_messages)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(joined)
+        assert "SortMergeJoin" in text and "Exchange" not in text
+        assert sorted(joined.collect()) == sorted(CH.in_chats(inputs.messages, inputs.chat_messages).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for table in ("plan_test_messages", "plan_test_chat_messages"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def test_message_texts_are_not_shuffled_to_choose_context(inputs):
     from chatlake.operators.context import last_n_context
 
