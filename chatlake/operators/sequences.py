@@ -23,10 +23,6 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
     return sizes.agg(F.max("rows")).first()[0] or 0
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def group_index(df: DataFrame, keys: list[str], order: list[str], name: str = "message_index",
                 max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Add the 0-based position of each row in its group.

@@ -379,10 +379,10 @@ message AS (
     CASE WHEN event_id % 2 = 1 THEN
       CASE WHEN event_id % 29 = 0 THEN 0 ELSE (epoch_us(ts) - 978307200000000) * 1000 END + 60000000000 END AS date_read,
     CASE WHEN event_id % 29 = 0 THEN 0 ELSE (epoch_us(ts) - 978307200000000) * 1000 END + 1000000000 AS date_delivered,
-    CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS is_from_me, event_id % 2 AS is_read, 1 AS is_delivered,
-    CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS is_sent,
+    CASE WHEN event_type = 'purchase' THEN 1::BIGINT ELSE 0 END AS is_from_me, event_id % 2 AS is_read, 1 AS is_delivered,
+    CASE WHEN event_type = 'purchase' THEN 1::BIGINT ELSE 0 END AS is_sent,
     CASE WHEN event_id % 4 = 0 THEN 'SMS' ELSE 'iMessage' END AS service, 'account-' || (event_id % 3) AS account,
-    0 AS error
+    0::BIGINT AS error
   FROM events),
 extracted AS (
   SELECT *, coalesce(nullif({sql_strip('text')}, ''), decoded) AS extracted_text FROM message),
