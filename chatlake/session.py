@@ -39,8 +39,13 @@ def scratch_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/chatlake/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/chatlake/{label}-{uuid.uuid4().hex}"
+    """A new path for an intermediate table of this application."""
+    return f"{_own_scratch(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -55,9 +60,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove one scratch table that ``scratch_path`` handed out."""
-    if "/chatlake/" not in path:
-        raise ValueError(f"not a scratch table: {path}")
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables, once no result still reads them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

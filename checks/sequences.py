@@ -33,7 +33,8 @@ SELECT chat_id, idx - 1 AS after_message_index,
   'Time gap of ' || round_even(pause / 3600000000.0::DOUBLE, 0)::BIGINT || ' hours' AS reason, 0.7::DOUBLE AS confidence
 FROM gaps WHERE pause >= 172800000000""")
 check("conversations", lambda v: CV.conversations(v.direct), SEGMENTS + FOUND + "found")
-check("detect_conversations", lambda v: PC.detect_conversations(v.in_chats, gap_hours=6), SEGMENTS.replace(
+check("detect_conversations", lambda v: PC.detect_conversations(
+    PC.chat_rows(v.messages, v.chat_messages), gap_hours=6), SEGMENTS.replace(
     "direct", "in_chats").replace("172800000000", "21600000000") + FOUND + "found")
 check("detect_conversations_whole", lambda v: PC.detect_conversations(
     v.direct, detector=lambda m: m.where("false").selectExpr("chat_id", "0L AS after_message_index")),

@@ -141,6 +141,12 @@ def test_user_rules(spark):
     assert [r[0] for r in got] == [[], ["name"], ["user_id", "contact_point"]]
 
 
+def test_response_rules(spark):
+    rows = spark.createDataFrame([("a", "b", "c"), ("a", "", None)], "x string, y string, z string")
+    got = rows.select(RC.violations(RC.response_rules(*[F.col(c) for c in "xyz"]))).collect()
+    assert [r[0] for r in got] == [[], ["response_2", "response_3"]]
+
+
 def test_lines(spark):
     row = spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS t, true AS me, 'u1' AS u, 'Hey! How are you doing?' AS c")
     got = row.select(

@@ -47,6 +47,12 @@ def user(spark, handle):
     return spark.range(1).select(handle_user_id(F.lit(handle).cast("bigint"))).first()[0]
 
 
+def test_plans_and_written_tables_agree(sources, lake):
+    plans = PL.plan_lake(sources, as_of=F.lit("2024-02-01").cast("timestamp"))
+    for name in PL.TABLES:
+        assert sorted(map(str, getattr(plans, name).collect())) == sorted(map(str, getattr(lake, name).collect()))
+
+
 def test_users_keep_contact_and_handle_rows(lake):
     rows = {(r["handle_id"], r["first_name"], r["phone_number"], r["email"]) for r in lake.users.collect()}
     assert rows == {(None, "Ann", "(555) 123-4567", ""), (None, "Solo", "(555) 987-6543", ""), (1, "Ann", "5551234567", ""),
