@@ -52,7 +52,12 @@ def normalize_messages(message: DataFrame, users: DataFrame, as_of: Column | Non
 
 def normalize_increment(message: DataFrame, users: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Lake messages of an increment; system rows and rows without a user are dropped."""
-    rows = drop_blank(with_best_text(drop_system_rows(message), "contents"))
+    return recovered_increment(with_best_text(drop_system_rows(message), "contents"), users, as_of)
+
+
+def recovered_increment(recovered: DataFrame, users: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """``normalize_increment`` for rows whose text is already in ``contents``."""
+    rows = drop_blank(drop_system_rows(recovered))
     known = _with_user(rows, users).where("_user IS NOT NULL").withColumn("user_id", F.col("_user"))
     return known.select(_lake_columns(as_of))
 

@@ -17,7 +17,7 @@ from chatlake import schemas
 from chatlake.functions.body import with_best_text
 from chatlake.operators.contacts import resolve_handle_ids
 from chatlake.operators.keys import drop_keys
-from chatlake.operators.messages import normalize_increment
+from chatlake.operators.messages import recovered_increment
 from chatlake.operators.quality import notification_rows
 
 BatchHook = Callable[[DataFrame, int], None]
@@ -105,10 +105,13 @@ def sync_batch(batch: DataFrame, batch_id: int, target: SyncTarget, handle: Data
         known = base_users.unionByName(target.read(spark, "users", batch_id))
         linked = known.where("handle_id IS NOT NULL")
         new_ids = drop_keys(rows.where("coalesce(handle_id, 0) <> 0").select("handle_id").distinct(), linked, ["handle_id"])
-        created = resolve_handle_ids(new_ids, handle, contacts).select(schemas.USERS.fieldNames())
-        target.write_batch(created, "users", batch_id)
-        created = spark.read.schema(schemas.USERS).parquet(f"{target.path('users')}/batch_id={batch_id}")
-        messages = normalize_increment(rows.drop("extracted_text"), known.unionByName(created), as_of)
+        # Most batches bring no new handle; those never touch the contacts.
+        if not new_ids.isEmpty():
+            created = resolve_handle_ids(new_ids, handle, contacts).select(schemas.USERS.fieldNames())
+            target.write_batch(created, "users", batch_id)
+            known = known.unionByName(
+                spark.read.schema(schemas.USERS).parquet(f"{target.path('users')}/batch_id={batch_id}"))
+        messages = recovered_increment(rows.withColumn("contents", F.col("extracted_text")), known, as_of)
         target.write_batch(messages, "messages", batch_id)
         synced = spark.read.schema(schemas.MESSAGES).parquet(f"{target.path('messages')}/batch_id={batch_id}").count()
         _record(spark, target, batch_id, read, synced, last)
