@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chatlake.llm import packing, tokencount, wordtable
+from chatlake.llm import langid, nearcopies, outliers, packing, tokencount, toxicity, wordtable
 from chatlake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,11 +22,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(id_col: str, folds: int, held: int) -> Column:
+    """True for ids whose checksum falls into the fold ``held``."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == held
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), fold("doc_id", 4, 2))
+
+
 def op2_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wordtable.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outliers.quality_verdicts(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5, 0))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -35,5 +59,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_word_bpe, op8_best_fit_packing, op10_token_counts)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (
+    op1_language_id, op2_word_bpe, op3_near_copies, op6_quality_outliers, op7_toxicity, op8_best_fit_packing, op10_token_counts)}
 SQL: dict[str, str] = {}
