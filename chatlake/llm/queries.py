@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chatlake.llm import langid, nearcopies, outliers, packing, repeats, tokencount, toxicity, wordtable
+from chatlake.llm import langid, nearcopies, neighbours, outliers, packing, repeats, tokencount, toxicity, wordtable
 from chatlake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,11 +59,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_language_id, op2_word_bpe, op3_near_copies, op4_repeated_passages,
-    op6_quality_outliers, op7_toxicity, op8_best_fit_packing, op10_token_counts)}
+    op6_quality_outliers, op7_toxicity, op8_best_fit_packing, op9_collision_counting,
+    op10_token_counts)}
 SQL: dict[str, str] = {}
