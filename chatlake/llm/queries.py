@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chatlake.llm import langid, nearcopies, neighbours, outliers, packing, repeats, tokencount, toxicity, wordtable
+from chatlake.llm import langid, nearcopies, neighbours, outliers, packing, personal, repeats, tokencount, toxicity, wordtable
 from chatlake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,10 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(personal.find_personal(table(spark, sf_dir, "documents")))
+
+
 def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = outliers.quality_verdicts(table(spark, sf_dir, "documents"))
     return found.select(
@@ -69,6 +73,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_language_id, op2_word_bpe, op3_near_copies, op4_repeated_passages,
-    op6_quality_outliers, op7_toxicity, op8_best_fit_packing, op9_collision_counting,
+    op5_personal_data, op6_quality_outliers, op7_toxicity, op8_best_fit_packing, op9_collision_counting,
     op10_token_counts)}
 SQL: dict[str, str] = {}

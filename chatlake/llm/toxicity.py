@@ -8,12 +8,13 @@ insult. Their composition is one automaton, and the weights on its arcs add up t
 the features of a text: insults asserted, negated, reported or aimed at a target,
 and threats. A logistic curve turns features into a score.
 
-The lexicon is learned in two passes over all training rows. The first counts in how
+Training rows are those of the ``LABELLED_ROWS`` labelled ids that hash lowest. The
+lexicon is learned in two passes over them. The first counts in how
 many labelled texts each word and each word beginning occurs; only those much more
 frequent in toxic texts go on (at most ``CANDIDATES``). The second counts the distinct
 neighbourhoods in which a candidate occurs: copies of one text share theirs, so words
 that only sit in a much-copied toxic text gain nothing from the copies. The curve is
-fitted on at most ``FIT_ROWS`` training rows, those whose id hashes lowest.
+fitted on the same rows.
 
 Results by case: NULL and empty texts have no features and get the score of an
 ordinary text; without labels the fixed lists alone decide; several labels of one
@@ -35,7 +36,7 @@ from chatlake.llm.common import texts
 from chatlake.llm.wordhash import slices
 
 CANDIDATES = 50_000
-FIT_ROWS = 20_000
+LABELLED_ROWS = 50_000
 # Labelled texts a candidate must be in, and distinct neighbourhoods it must be seen in.
 LEAST_TEXTS = 3
 LEAST_PLACES = 4
@@ -266,10 +267,9 @@ def _features(lexicon: dict[str, float], keep: tuple[str, ...]):
 
 
 def train(labelled: DataFrame) -> Model:
-    """From rows (doc_id, text, toxic)."""
+    """From rows (text, toxic), of which there is a bounded number."""
     lexicon = learn_lexicon(labelled)
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("text", "toxic")
-    rows = sample.mapInArrow(_features(lexicon, ("toxic",)), "toxic int, features array<double>").toArrow()
+    rows = labelled.select("text", "toxic").mapInArrow(_features(lexicon, ("toxic",)), "toxic int, features array<double>").toArrow()
     if not rows.num_rows:
         return Model(lexicon, PRIOR, PRIOR_BIAS)
     features = np.array(rows.column("features").to_pylist())
@@ -286,12 +286,32 @@ def _score(model: Model):
     return run
 
 
+def _model(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str, text_col: str, toxic_col: str) -> Model:
+    rows = texts(docs, id_col, text_col, held_out=F.coalesce(held_out, F.lit(False)))
+    marks = labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[toxic_col].cast("int").alias("toxic"))
+    marks = marks.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # A bounded number of narrow rows, so no text moves.
+    marks = marks.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
+    return train(rows.where(~F.col("held_out")).join(F.broadcast(marks), "doc_id").select("text", "toxic"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id",
                     text_col: str = "text", toxic_col: str = "toxic") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted. Rows held out teach nothing."""
+    model = _model(docs, labels, held_out, id_col, text_col, toxic_col)
     rows = texts(docs, id_col, text_col, held_out=F.coalesce(held_out, F.lit(False)))
-    marks = labels.select(labels[id_col].cast("bigint").alias("doc_id"), labels[toxic_col].cast("int").alias("toxic"))
-    marks = marks.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = rows.where(~F.col("held_out")).join(marks, "doc_id").select("doc_id", "text", "toxic")
-    model = train(labelled)
     return rows.mapInArrow(_score(model), "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id",
+                  text_col: str = "text", toxic_col: str = "toxic", bar: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``bar``, with all their columns; no row moves."""
+    model = _model(docs, labels, held_out, id_col, text_col, toxic_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                rows = np.array([clause_features(t, model.lexicon) for t in part.column(text_col).to_pylist()])
+                yield part.filter(pa.array(model.scores(rows.reshape(-1, len(FEATURES))) < bar))
+
+    return docs.mapInArrow(run, docs.schema)

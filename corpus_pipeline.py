@@ -1,9 +1,92 @@
-"""Placeholder of the corpus pipeline; stages follow with their operators."""
+"""A training corpus from raw documents: toxicity, near copies, repeated passages, personal data, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
+Parquet and read again as the next one's ``docs``. All but the last return the columns of
+``documents``. As a stage's input is always a written table, scratch tables of the
+stages before it are no longer read and are cleared when a stage begins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from chatlake.llm import nearcopies, packing, personal, repeats, toxicity
+from chatlake.llm.queries import fold, tokenizer_path
+from chatlake.session import clear_scratch, scratch_path, tune
+
+
+def _begin(spark: SparkSession) -> None:
+    clear_scratch(tune(spark))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the grammar does not call toxic; learned from the labels outside the held-out fold."""
+    _begin(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, labels, fold("doc_id", 5, 0))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies; documents without an id all stay."""
+    _begin(spark)
+    found = nearcopies.near_copies(docs)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    # Rows that share an id are one document, of which one row stays.
+    text = F.xxhash64("text")
+    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
+    return left.withColumn("_row", F.row_number().over(one)).where(
+        F.col("doc_id").isNull() | (F.col("_row") == 1)).select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document with a smaller id has too; others stay as they are."""
+    _begin(spark)
+    found = repeats.remove_repeats(docs, with_text=True).where("n_removed > 0").dropDuplicates(["doc_id", "mark"])
+    found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("kept_text").alias("_kept"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark"))
+    return _with_text(docs, docs.join(found, same, "left").withColumn("text", F.coalesce("_kept", "text")))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by its kind in brackets."""
+    _begin(spark)
+    return _with_text(docs, personal.mask_texts(docs, personal.find_personal(docs)))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents with their places in sequences."""
+    _begin(spark)
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+
+
+def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with n_chars, where there is one, as long as the text is now."""
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn(
+            "n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(
+                docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_copies", drop_near_copies),
+    ("repeated_passages", drop_repeated_passages),
+    ("personal_data", mask_personal_data),
+    ("packing", pack),
+]
+
+# Trained classifiers and tokenizers have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        # Beside the scratch tables that a stage clears.
+        path = scratch_path(spark, name).replace("/chatlake/", "/chatlake-stages/", 1)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
