@@ -164,7 +164,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = signed.where("n_shingles > 0 and doc_id is not null")
     key = ["set_a", "set_b", "n_shingles"]
     classes = named.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    member = settled(signed.select("doc_id", *key).join(classes, key, "left"), "members")
+    placed = signed.select("doc_id", *key).join(classes, key, "left")
+    # A row without an id is like others but belongs to none.
+    member = settled(placed.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "members")
     # Rows of one document may be of several classes.
     several = member.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     own = member.where("node is not null").select("doc_id", "node").distinct().join(
