@@ -1,15 +1,19 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Words are the runs between spaces and line feeds: the tokenizer drops white space
-before it merges, and neither its normaliser nor its special tokens reach across a
-space, so a word has the same ids wherever it stands. Every distinct word of the
-corpus is encoded once; its ids are joined with the id-to-piece table for decoding.
+Words are the runs between ASCII white space: the tokenizer drops white space before it
+merges, and neither its normaliser nor its special tokens reach across a space, so a
+word has the same ids wherever it stands. Every distinct word of the corpus is encoded
+once.
 
-Ids return to their places in two ways. The ``frequent`` most frequent words (words
-of at most ``WORD_BYTES`` bytes, hence a table of bounded size) are sent to all
-tasks, and a text becomes a compact string of their numbers. The rest, at most one
-row per text and distinct word, is joined by word and comes back by text. A hot word
-is therefore never a join key; rows of the second join are the texts themselves.
+Ids return to their places in two ways. The ``frequent`` most frequent words (of at most
+``WORD_BYTES`` bytes, hence a table of bounded size) go to all tasks as sorted 64-bit
+hashes with their ids, and a text becomes a compact string of their numbers. The other
+words, one row per text and distinct word, are joined by word and come back by text.
+A hot word is therefore never a join key. A frequent word whose hash any other word of
+the corpus shares is taken off the frequent ones, so a hash never decides wrongly.
+
+Ids become pieces through the id-to-piece table, which has one row per id of the
+vocabulary, whatever the corpus holds, and is looked up where a text is put together.
 
 Results by case: NULL and empty texts have no ids (the digests are those of the
 empty string); repeated rows each get their row; other columns are ignored.
@@ -18,32 +22,36 @@ empty string); repeated rows each get their row; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chatlake.llm.common import settled, texts
-from chatlake.llm.wordhash import slices
+from chatlake.llm.wordhash import Words, slices
 
-FREQUENT = 262_144
+FREQUENT = 1 << 20
 WORD_BYTES = 64
 # Distinct words a worker gathers before it passes their counts on.
 GATHERED = 300_000
+_SPACES = str.maketrans("\t\n\v\f\r", "     ")
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in text.replace("\n", " ").split(" ") if w]
+    return [w for w in text.translate(_SPACES).split(" ") if w]
 
 
 @cache
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
+    # Tasks share the machine already; threads per task would only wait for each other.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -52,7 +60,7 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def piece_table(spark, path: str) -> DataFrame:
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
     """Every id of the vocabulary and its piece: as many rows as the tokenizer has ids."""
     tokenizer = _tokenizer(path)
     rows = [(i, tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
@@ -78,152 +86,206 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield table()
 
 
-def _ids_of(path: str) -> Column:
-    @pandas_udf("array<int>")
-    def encode(words):
-        encoded = _tokenizer(path).encode_batch_fast(words.tolist(), add_special_tokens=False)
-        return words.__class__([np.array(e.ids, np.int32) for e in encoded], dtype=object)
-
-    return encode(F.col("word"))
+def _encode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(path)
+        for batch in batches:
+            encoded = [e.ids for e in tokenizer.encode_batch_fast(batch.column("word").to_pylist(), add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("n"), pa.array(encoded, pa.list_(pa.int32()))], ["word", "n", "ids"])
+    return run
 
 
 def word_table(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """word, n (occurrences), ids, pieces of every distinct word; one shuffle, on the word."""
+    """word, n (occurrences), ids of every distinct word; one shuffle, on the word."""
     counted = docs.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    encoded = counted.withColumn("ids", _ids_of(tokenizer_path))
-    placed = encoded.select("word", "n", F.posexplode_outer("ids").alias("place", "id"))
-    pieces = F.broadcast(piece_table(docs.sparkSession, tokenizer_path))
-    decoded = placed.join(pieces, "id", "left").groupBy("word").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("place", "id", "piece"))).alias("parts"))
-    found = F.filter("parts", lambda p: p["id"].isNotNull())
-    return decoded.select(
-        "word", "n", F.transform(found, lambda p: p["id"]).alias("ids"),
-        F.array_join(F.transform(found, lambda p: p["piece"]), " ").alias("pieces"))
-
-
-def _codes(numbers: dict[str, int]):
-    """Texts as numbers of frequent words; other words get numbers after those, by text."""
+    return counted.mapInArrow(_encode(tokenizer_path), "word string, n bigint, ids array<int>")
+
+
+class Frequent(NamedTuple):
+    """Words by number: sorted hashes with the number of each, and the ids of all in a row."""
+
+    hashes: np.ndarray
+    numbers: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+
+
+def _found(ordered: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``wanted`` are in ``ordered``, and where."""
+    if not len(ordered):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(ordered, wanted), len(ordered) - 1)
+    return ordered[at] == wanted, at
+
+
+def _hashes_of(words: pa.Array) -> np.ndarray:
+    return Words(words).hashes()  # each is one word
+
+
+def _sharing(hashes: np.ndarray):
+    """Hashes of frequent words that some other word has as well."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                codes, rest = [], []
-                for text in part.column("text").to_pylist():
-                    words = words_of(text) if text else []
-                    rare = list(dict.fromkeys(w for w in words if w not in numbers))
-                    own = {w: len(numbers) + i for i, w in enumerate(rare)}
-                    codes.append(_packed([numbers[w] if w in numbers else own[w] for w in words]))
-                    rest.append(rare)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), pa.array(codes, pa.binary()),
-                     pa.array(rest, pa.list_(pa.string()))], ["doc_id", "text_hash", "codes", "rare"])
+            if batch.num_rows:
+                own = _hashes_of(batch.column("word"))
+                shared = own[_found(hashes, own)[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(shared.view(np.int64))], ["hash"])
     return run
 
 
-def _packed(numbers: list[int]) -> bytes:
-    """Numbers as two bytes each where below 65,535, else that mark and four bytes more."""
-    n = np.array(numbers, np.uint32)
-    if not (n >= 0xFFFF).any():
-        return n.astype("<u2").tobytes()
-    wide = n >= 0xFFFF
-    at = np.cumsum(np.where(wide, 3, 1)) - np.where(wide, 3, 1)
-    out = np.empty(len(n) + 2 * int(wide.sum()), "<u2")
-    out[at] = np.where(wide, 0xFFFF, n)
-    out[at[wide] + 1] = n[wide] & 0xFFFF
-    out[at[wide] + 2] = n[wide] >> 16
-    return out.tobytes()
-
-
-def _unpacked(data: bytes) -> list[int]:
-    raw = np.frombuffer(data, "<u2").astype(np.uint32)
-    marks = np.flatnonzero(raw == 0xFFFF)
-    if not len(marks):
-        return raw.tolist()
-    # A mark within the four bytes of another number is no mark.
-    real, last = [], -3
-    for m in marks.tolist():
-        if m > last + 2:
-            real.append(m)
-            last = m
-    real = np.array(real)
-    raw[real] = raw[real + 1] | (raw[real + 2] << np.uint32(16))
-    keep = np.ones(len(raw), bool)
-    keep[real + 1] = keep[real + 2] = False
-    return raw[keep].tolist()
-
-
-def _most_frequent(table: DataFrame, limit: int) -> dict[str, list]:
-    """At most ``limit`` words of bounded length that occur most, most frequent first.
+def most_frequent(table: DataFrame, limit: int) -> tuple[Frequent, DataFrame]:
+    """At most ``limit`` words of bounded length that occur most, and the rows of all other words.
 
     The frequency from which on they fit is read off a table of a few hundred
     classes, so no more rows than those asked for reach the driver.
     """
-    short = table.where(F.octet_length("word") <= WORD_BYTES)
+    short = F.octet_length("word") <= WORD_BYTES
     frequency = F.floor(F.log2("n") * 16)
-    classes = sorted(short.groupBy(frequency.alias("class")).count().collect(), reverse=True)
+    classes = sorted(table.where(short).groupBy(frequency.alias("class")).count().collect(), reverse=True)
     held, least = 0, None
     for row in classes:
         held += row["count"]
         if held > limit:
             break
         least = row["class"]
-    chosen = short.where(frequency >= least) if least is not None else short.limit(0)
-    found = chosen.select(
-        "word", "n", F.array_join("ids", " ").alias("decimal"), F.size("ids").alias("size"), "pieces").toArrow()
-    return found.sort_by([("n", "descending"), ("word", "ascending")]).drop_columns("n").to_pydict()
+    chosen = short & (frequency >= least) if least is not None else F.lit(False)
+    found = table.where(chosen).select("word", "n", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    found = found.combine_chunks()
+    lists = found.column("ids").combine_chunks()
+    hashes = _hashes_of(found.column("word").combine_chunks()) if found.num_rows else np.zeros(0, np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    rest = table.where(~chosen)
+    clashes = {r["hash"] for r in rest.select("word").mapInArrow(_sharing(hashes), "hash bigint").collect()}
+    clashes |= set(hashes[1:][hashes[1:] == hashes[:-1]].view(np.int64).tolist())
+    alone = ~np.isin(hashes.view(np.int64), list(clashes)) if clashes else np.ones(len(hashes), bool)
+    starts = np.asarray(lists.offsets).astype(np.int32) if found.num_rows else np.zeros(1, np.int32)
+    ids = np.asarray(lists.values).astype(np.int32) if found.num_rows else np.zeros(0, np.int32)
+    ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
+    frequent = Frequent(hashes[alone], order[alone].astype(np.int32), ids, starts)
+    # A frequent word that shares its hash is looked up like a rare one.
+    return frequent, table if clashes else rest
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers in two bytes below 0xFF00; larger ones add two, those from 0xFF0000 on four.
+
+    The first two bytes of a larger number are 0xFF00 and its third byte, or 0xFFFF.
+    """
+    high = np.minimum(numbers >> 16, 0xFF)
+    wide = numbers >= 0xFF00
+    parts = (np.array([len(numbers)], "<u4"), np.where(wide, 0xFF00 | high, numbers).astype("<u2"),
+             (numbers[wide] & 0xFFFF).astype("<u2"), (numbers[wide & (high == 0xFF)] >> 16).astype("<u2"))
+    return b"".join(p.tobytes() for p in parts)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    count = int(np.frombuffer(data, "<u4", 1)[0])
+    raw = np.frombuffer(data, "<u2", offset=4).astype(np.int64)
+    out, extra = raw[:count], raw[count:]
+    wide = np.flatnonzero(out >= 0xFF00)
+    high, low, top = out[wide] & 0xFF, extra[: len(wide)], extra[len(wide):]
+    high[high == 0xFF] = top
+    out[wide] = low | (high << 16)
+    return out
 
 
-def _assemble(frequent: dict[str, list]):
-    decimal, sizes, pieces = frequent["decimal"], frequent["size"], frequent["pieces"]
+def _codes(frequent: Frequent):
+    """Texts as numbers of frequent words; other words get the numbers after those, text by text."""
+    # Only what a stage needs is sent to its tasks.
+    known, ordered, number = len(frequent.starts) - 1, frequent.hashes, frequent.numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows = []
-                for doc_id, codes, rare in zip(*(part.column(c).to_pylist() for c in ("doc_id", "codes", "rare"))):
-                    numbers = _unpacked(codes)
-                    known = {len(sizes) + r["place"]: (r["ids"], r["pieces"]) for r in rare or ()}
-                    text, decoded, count = [], [], 0
-                    for n in numbers:
-                        if n < len(sizes):
-                            text.append(decimal[n])
-                            decoded.append(pieces[n])
-                            count += sizes[n]
-                        else:
-                            ids, piece = known[n]
-                            text.append(" ".join(map(str, ids)))
-                            decoded.append(piece)
-                            count += len(ids)
-                    ids_text, whole = " ".join(filter(None, text)), " ".join(filter(None, decoded))
-                    rows.append((doc_id, count, hashlib.sha256(ids_text.encode()).hexdigest(),
-                                 hashlib.sha256(whole.encode()).hexdigest(), ids_text, whole))
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"))
+                hashes = words.hashes()
+                here, at = _found(ordered, hashes)
+                numbers = np.full(len(hashes), -1, np.int64)
+                numbers[here] = number[at[here]]
+                codes, rest = [], []
+                for a, b in zip(words.first[:-1], words.first[1:]):
+                    own = numbers[a:b]
+                    rare: dict[bytes, int] = {}
+                    for i in np.flatnonzero(own < 0):
+                        word = words.data[words.starts[a + i]: words.ends[a + i]].tobytes()
+                        own[i] = known + rare.setdefault(word, len(rare))
+                    codes.append(packed(own))
+                    rest.append([w.decode() for w in rare])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.string()] * 4))],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+                    [part.column("doc_id"), part.column("text_key"), pa.array(codes, pa.binary()),
+                     pa.array(rest, pa.list_(pa.string()))], ["doc_id", "text_key", "codes", "rare"])
+    return run
+
+
+def _assemble(frequent: Frequent, pieces: list[str]):
+    frequent_ids, frequent_starts, known = frequent.ids, frequent.starts, len(frequent.starts) - 1
+    decimals = [str(i) for i in range(len(pieces))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                rows = []
+                for doc_id, codes, rare in zip(*(batch.slice(first, 64).column(c).to_pylist()
+                                                 for c in ("doc_id", "codes", "rare"))):
+                    numbers = unpacked(codes)
+                    own = {r["place"]: r["ids"] for r in rare or ()}
+                    lists = [np.array(own[i], np.int32) for i in range(len(own))]
+                    starts, sizes = _bounds(frequent_starts, lists, numbers)
+                    ends = np.cumsum(sizes)
+                    at = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+                    ids = np.empty(len(at), np.int32)
+                    common = at < len(frequent_ids)
+                    ids[common] = frequent_ids[at[common]]
+                    if lists:
+                        ids[~common] = np.concatenate(lists)[at[~common] - len(frequent_ids)]
+                    chosen = ids.tolist()
+                    ids_text = " ".join([decimals[i] for i in chosen])
+                    decoded = " ".join([pieces[i] for i in chosen])
+                    rows.append((doc_id, len(chosen), hashlib.sha256(ids_text.encode()).hexdigest(),
+                                 hashlib.sha256(decoded.encode()).hexdigest(), ids_text, decoded))
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.string()] * 4))],
+                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
     return run
 
 
+def _bounds(frequent_starts: np.ndarray, lists: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ids of each word start in the frequent ids followed by ``lists``, and how many they are."""
+    known = len(frequent_starts) - 1
+    own_sizes = np.array([len(x) for x in lists], np.int64)
+    own_starts = int(frequent_starts[-1]) + np.cumsum(own_sizes) - own_sizes
+    rare = numbers >= known
+    starts, sizes = np.empty_like(numbers), np.empty_like(numbers)
+    common = numbers[~rare]
+    starts[~rare] = frequent_starts[common]
+    sizes[~rare] = frequent_starts[common + 1] - frequent_starts[common]
+    starts[rare], sizes[rare] = own_starts[numbers[rare] - known], own_sizes[numbers[rare] - known]
+    return starts, sizes
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
                   frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded.
 
     ``ids`` are the decimal ids joined by spaces, ``decoded`` the pieces of those ids
-    joined by spaces. Leave a column out of the result and it is not carried on.
+    joined by spaces.
     """
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    # Rows with equal id and text have equal words, so this key is enough for both.
+    rows = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("doc_id", "text"))
     table = settled(word_table(rows, tokenizer_path), "words")
-    top = _most_frequent(table, frequent)
-    numbers = {word: i for i, word in enumerate(top.pop("word"))}
-    coded = rows.mapInArrow(_codes(numbers), "doc_id bigint, text_hash bigint, codes binary, rare array<string>")
-    # Repeated rows find their rare words twice, which says the same twice.
-    rare = coded.select("doc_id", "text_hash", F.posexplode("rare").alias("place", "word"))
-    found = rare.join(table.select("word", "ids", "pieces"), "word")
-    found = settled(found.select("doc_id", "text_hash", "place", "ids", "pieces"), "rare_words")
-    by_text = found.groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(
-        F.collect_list(F.struct("place", "ids", "pieces")).alias("rare"))
-    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & F.col("text_hash").eqNullSafe(F.col("found_hash"))
-    joined = coded.drop("rare").join(by_text, same, "left").select("doc_id", "codes", "rare")
+    top, others = most_frequent(table, frequent)
+    pieces = piece_table(docs.sparkSession, tokenizer_path).orderBy("id").toArrow()
+    by_id = [""] * (pieces.column("id")[-1].as_py() + 1)
+    for i, piece in zip(pieces.column("id").to_pylist(), pieces.column("piece").to_pylist()):
+        by_id[i] = piece
+    coded = rows.mapInArrow(_codes(top), "doc_id bigint, text_key bigint, codes binary, rare array<string>")
+    rare = coded.select("text_key", F.posexplode("rare").alias("place", "word"))
+    found = settled(rare.join(others.select("word", "ids"), "word").select("text_key", "place", "ids"), "rare_words")
+    by_text = found.groupBy(F.col("text_key").alias("found_key")).agg(F.collect_list(F.struct("place", "ids")).alias("rare"))
+    joined = coded.drop("rare").join(by_text, F.col("text_key") == F.col("found_key"), "left").select("doc_id", "codes", "rare")
     return joined.mapInArrow(
-        _assemble(top),
+        _assemble(top, by_id),
         "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids string, decoded string")
