@@ -94,6 +94,7 @@ def messaging_contact(phone: Column) -> Column:
 
 def valid_recipient(value: Column) -> Column:
     """An e-mail address, or 10 to 16 digits once punctuation is dropped."""
+    # The patterns of valid recipients.
     email = strip(value).rlike(r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$")
     phone = _dialled(value).rlike(r"^\+?1?[0-9]{10,15}$")
     return F.coalesce(email | phone, F.lit(False))

@@ -8,7 +8,7 @@ from chatlake.functions.text import not_blank, present, strip
 from chatlake.operators.contacts import one_user_per_handle
 from chatlake.operators.keys import drop_keys, keep_keys
 from chatlake.operators.lookups import chats_with_users
-from chatlake.operators.sequences import MAX_GROUP_ROWS, top_n_per_group
+from chatlake.operators.sequences import PART_ROWS, top_n_per_group
 
 
 def chat_users_build(chat_handle_join: DataFrame, users: DataFrame) -> DataFrame:
@@ -43,12 +43,10 @@ def messages_in_chat(messages: DataFrame, chat_messages: DataFrame, chat_id: int
     return rows.limit(limit) if limit else rows
 
 
-def newest_per_chat(messages: DataFrame, chat_messages: DataFrame, limit: int,
-                    max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def newest_per_chat(messages: DataFrame, chat_messages: DataFrame, limit: int) -> DataFrame:
     """``messages_in_chat`` with a limit, for every chat at once."""
     # Pick the rows on the narrow junction table, then fetch only those messages.
-    newest = top_n_per_group(chat_messages, ["chat_id"], [F.desc("message_date"), F.desc("message_id")], limit,
-                             "message_id", max_group_rows=max_group_rows)
+    newest = top_n_per_group(chat_messages, ["chat_id"], [F.desc("message_date"), F.desc("message_id")], limit)
     return in_chats(messages, newest)
 
 
@@ -76,10 +74,12 @@ def chats_for_users(chats: DataFrame, chat_users: DataFrame, wanted: DataFrame)
     return mine.join(chats.join(sizes, "chat_id"), "chat_id").select("user_id", "chat_id", "display_name", "members")
 
 
-def chats_for_user(chats: DataFrame, chat_users: DataFrame, user_id: str) -> DataFrame:
-    """The chats of one user, each with its full sorted member list."""
-    mine = chat_users.where(F.col("user_id") == user_id)
-    return chats_with_users(keep_keys(chats, mine, ["chat_id"]), keep_keys(chat_users, mine, ["chat_id"]))
+def chats_for_user(chats: DataFrame, chat_users: DataFrame, user_ids: str | list[str],
+                   part_rows: int = PART_ROWS) -> DataFrame:
+    """The chats of one user, or of some, each once with its full sorted member list, ``part_rows`` to a row."""
+    wanted = [user_ids] if isinstance(user_ids, str) else list(user_ids)
+    mine = chat_users.where(F.col("user_id").isin(wanted))
+    return chats_with_users(keep_keys(chats, mine, ["chat_id"]), keep_keys(chat_users, mine, ["chat_id"]), part_rows)
 
 
 def chat_users_details(chat_users: DataFrame, users: DataFrame) -> DataFrame:
@@ -123,8 +123,7 @@ def best_chat_for_name(chats: DataFrame, chat_messages: DataFrame, chat_users: D
 MAX_NAME_PARTS = 3
 
 
-def generated_names(chats: DataFrame, chat_handle_join: DataFrame, handle: DataFrame, users: DataFrame,
-                    max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def generated_names(chats: DataFrame, chat_handle_join: DataFrame, handle: DataFrame, users: DataFrame) -> DataFrame:
     """A name per chat from up to three members: known people first, then bare handles."""
     members = chat_handles_named(chat_handle_join, handle).join(one_user_per_handle(users), "handle_id", "left")
     first, last = F.col("first_name"), F.col("last_name")
@@ -139,8 +138,7 @@ def generated_names(chats: DataFrame, chat_handle_join: DataFrame, handle: DataF
         "chat_id", "handle_id", known.isNull().cast("int").alias("bare"),
         F.coalesce(known, F.col("handle_identifier")).alias("label"),
     )
-    shown = top_n_per_group(parts, ["chat_id"], [F.col("bare"), F.col("handle_id")], MAX_NAME_PARTS, "handle_id",
-                            max_group_rows=max_group_rows, sized_by=chat_handle_join)
+    shown = top_n_per_group(parts, ["chat_id"], [F.col("bare"), F.col("handle_id")], MAX_NAME_PARTS)
     names = shown.groupBy("chat_id").agg(
         F.array_sort(F.collect_list(F.struct("bare", "handle_id", "label"))).alias("_shown"))
     sizes = members.groupBy("chat_id").agg(F.count(F.lit(1)).alias("_members"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chatlake.functions import contact as C
 from chatlake.functions.text import present
 from chatlake.operators.keys import drop_keys, keep_keys
 from chatlake.operators.lookups import USER_COLUMNS
-from chatlake.operators.sequences import MAX_GROUP_ROWS, collect_parts
+from chatlake.operators.sequences import PART_ROWS, collect_parts
 
 PERSON = ["source", "z_pk"]
 
@@ -53,11 +55,11 @@ def person_contacts(record: DataFrame, phone: DataFrame, email: DataFrame) -> Da
 
 
 def person_contact_sets(record: DataFrame, phone: DataFrame, email: DataFrame,
-                        max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """The sorted set of phones and of e-mails of each person; a huge set spreads over parts."""
+                        part_rows: int = PART_ROWS) -> DataFrame:
+    """The sorted set of phones and of e-mails of each person, ``part_rows`` to a row."""
     points = person_contacts(record, phone, email)
     return collect_parts(points, [*PERSON, "first_name", "last_name", "kind"], ["value"], F.col("value"), "values",
-                         max_group_rows=max_group_rows)
+                         part_rows)
 
 
 def extract_contacts(record: DataFrame, phone: DataFrame, email: DataFrame) -> DataFrame:
@@ -214,22 +216,46 @@ def lookup_cascade(handle: DataFrame, lookup: DataFrame) -> DataFrame:
 
 # Reports.
 
-def extraction_stats(record: DataFrame, phone: DataFrame, email: DataFrame) -> DataFrame:
-    """Sources, named records, records with a phone / e-mail, distinct contact rows."""
-    people = named(record)
+def _distinct_rows(record: DataFrame, phone: DataFrame, email: DataFrame) -> DataFrame:
+    """How many distinct (first name, last name, phone, e-mail) rows people have, as ``unique_contacts``.
+
+    Phones x e-mails are not built: a phone that one person of a name holds stands in as
+    many rows as that person has e-mails. Only phones that namesakes share are joined
+    with the e-mails of all who hold them.
+    """
+    name = ["first_name", "last_name"]
+    people = named(record).select(*PERSON, *name)
+    phones = people.join(_owned(phone, "full_number"), PERSON, "left").distinct()
+    emails = people.join(_owned(email, "address"), PERSON, "left").distinct()
+    # The number of holders and, for a single one, who it is.
+    holders = phones.groupBy(*name, "full_number").agg(
+        F.count(F.lit(1)).alias("holders"), F.min(F.struct(*PERSON)).alias("holder"))
+    sizes = emails.groupBy(*PERSON, *name).agg(F.count(F.lit(1)).alias("addresses"))
+    single = holders.where("holders = 1").select("holder.*", *name).join(
+        sizes.select(*PERSON, "addresses", *[F.col(c).alias(f"_{c}") for c in name]), PERSON).where(
+            _same_names(name)).agg(F.coalesce(F.sum("addresses"), F.lit(0)))
+    shared = holders.where("holders > 1").select(*[F.col(c).alias(f"_{c}") for c in (*name, "full_number")])
+    among = phones.join(shared, _same_names([*name, "full_number"])).select(*PERSON, *name, "full_number")
+    addresses = emails.select(*PERSON, *[F.col(c).alias(f"_{c}") for c in name], "address")
+    several = among.join(addresses, PERSON).where(_same_names(name)).select(
+        *name, "full_number", "address").distinct().agg(F.count(F.lit(1)).alias("rows"))
+    return several.select((F.col("rows") + single.scalar()).alias("unique_contacts"))
+
+
+def _same_names(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
 
-    def reachable(points: DataFrame):
-        owners = points.select("source", F.col("owner").alias("z_pk"))
-        return keep_keys(people, owners, PERSON).select(PERSON).distinct().agg(F.count("*")).scalar()
 
-    rows = person_rows(record, phone, email)
-    distinct_rows = rows.select("first_name", "last_name", "full_number", "address").distinct()
+def extraction_stats(record: DataFrame, phone: DataFrame, email: DataFrame) -> DataFrame:
+    """Sources, named records, records with a phone / e-mail, distinct contact rows."""
+    people = named(record).groupBy(*PERSON).agg(F.count(F.lit(1)).alias("rows"))
+    for points, flag in ((phone, "has_phone"), (email, "has_email")):
+        owners = points.select("source", F.col("owner").alias("z_pk")).distinct().withColumn(flag, F.lit(1))
+        people = people.join(owners, PERSON, "left")
     return people.agg(
-        F.countDistinct("source").alias("total_databases"), F.count(F.lit(1)).alias("total_records")
-    ).select(
-        "*", reachable(phone).alias("records_with_phone"), reachable(email).alias("records_with_email"),
-        distinct_rows.agg(F.count("*")).scalar().alias("unique_contacts"),
-    )
+        F.countDistinct("source").alias("total_databases"), F.coalesce(F.sum("rows"), F.lit(0)).alias("total_records"),
+        F.count("has_phone").alias("records_with_phone"), F.count("has_email").alias("records_with_email"),
+    ).select("*", _distinct_rows(record, phone, email).scalar().alias("unique_contacts"))
 
 
 def name_completeness(record: DataFrame, phone: DataFrame, email: DataFrame) -> DataFrame:

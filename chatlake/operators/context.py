@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chatlake.functions import text as X
 from chatlake.functions.time import iso_text
 from chatlake.operators.keys import keep_keys
-from chatlake.operators.sequences import MAX_GROUP_ROWS, top_n_per_group
+from chatlake.operators.sequences import top_n_per_group
 
 MAX_CONTEXT = 2000
 CHARS_PER_TOKEN = 4
@@ -20,16 +20,14 @@ REPLY_TEMPLATE = (
 )
 
 
-def last_n_context(messages: DataFrame, chat_messages: DataFrame, n: int = MAX_CONTEXT,
-                   max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def last_n_context(messages: DataFrame, chat_messages: DataFrame, n: int = MAX_CONTEXT) -> DataFrame:
     """The latest ``n`` messages of each chat; ``position`` 1 is the newest.
 
     Rows are chosen on ids and dates alone; only the chosen ones fetch their text.
     """
     stored = keep_keys(chat_messages.select("chat_id", "message_id", "message_date"), messages, ["message_id"])
     newest = [F.col("message_date").desc(), F.col("message_id").desc()]
-    chosen = top_n_per_group(stored, ["chat_id"], newest, n, "message_id", "position", max_group_rows,
-                             sized_by=chat_messages)
+    chosen = top_n_per_group(stored, ["chat_id"], newest, n, "position")
     return messages.join(chosen, "message_id")
 
 
@@ -69,10 +67,10 @@ def history_texts(context: DataFrame) -> DataFrame:
 
 
 def prompt_dataset(requests: DataFrame, messages: DataFrame, chat_messages: DataFrame, n: int = MAX_CONTEXT,
-                   template: str = REPLY_TEMPLATE, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                   template: str = REPLY_TEMPLATE) -> DataFrame:
     """Prompt text per request (chat_id, user_id, contents, created_at) from the chat's last ``n`` messages."""
     wanted = keep_keys(chat_messages, requests, ["chat_id"])
-    texts = history_texts(last_n_context(messages, wanted, n, max_group_rows))
+    texts = history_texts(last_n_context(messages, wanted, n))
     new_message = X.history_line(iso_text(F.col("created_at")), F.lit(False), F.col("contents"))
     history = F.coalesce("chat_history", F.lit(X.NO_HISTORY))
     return requests.join(texts, "chat_id", "left").select(

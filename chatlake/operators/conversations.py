@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatlake.functions.text import numbered_line
-from chatlake.operators.sequences import MAX_GROUP_ROWS, collect_parts, group_index
+from chatlake.operators.sequences import PART_ROWS, collect_parts, group_index
 
 GAP_HOURS = 48
 MIN_MESSAGES = 2
@@ -33,14 +33,35 @@ def _cell(gap_hours: float) -> Column:
     return F.call_function("div", micros - F.pmod(micros, F.lit(width)), F.lit(width))
 
 
+# A place in a chat as one number: the time, then the message id. No time comes first.
+_WIDTH, _HALF, _NO_TIME = 2**64, 2**63, -(2**62)
+
+
+def _number(value: int) -> Column:
+    return F.lit(str(value)).cast("decimal(20,0)")
+
+
+def _place() -> Column:
+    time = F.coalesce(F.unix_micros("created_at"), F.lit(_NO_TIME)).cast("decimal(20,0)")
+    return (time * _number(_WIDTH) + (F.col("message_id").cast("decimal(20,0)") + _number(_HALF))).cast("decimal(38,0)")
+
+
+def _message_at(place: str) -> Column:
+    return (F.pmod(F.col(place), _number(_WIDTH)) - _number(_HALF)).cast("bigint")
+
+
+def _time_at(place: str) -> Column:
+    micros = F.floor(F.col(place) / _number(_WIDTH)).cast("bigint")
+    return F.when(micros != _NO_TIME, F.timestamp_micros(micros))
+
+
 def _cells(messages: DataFrame, gap_hours: float, with_rows: bool = True) -> DataFrame:
     """One row per chat and occupied cell, numbered into conversations per chat.
 
-    ``with_rows`` keeps the first and last row of each cell; without them only
-    numbers are aggregated, which a hash aggregation can do in place.
+    ``with_rows`` keeps the first and last row of each cell, as one number each. Only
+    numbers are aggregated, which a hash aggregation does in place.
     """
-    row = F.struct("created_at", "message_id", "user_id")
-    edges = [F.min(row).alias("head"), F.max(row).alias("tail")] if with_rows else []
+    edges = [F.min(_place()).alias("head"), F.max(_place()).alias("tail")] if with_rows else []
     cells = messages.groupBy("chat_id", _cell(gap_hours).alias("cell")).agg(
         F.count(F.lit(1)).alias("rows"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), *edges)
     by_time = Window.partitionBy("chat_id").orderBy("cell")
@@ -69,29 +90,37 @@ def conversation_id(chat_id: Column, start_message_id: Column) -> Column:
     return F.concat_ws(":", chat_id.cast("string"), start_message_id.cast("string"))
 
 
-def _summaries(pieces: DataFrame, min_messages: int) -> DataFrame:
-    """Conversations from pieces that carry (chat_id, segment, rows, before, head, tail)."""
+def _stretched(pieces: DataFrame, min_messages: int) -> DataFrame:
+    """Pieces (chat_id, segment, rows, before, head, tail) put together, those long enough."""
     whole = pieces.groupBy("chat_id", "segment").agg(
         F.sum("rows").alias("message_count"), F.min("before").alias("start_index"),
         F.min("head").alias("head"), F.max("tail").alias("tail"))
     return whole.where(F.col("message_count") >= min_messages).select(
-        conversation_id(F.col("chat_id"), F.col("head.message_id")).alias("conversation_id"), "chat_id", "segment",
-        F.col("head.message_id").alias("start_message_id"), F.col("tail.message_id").alias("end_message_id"),
-        "message_count", F.col("head.created_at").alias("start_time"), F.col("tail.created_at").alias("end_time"),
-        F.lit(None).cast("string").alias("title"), F.lit("completed").alias("status"),
-        F.col("head.user_id").alias("initiated_by"), "start_index",
+        conversation_id(F.col("chat_id"), _message_at("head")).alias("conversation_id"), "chat_id", "segment",
+        _message_at("head").alias("start_message_id"), _message_at("tail").alias("end_message_id"),
+        "message_count", _time_at("head").alias("start_time"), _time_at("tail").alias("end_time"), "start_index",
     )
 
 
+def _started(found: DataFrame, messages: DataFrame) -> DataFrame:
+    """Conversations in full: the user of the first message is fetched by its id."""
+    first = found.select("chat_id", F.col("start_message_id").alias("message_id"))
+    starters = messages.select("chat_id", "message_id", "user_id").join(first, ["chat_id", "message_id"]).groupBy(
+        "chat_id", F.col("message_id").alias("start_message_id")).agg(F.min("user_id").alias("initiated_by"))
+    return found.join(starters, ["chat_id", "start_message_id"]).select(
+        "conversation_id", "chat_id", "start_message_id", "end_message_id", "message_count", "start_time", "end_time",
+        F.lit(None).cast("string").alias("title"), F.lit("completed").alias("status"), "initiated_by", "start_index")
+
+
 def conversations(messages: DataFrame, gap_hours: float = GAP_HOURS, min_messages: int = MIN_MESSAGES) -> DataFrame:
     """One row per conversation of at least ``min_messages`` messages, split at time gaps."""
-    return _summaries(_cells(messages, gap_hours), min_messages).drop("segment")
+    return _started(_stretched(_cells(messages, gap_hours), min_messages), messages)
 
 
 def _cell_conversations(messages: DataFrame, gap_hours: float, min_messages: int) -> DataFrame:
     """(chat_id, cell) -> conversation: the small side of the one join that labels messages."""
     cells = _cells(messages, gap_hours)
-    kept = _summaries(cells, min_messages).select("conversation_id", "chat_id", "segment", "start_index")
+    kept = _stretched(cells, min_messages).select("conversation_id", "chat_id", "segment", "start_index")
     return cells.select("chat_id", "cell", "segment").join(kept, ["chat_id", "segment"]).drop("segment")
 
 
@@ -109,11 +138,10 @@ def conversation_members(messages: DataFrame, gap_hours: float = GAP_HOURS,
     return present.join(found, ["chat_id", "cell"]).select("conversation_id", "user_id").distinct()
 
 
-def conversation_messages(messages: DataFrame, gap_hours: float = GAP_HOURS, min_messages: int = MIN_MESSAGES,
-                          max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def conversation_messages(messages: DataFrame, gap_hours: float = GAP_HOURS, min_messages: int = MIN_MESSAGES) -> DataFrame:
     """(conversation_id, message_id, sequence_number): the nested messages as rows, numbered from 1."""
     narrow = messages.select("chat_id", "message_id", "created_at")
-    indexed = group_index(narrow, ["chat_id"], ORDER, max_group_rows=max_group_rows)
+    indexed = group_index(narrow, ["chat_id"], ORDER)
     found = _cell_conversations(messages, gap_hours, min_messages)
     return _labelled(indexed, found, gap_hours).select(
         "conversation_id", "message_id",
@@ -122,10 +150,10 @@ def conversation_messages(messages: DataFrame, gap_hours: float = GAP_HOURS, min
 
 
 def conversation_records(messages: DataFrame, gap_hours: float = GAP_HOURS, min_messages: int = MIN_MESSAGES,
-                         max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Conversations in the stored shape, with their sorted users; a huge list spreads over parts."""
+                         part_rows: int = PART_ROWS) -> DataFrame:
+    """Conversations in the stored shape, with their sorted users, ``part_rows`` to a row."""
     users = collect_parts(conversation_members(messages, gap_hours, min_messages), ["conversation_id"], ["user_id"],
-                          F.col("user_id"), "users", max_group_rows=max_group_rows)
+                          F.col("user_id"), "users", part_rows)
     return conversations(messages, gap_hours, min_messages).join(users, "conversation_id").select(
         "conversation_id", "chat_id", "part", "users", F.col("start_time").alias("created_at"),
         F.col("end_time").alias("completed_at"), F.col("message_count").alias("count"),
@@ -133,41 +161,44 @@ def conversation_records(messages: DataFrame, gap_hours: float = GAP_HOURS, min_
     )
 
 
-def message_index(messages: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """0-based position of each message in its chat."""
-    return group_index(messages, ["chat_id"], ORDER, max_group_rows=max_group_rows)
+def message_index(messages: DataFrame, cell: Column | None = None) -> DataFrame:
+    """0-based position of each message in its chat; ``cell`` as for ``group_index``, days by default."""
+    return group_index(messages, ["chat_id"], ORDER, cell=cell)
 
 
-def conversations_from_boundaries(messages: DataFrame, boundaries: DataFrame, min_messages: int = MIN_MESSAGES,
-                                  max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Conversations between boundaries that any annotator supplied as (chat_id, after_message_index).
-
-    Boundaries give the index range of every stretch, so each stretch is read off
-    its first and last row; the messages of a chat are never gathered.
-    """
-    narrow = messages.select("chat_id", "message_id", "created_at", "user_id")
-    indexed = message_index(narrow, max_group_rows)
+def _stretches(messages: DataFrame, boundaries: DataFrame, min_messages: int) -> DataFrame:
+    """(chat_id, start_index, end_index, message_count) between boundaries, from chat sizes alone."""
     sizes = messages.groupBy("chat_id").agg((F.count(F.lit(1)) - 1).alias("last"))
     ends = boundaries.select("chat_id", "after_message_index").join(sizes, "chat_id").select(
         "chat_id", F.least("after_message_index", "last").alias("end_index"))
     ends = ends.where("end_index >= 0").unionByName(sizes.select("chat_id", F.col("last").alias("end_index")))
     # The boundaries of a chat can be as many as its messages: number them like messages.
-    placed = group_index(ends.distinct(), ["chat_id"], ["end_index"], "segment", max_group_rows)
+    placed = group_index(ends.distinct(), ["chat_id"], ["end_index"], "segment")
     following = placed.select("chat_id", (F.col("segment") + 1).alias("segment"),
                               (F.col("end_index") + 1).alias("start_index"))
     stretches = placed.join(following, ["chat_id", "segment"], "left").withColumn(
         "start_index", F.coalesce("start_index", F.lit(0)))
-    stretches = stretches.withColumn("message_count", F.col("end_index") - F.col("start_index") + 1).where(
-        F.col("message_count") >= min_messages)
-    row = F.struct("created_at", "message_id", "user_id")
-    at = indexed.select("chat_id", F.col("message_index").alias("at"), row.alias("row"))
+    return stretches.withColumn("message_count", F.col("end_index") - F.col("start_index") + 1).where(
+        F.col("message_count") >= min_messages).drop("segment")
+
+
+def conversations_from_boundaries(messages: DataFrame, boundaries: DataFrame,
+                                  min_messages: int = MIN_MESSAGES) -> DataFrame:
+    """Conversations between boundaries that any annotator supplied as (chat_id, after_message_index).
+
+    Boundaries give the index range of every stretch, so each stretch is read off
+    its first and last row; the messages of a chat are never gathered.
+    """
+    stretches = _stretches(messages, boundaries, min_messages)
+    indexed = message_index(messages.select("chat_id", "message_id", "created_at"))
+    at = indexed.select("chat_id", F.col("message_index").alias("at"), _place().alias("place"))
     edges = stretches.select("chat_id", "start_index", "message_count", F.explode(
         F.array(F.col("start_index"), F.col("end_index"))).alias("at")).distinct()
     read = edges.join(at, ["chat_id", "at"]).groupBy("chat_id", "start_index", "message_count").agg(
-        F.min("row").alias("head"), F.max("row").alias("tail"))
+        F.min("place").alias("head"), F.max("place").alias("tail"))
     pieces = read.select("chat_id", F.col("start_index").alias("segment"), F.col("message_count").alias("rows"),
                          F.col("start_index").alias("before"), "head", "tail")
-    return _summaries(pieces, min_messages).drop("segment")
+    return _started(_stretched(pieces, min_messages), messages)
 
 
 def conversation_metrics(found: DataFrame) -> DataFrame:
@@ -178,13 +209,16 @@ def conversation_metrics(found: DataFrame) -> DataFrame:
 def detector_comparison(messages: DataFrame, boundaries: DataFrame, gap_hours: float = GAP_HOURS,
                         min_messages: int = MIN_MESSAGES) -> DataFrame:
     """Boundaries and conversations per detection method."""
-    def tally(method: str, cuts: DataFrame, found: DataFrame) -> DataFrame:
-        return cuts.agg(F.count(F.lit(1)).alias("boundaries")).select(
-            F.lit(method).alias("method"), "boundaries", found.agg(F.count(F.lit(1))).scalar().alias("conversations"))
-
-    by_time = tally("time_based", gap_boundaries(messages, gap_hours), conversations(messages, gap_hours, min_messages))
-    given = tally("supplied", boundaries, conversations_from_boundaries(messages, boundaries, min_messages))
-    return by_time.unionByName(given)
+    segments = _cells(messages, gap_hours, with_rows=False).groupBy("chat_id", "segment").agg(
+        F.sum("rows").alias("rows"), F.sum("starts").alias("starts"))
+    by_time = segments.agg(
+        F.coalesce(F.sum("starts"), F.lit(0)).cast("bigint").alias("boundaries"),
+        F.count_if(F.col("rows") >= min_messages).alias("conversations"))
+    found = _stretches(messages, boundaries, min_messages).agg(F.count(F.lit(1)))
+    given = boundaries.agg(F.count(F.lit(1)).alias("boundaries")).select("boundaries", found.scalar().alias("conversations"))
+    columns = ["method", "boundaries", "conversations"]
+    return by_time.withColumn("method", F.lit("time_based")).select(columns).unionByName(
+        given.withColumn("method", F.lit("supplied")).select(columns))
 
 
 # Overlapping chunks for an annotator.
@@ -231,9 +265,9 @@ BOUNDARY_TEMPLATE = (
 
 
 def boundary_prompts(messages: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP,
-                     template: str = BOUNDARY_TEMPLATE, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                     template: str = BOUNDARY_TEMPLATE) -> DataFrame:
     """Prompt text per chat and chunk; a chunk holds at most ``chunk_size`` lines."""
-    rows = overlapping_chunks(message_index(messages, max_group_rows), chat_sizes(messages), chunk_size, overlap)
+    rows = overlapping_chunks(message_index(messages), chat_sizes(messages), chunk_size, overlap)
     line = numbered_line(F.col("chunk_position"), F.col("created_at"), F.col("is_from_me"), F.col("user_id"),
                          F.col("contents"))
     head, tail = template.split("{messages}")

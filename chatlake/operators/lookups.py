@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chatlake.functions import text as X
 from chatlake.functions.time import apple_ts, to_apple
 from chatlake.operators.keys import keep_keys
-from chatlake.operators.sequences import MAX_GROUP_ROWS, collect_parts, top_n_per_group
+from chatlake.operators.sequences import PART_ROWS, collect_parts, top_n_per_group
 
 USER_COLUMNS = ["user_id", "first_name", "last_name", "phone_number", "email", "handle_id"]
 
@@ -59,10 +59,9 @@ def messages_by_user(messages: DataFrame, user_id: str, limit: int | None = None
     return limited(messages.where(F.col("user_id") == user_id).orderBy(*newest_first()), limit)
 
 
-def newest_per_user(messages: DataFrame, limit: int, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def newest_per_user(messages: DataFrame, limit: int) -> DataFrame:
     """``messages_by_user`` for every user at once."""
-    return top_n_per_group(messages, ["user_id"], newest_first(), limit, "message_id", "position",
-                           max_group_rows)
+    return top_n_per_group(messages, ["user_id"], newest_first(), limit, "position")
 
 
 def all_messages(messages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -117,12 +116,10 @@ def contact_conversation(message: DataFrame, handle: DataFrame, identifier: str,
     return _listed(newest).orderBy("date", "rowid")
 
 
-def contact_conversations(message: DataFrame, handle: DataFrame, limit: int = 50,
-                          max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def contact_conversations(message: DataFrame, handle: DataFrame, limit: int = 50) -> DataFrame:
     """``contact_conversation`` for every handle at once."""
     matched = with_handle(message, handle).where("handle IS NOT NULL")
-    newest = top_n_per_group(matched, ["handle"], [F.desc("date"), F.desc("rowid")], limit, "rowid",
-                             max_group_rows=max_group_rows)
+    newest = top_n_per_group(matched, ["handle"], [F.desc("date"), F.desc("rowid")], limit)
     return _listed(newest)
 
 
@@ -169,15 +166,15 @@ def bounded_increment(message: DataFrame, mark: int, limit: int | None) -> DataF
 
 # Chats.
 
-def chats_with_users(chats: DataFrame, chat_users: DataFrame, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Every chat with its sorted user ids; a huge chat spreads over numbered parts."""
-    lists = collect_parts(chat_users, ["chat_id"], ["user_id"], F.col("user_id"), "user_ids",
-                          max_group_rows=max_group_rows)
+def chats_with_users(chats: DataFrame, chat_users: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Every chat with its sorted user ids; a chat of more than ``part_rows`` users has numbered parts."""
+    lists = collect_parts(chat_users, ["chat_id"], ["user_id"], F.col("user_id"), "user_ids", part_rows)
     return chats.join(lists, "chat_id", "left").select(
         "chat_id", "display_name", F.coalesce("part", F.lit(0)).alias("part"),
         F.coalesce("user_ids", F.array().cast("array<string>")).alias("user_ids"),
     )
 
 
-def chat_by_id(chats: DataFrame, chat_users: DataFrame, wanted: DataFrame) -> DataFrame:
-    return chats_with_users(_matching(chats, "chat_id", wanted), _matching(chat_users, "chat_id", wanted))
+def chat_by_id(chats: DataFrame, chat_users: DataFrame, wanted: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    return chats_with_users(
+        _matching(chats, "chat_id", wanted), _matching(chat_users, "chat_id", wanted), part_rows)

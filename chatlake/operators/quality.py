@@ -98,19 +98,21 @@ def recovery_scope(message: DataFrame) -> DataFrame:
     return scope.withColumn("remaining_to_migrate", F.col("needs_migration") - F.col("already_migrated"))
 
 
-def recovery_validation(message: DataFrame) -> DataFrame:
+def recovery_validation(message: DataFrame, **more: Column) -> DataFrame:
+    """Coverage before and after recovery; ``more`` are aggregates taken in the same pass."""
     text, body, done = present(F.col("text")), F.col("attributed_body").isNotNull(), present(F.col("extracted_text"))
     counts = message.agg(
         F.count(F.lit(1)).alias("total_messages"), F.count_if(text).alias("has_text"),
         F.count_if(done).alias("has_extracted_text"), F.count_if(~text & done).alias("messages_recovered"),
-        F.count_if(~text & ~done & body).alias("still_missing_text"))
+        F.count_if(~text & ~done & body).alias("still_missing_text"),
+        *[aggregate.alias(name) for name, aggregate in more.items()])
     total, before = F.col("total_messages"), F.col("has_text")
     after = before + F.col("messages_recovered")
     return counts.select(
         "total_messages", percent(before, total).alias("original_text_coverage_percent"),
         percent(after, total).alias("new_text_coverage_percent"),
         F.bround(ratio(after * 100, total) - ratio(before * 100, total), 2).alias("coverage_improvement_percent"),
-        "messages_recovered", "still_missing_text", "has_extracted_text",
+        "messages_recovered", "still_missing_text", "has_extracted_text", *more,
     )
 
 
@@ -126,11 +128,11 @@ def wide_services(wide: DataFrame) -> DataFrame:
 
 
 def migration_coverage(message: DataFrame, messages: DataFrame) -> DataFrame:
-    eligible = message.where("text IS NOT NULL OR attributed_body IS NOT NULL")
-    counts = message.agg(F.count(F.lit(1)).alias("source_messages")).select(
-        "source_messages", rows_of(eligible).alias("eligible_messages"), rows_of(messages).alias("target_messages"))
+    eligible = F.col("text").isNotNull() | F.col("attributed_body").isNotNull()
+    counts = message.agg(F.count(F.lit(1)).alias("source_messages"), F.count_if(eligible).alias("eligible_messages"))
     whole = F.greatest(F.col("eligible_messages"), F.lit(1))
-    return counts.withColumn("migration_coverage", F.col("target_messages") / whole)
+    return counts.withColumn("target_messages", rows_of(messages)).withColumn(
+        "migration_coverage", F.col("target_messages") / whole)
 
 
 def chat_migration_report(chat: DataFrame, chats: DataFrame, chat_users: DataFrame) -> DataFrame:
@@ -193,17 +195,23 @@ def completeness_report(message: DataFrame, extracted: DataFrame, messages: Data
 
     ``extracted`` holds the recovered text of the source rows as ``extracted_text``.
     """
-    eligible = message.where("text IS NOT NULL OR attributed_body IS NOT NULL")
+    eligible = F.col("text").isNotNull() | F.col("attributed_body").isNotNull()
+    source = message.agg(F.count_if(eligible))
     # Texts are compared by digest, so the shuffle carries 64 characters a row.
     texts = extracted.where(not_blank(F.col("extracted_text"))).select(F.sha2("extracted_text", 256).alias("digest"))
-    matching = keep_keys(texts, messages.select(F.sha2("contents", 256).alias("digest")), ["digest"])
-    repeated = messages.groupBy("message_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counts = messages.agg(
-        F.count(F.lit(1)).alias("target_message_count"),
-        F.count_if(F.col("created_at").isNull()).alias("_bad_times"),
-        F.count_if(~F.is_valid_utf8("contents")).alias("_bad_texts"),
-    ).select("*", rows_of(eligible).alias("source_message_count"), rows_of(texts).alias("source_texts"),
-             rows_of(matching).alias("matching_texts"), rows_of(repeated).alias("_repeated"))
+    stored = messages.select(F.sha2("contents", 256).alias("digest")).distinct().withColumn("stored", F.lit(1))
+    compared = texts.join(stored, "digest", "left").agg(
+        F.struct(F.count(F.lit(1)).alias("texts"), F.count("stored").alias("matching"))).scalar()
+    # One pass over the stored rows: per id, then over the ids.
+    by_id = messages.groupBy("message_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("created_at").isNull()).alias("times"),
+        F.count_if(~F.is_valid_utf8("contents")).alias("texts"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = by_id.agg(
+        total("n").alias("target_message_count"), total("times").alias("_bad_times"), total("texts").alias("_bad_texts"),
+        F.count_if(F.col("n") > 1).alias("_repeated"),
+    ).select("*", source.scalar().alias("source_message_count"), compared.alias("_compared")).select(
+        "*", F.col("_compared.texts").alias("source_texts"), F.col("_compared.matching").alias("matching_texts"))
     coverage = ratio(F.col("target_message_count"), F.col("source_message_count"))
     critical = (F.col("_repeated") == 0) & (F.col("_bad_times") == 0)
     verdict = F.when(~critical, "FAIL").when((coverage > 0.8) & (F.col("_bad_texts") == 0), "PASS")
@@ -222,6 +230,14 @@ def violation_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return broken.groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def named_handle_check(expected: DataFrame, users: DataFrame) -> DataFrame:
+    """Expected (handle_id, first_name, last_name) that no user of that handle has, in any case of letters."""
+    def folded(df: DataFrame) -> DataFrame:
+        return df.select("handle_id", *[F.lower(c).alias(c) for c in ("first_name", "last_name")])
+
+    return drop_keys(folded(expected), folded(users.where("handle_id IS NOT NULL")), ["handle_id", "first_name", "last_name"])
+
+
 def named_member_check(expected: DataFrame, chats: DataFrame, chat_users: DataFrame, users: DataFrame) -> DataFrame:
     """Expected (display_name, first_name, last_name) members that no chat of that name has."""
     members = chats.join(chat_users, "chat_id").join(users, "user_id").select(
@@ -243,14 +259,17 @@ def replica_freshness(source: DataFrame, copy: DataFrame, as_of: str, minutes: i
     """Is a copy as fresh as its source? Largest ids, coverage of recent rows, age, verdict and issues."""
     now = F.lit(as_of).cast("timestamp")
     cutoff = to_apple(now - F.make_dt_interval(mins=F.lit(minutes)))
-    recent = source.where(F.col("date") > cutoff)
-    found = keep_keys(recent, copy, ["rowid"])
+    # One pass over the recent rows, with a mark on those that the copy has.
+    held = copy.select("rowid").distinct().withColumn("held", F.lit(1))
+    recent = source.where(F.col("date") > cutoff).select("rowid").join(held, "rowid", "left").agg(
+        F.struct(F.count(F.lit(1)).alias("rows"), F.count("held").alias("held"))).scalar()
     age = F.lit(0.0) if copied_at is None else (
         F.unix_micros(now) - F.unix_micros(F.lit(copied_at).cast("timestamp"))) / 1_000_000
     state = source.agg(F.max("rowid").alias("source_max_rowid")).select(
         "source_max_rowid", copy.agg(F.max("rowid")).scalar().alias("copy_max_rowid"),
-        rows_of(recent).alias("recent_messages_count"), rows_of(found).alias("recent_messages_in_copy"),
-        age.alias("copy_age_seconds"))
+        recent.alias("_recent"), age.alias("copy_age_seconds")).select(
+        "source_max_rowid", "copy_max_rowid", F.col("_recent.rows").alias("recent_messages_count"),
+        F.col("_recent.held").alias("recent_messages_in_copy"), "copy_age_seconds")
     lag = F.col("source_max_rowid") - F.col("copy_max_rowid")
     late, old = lag > tolerated_gap, F.col("copy_age_seconds") > max_age_seconds
     issues = F.concat_ws(

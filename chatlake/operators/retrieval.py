@@ -86,9 +86,10 @@ def cosine_topk(vectors: DataFrame, query: list[float], limit: int = 10, id_colu
     own = F.col(vector_column)
     wanted = F.array(*[F.lit(float(x)) for x in query])
     length = sum(float(x) ** 2 for x in query) ** 0.5
-    sizes = F.sqrt(dot(own, own)) * F.lit(length)
-    scored = vectors.select(F.col(id_column).alias("id"),
-                            F.when(sizes > 0, dot(own, wanted) / sizes).alias("score"))
+    # A step of its own, so that each sum is taken once per vector.
+    products = vectors.select(F.col(id_column).alias("id"), dot(own, wanted).alias("product"),
+                              (F.sqrt(dot(own, own)) * F.lit(length)).alias("sizes"))
+    scored = products.select("id", F.when(F.col("sizes") > 0, F.col("product") / F.col("sizes")).alias("score"))
     return _top(scored.where("score IS NOT NULL"), limit)
 
 
@@ -105,36 +106,45 @@ def hybrid_rrf(by_keyword: DataFrame, by_meaning: DataFrame, limit: int = 5) ->
     return _top(fused, limit)
 
 
-def hops_from(edges: DataFrame, center: DataFrame, max_hops: int, settle_every_hop: bool = True) -> DataFrame:
-    """(node, hops) within ``max_hops`` of the centre nodes, edges taken both ways."""
+def hops_from(edges: DataFrame, center: DataFrame, max_hops: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(node, hops) within ``max_hops`` of the centre nodes, edges taken both ways.
+
+    Only the nodes of the last hop are extended, and only they are written. The walk
+    ends when a hop finds nothing new, or when all ``wanted`` nodes are reached.
+    """
     both_ways = edges.select("source", "target").unionByName(
         edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    reached = center.toDF("node").distinct().withColumn("hops", F.lit(0))
+    both_ways = settle(both_ways.distinct(), "edges")
+    frontier = settle(center.toDF("node").distinct(), "hop")
+    reached = frontier.withColumn("hops", F.lit(0))
     for hop in range(1, max_hops + 1):
-        frontier = reached.where(F.col("hops") == hop - 1).select("node")
+        if wanted is not None and wanted.join(reached, "node", "left_anti").isEmpty():
+            break
         # The frontier is unique on the key, so AQE can split the edges of a hub.
         step = both_ways.join(frontier, both_ways["source"] == frontier["node"], "left_semi").select(
             F.col("target").alias("node")).distinct()
-        fresh = step.join(reached, "node", "left_anti").withColumn("hops", F.lit(hop))
-        reached = reached.unionByName(fresh)
-        if settle_every_hop and hop < max_hops:
-            reached = settle(reached, "hops")
+        frontier = settle(step.join(reached, "node", "left_anti"), "hop")
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier.withColumn("hops", F.lit(hop)))
     return reached
 
 
-def graph_distance_rerank(hits: DataFrame, edges: DataFrame, center: DataFrame, max_hops: int = 3) -> DataFrame:
-    """Hits (id, node, score, rank) ordered by distance from the centre; out of reach comes last."""
-    near = hops_from(edges, center, max_hops)
+def graph_distance_rerank(hits: DataFrame, edges: DataFrame, center: DataFrame, max_hops: int = 3,
+                          limit: int = 1000) -> DataFrame:
+    """The ``limit`` best hits (id, node, score, rank) by distance from the centre; out of reach comes last."""
+    near = hops_from(edges, center, max_hops, hits.select("node").distinct())
     rows = hits.join(near, "node", "left").select("id", "node", "score", F.col("rank").alias("search_rank"), "hops")
-    order = Window.orderBy(F.col("hops").asc_nulls_last(), "search_rank")
-    return rows.withColumn("rank", F.row_number().over(order))
+    order = [F.col("hops").asc_nulls_last(), F.col("search_rank")]
+    # The window sees only the rows that are returned.
+    return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def auto_center_rerank(hits: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
+def auto_center_rerank(hits: DataFrame, edges: DataFrame, max_hops: int = 3, limit: int = 1000) -> DataFrame:
     """Rerank around the source node of the best hit; no hit gives no row."""
     hits = settle(hits, "hits")
     center = hits.where("rank = 1").select("node")
-    return graph_distance_rerank(hits, edges, center, max_hops)
+    return graph_distance_rerank(hits, edges, center, max_hops, limit)
 
 
 HIT_FIELDS = {

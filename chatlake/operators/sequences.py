@@ -1,96 +1,71 @@
-"""Ordered groups of any size.
+"""Ordered groups of any size, by one plan.
 
-A chat, a name or a handle may hold a large share of all rows, so nothing here
-sends a whole group to one task unless the group is known to be small. The size
-check is one narrow aggregation that combines before the shuffle.
+A chat, a name or a handle may hold a large share of all rows. Positions in such a
+group are counted in cells: a cell is a coarse step of the first ordering column
+(a day, 65,536 ids, two letters), rows are numbered inside their cell, and the counts
+of earlier cells are added. So the unit of work is a cell, not a group, and no size
+has to be known before the plan is made.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from chatlake.session import settle
+# Values per row of a list; a longer list spreads over numbered parts.
+PART_ROWS = 10_000
 
-MAX_GROUP_ROWS = 1_000_000
-# Rows of one merge group in the tree of ``top_n_per_group``, in units of n.
-MERGE_FAN_IN = 64
 
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.agg(F.max("rows")).first()[0] or 0
+def cell_of(df: DataFrame, column: str) -> Column:
+    """A coarse step of ``column`` that never decreases along its order."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.to_date(column)
+    if isinstance(kind, T.IntegralType):
+        return F.shiftright(F.col(column).cast("bigint"), 16)
+    return F.substring(column, 1, 2) if isinstance(kind, T.StringType) else F.lit(0)
 
 
 def group_index(df: DataFrame, keys: list[str], order: list[str], name: str = "message_index",
-                max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                cell: Column | None = None) -> DataFrame:
     """Add the 0-based position of each row in its group.
 
-    ``order`` must be unique within a group. When a group exceeds
-    ``max_group_rows`` the rows are range-partitioned on (keys, order), each
-    slice numbers its own rows, and rows of earlier slices are added from the
-    per-slice counts.
+    ``order`` must be unique within a group; ``cell`` must not decrease along it.
     """
-    if largest_group(df, keys) <= max_group_rows:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
-    sliced = settle(
-        df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()), "slices"
-    )
-    return _number_slices(sliced, keys, order, name)
-
-
-def _number_slices(sliced: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    sizes = sliced.groupBy("_slice", *keys).agg(F.count(F.lit(1)).alias("_rows"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # Only a group that continues from an earlier slice has an offset: at most
-    # one group per slice, so this side has no more rows than there are slices.
-    offsets = (
-        sizes.withColumn("_offset", F.sum("_rows").over(earlier)).where("_offset > 0").drop("_rows")
-        .withColumnRenamed("_slice", "_offset_slice")
-    )
-    for key in keys:
-        offsets = offsets.withColumnRenamed(key, f"_offset_{key}")
-    within = Window.partitionBy("_slice", *keys).orderBy(*order)
-    numbered = sliced.withColumn("_rank", F.row_number().over(within) - 1)
-    same = [numbered["_slice"] == offsets["_offset_slice"]]
-    same += [numbered[k].eqNullSafe(offsets[f"_offset_{k}"]) for k in keys]
-    joined = numbered.join(F.broadcast(offsets), reduce(lambda a, b: a & b, same), "left")
-    index = (F.col("_rank") + F.coalesce("_offset", F.lit(0))).cast("bigint")
-    return joined.withColumn(name, index).drop(
-        "_slice", "_rank", "_offset", "_offset_slice", *[f"_offset_{k}" for k in keys]
-    )
-
-
-def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, salt_on: str,
-                    name: str | None = None, max_group_rows: int = MAX_GROUP_ROWS,
-                    sized_by: DataFrame | None = None) -> DataFrame:
+    marked = df.withColumn("_cell", cell_of(df, order[0]) if cell is None else cell)
+    sizes = marked.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    places = [*keys, "_cell"]
+    offsets = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in places],
+                           F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*places).orderBy(*order)
+    numbered = marked.withColumn("_rank", F.row_number().over(within) - 1)
+    same = reduce(lambda a, b: a & b, [numbered[c].eqNullSafe(offsets[f"_of_{c}"]) for c in places])
+    index = (F.col("_rank") + F.col("_before")).cast("bigint")
+    return numbered.join(offsets, same).withColumn(name, index).drop(
+        "_cell", "_rank", "_before", *[f"_of_{c}" for c in places])
+
+
+def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group under ``order``.
 
-    A group too large for one task is cut into salted parts; each part keeps its
-    first n rows and the parts are merged level by level. ``sized_by`` is a
-    cheaper table with the same keys whose groups are at least as large.
+    Every task keeps at most n rows of a group before the shuffle, as long as n is
+    below the limit in ``session.RUNTIME_CONF``.
     """
-    largest = largest_group(df if sized_by is None else sized_by, keys)
-    parts = -(-largest // max_group_rows) if largest > max_group_rows else 1
-    rank, salt = "_rank", F.pmod(F.xxhash64(salt_on), F.lit(2**31 - 1))
-    while parts > 1:
-        w = Window.partitionBy(*keys, F.pmod(salt, F.lit(parts))).orderBy(*order)
-        df = df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n).drop(rank)
-        parts = parts // MERGE_FAN_IN
+    rank = "_rank"
     w = Window.partitionBy(*keys).orderBy(*order)
     top = df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
     return top.withColumnRenamed(rank, name) if name else top.drop(rank)
 
 
 def collect_parts(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str,
-                  part_rows: int = 10_000, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                  part_rows: int = PART_ROWS) -> DataFrame:
     """Ordered lists of at most ``part_rows`` values, numbered by ``part`` within a group.
 
     An ordinary group is one row with part 0; a huge one spreads over many rows.
     """
-    placed = group_index(df, keys, order, "_position", max_group_rows)
+    placed = group_index(df, keys, order, "_position")
     parts = placed.groupBy(*keys, F.floor(F.col("_position") / part_rows).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("_position", value.alias("_value")))).alias("_items")
     )

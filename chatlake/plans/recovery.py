@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chatlake.functions.body import with_decoded
 from chatlake.functions.text import not_blank, present, strip
-from chatlake.operators.quality import recovery_validation, text_extraction_stats
+from chatlake.operators.quality import percent, recovery_validation
 
 
 def with_extracted_column(message: DataFrame) -> DataFrame:
@@ -31,6 +31,10 @@ def recover_text(message: DataFrame) -> DataFrame:
 
 def refresh_report(message: DataFrame) -> DataFrame:
     """Recover, then the coverage before and after beside the decode statistics."""
-    after = recovery_validation(recover_text(message))
-    stats = text_extraction_stats(message).select("needs_decoding", "recoverable_messages", "decode_success_rate")
-    return after.select("*", *[stats.select(c).scalar().alias(c) for c in stats.columns])
+    recovered = recover_text(message)
+    # A body needs decoding if its row has no text; it is decoded once, for both halves of the report.
+    needs = ~present(F.col("text")) & F.col("attributed_body").isNotNull()
+    found = needs & present(F.col("extracted_text"))
+    report = recovery_validation(recovered, needs_decoding=F.count_if(needs), recoverable_messages=F.count_if(found))
+    return report.withColumn(
+        "decode_success_rate", percent(F.col("recoverable_messages"), F.col("needs_decoding")))

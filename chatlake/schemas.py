@@ -39,6 +39,10 @@ MESSAGES = _schema(
     "message_id bigint, user_id string, contents string, is_from_me boolean, created_at timestamp"
 )
 CHAT_MESSAGES = _schema("chat_id bigint, message_id bigint, message_date timestamp")
+# Messages of a sync whose handle is not known yet, their text already read.
+PENDING = _schema(
+    "rowid bigint, handle_id bigint, text string, contents string, date bigint, is_from_me int"
+)
 SYNC_PROGRESS = _schema(
     "batch_id bigint, rows_read bigint, rows_synced bigint, last_rowid bigint, sync_status string, "
     "synced_at timestamp"

@@ -14,6 +14,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows of a group that a task may keep before the shuffle of a top-n.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # Open sessions of a hot key are merged in each task before they move.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 

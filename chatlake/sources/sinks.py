@@ -59,14 +59,23 @@ def insert_strict(existing: DataFrame, batch: DataFrame, keys: list[str]) -> Dat
     return batch.where(~repeated.unionByName(taken).exists())
 
 
+def append_strict(batch: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Append the whole batch to the table at ``path``, or nothing; the table as it is then."""
+    spark = batch.sparkSession
+    append(insert_strict(spark.read.schema(batch.schema).parquet(path), batch, keys), path)
+    return spark.read.schema(batch.schema).parquet(path)
+
+
 def append_users(existing: DataFrame, batch: DataFrame) -> DataFrame:
     """Users have no key: duplicates are allowed."""
     return existing.unionByName(batch)
 
 
 def update_by_key(target: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """Set ``column`` where ``updates`` holds the key (once); ``matched`` tells which rows."""
-    new = updates.select(F.col(key).alias("_key"), F.col(column).alias("_new"))
+    """Set ``column`` where ``updates`` holds the key; ``matched`` tells which rows. A key given twice fails."""
+    once = F.when(F.count(F.lit(1)) == 1, F.first(column)).otherwise(
+        F.raise_error(F.concat(F.lit("update given twice for key "), F.col(key).cast("string"))))
+    new = updates.groupBy(key).agg(once.alias("_new")).withColumnRenamed(key, "_key")
     joined = target.join(new, target[key] == new["_key"], "left")
     return joined.select(
         *[F.when(F.col("_key").isNotNull(), F.col("_new")).otherwise(F.col(c)).alias(c) if c == column else c

@@ -11,6 +11,9 @@ def stream_conversations(messages: DataFrame, gap_hours: float = GAP_HOURS, min_
                          late_by: str = "1 hour") -> DataFrame:
     """Closed conversations of a message stream (chat_id, message_id, created_at).
 
+    A conversation comes out once the watermark has passed its end by the gap; those
+    still open are not in the result.
+
     A session window merges rows exactly one gap apart while a pause of that
     length must split, so its gap is one microsecond shorter. The state per open
     conversation is a count and two rows.

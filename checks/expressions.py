@@ -85,6 +85,8 @@ check("extract_text", lambda v: with_best_text(v.message, "extracted_text").sele
       "SELECT rowid, extracted_text FROM extracted")
 check("marked_text", lambda v: with_marked_text(v.message, "attributed_body", "decoded").select("rowid", "decoded"),
       "SELECT rowid, decoded FROM message")
+check("extract_text_documents", lambda v: with_best_text(v.long_message, "extracted_text").select("rowid", "extracted_text"),
+      "SELECT rowid, extracted_text FROM long_extracted")
 check("text_source", lambda v: with_best_text(v.message, "extracted_text").select(
     X.text_source(F.col("text"), F.col("attributed_body"), F.col("extracted_text")).alias("text_source")).groupBy(
         "text_source").agg(F.count("*").alias("messages")), """

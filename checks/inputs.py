@@ -127,6 +127,14 @@ class Inputs:
             case("WHEN event_id % 4 = 0 THEN 'SMS' ELSE 'iMessage'").alias("service"),
             F.expr("concat('account-', event_id % 3)").alias("account"), F.lit(0).alias("error"))
 
+    @cached_property
+    def long_message(self) -> DataFrame:
+        """Documents as messages whose text is in the body only, but for one in five."""
+        said = F.col("text")
+        return self.table("documents").select(
+            (F.col("doc_id") + 1).alias("rowid"), F.when(F.col("doc_id") % 5 == 0, said).alias("text"),
+            F.when(F.col("doc_id") % 9 != 0, encode_body(said)).alias("attributed_body"))
+
     @cached_property
     def chat(self) -> DataFrame:
         ids = self.table("customer").select(F.expr("1 + c_custkey div 4").alias("chat_id")).distinct()
@@ -386,6 +394,12 @@ message AS (
   FROM events),
 extracted AS (
   SELECT *, coalesce(nullif({sql_strip('text')}, ''), decoded) AS extracted_text FROM message),
+long_message AS (
+  SELECT doc_id + 1 AS rowid, CASE WHEN doc_id % 5 = 0 THEN text END AS text, doc_id % 9 <> 0 AND text IS NOT NULL AS has_body,
+    nullif({sql_strip('text')}, '') AS said FROM documents),
+long_extracted AS (
+  SELECT rowid, text, has_body, CASE WHEN has_body OR coalesce({sql_strip('text')}, '') <> '' THEN said END AS extracted_text
+  FROM long_message),
 copy AS (SELECT * FROM extracted WHERE date < (epoch_us(TIMESTAMP '2024-01-29') - 978307200000000) * 1000),
 chat AS (
   SELECT chat_id, CASE WHEN chat_id % 3 = 0 THEN '' WHEN chat_id % 7 = 0 THEN NULL

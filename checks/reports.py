@@ -38,6 +38,13 @@ SELECT *, {pct('success_count', 'total_attempts')} AS success_rate_percent
 FROM (SELECT count(decoded) AS success_count, count(*) - count(decoded) AS failure_count, count(*) AS total_attempts
   FROM message WHERE has_body)""")
 
+check("decode_stats_documents", lambda v: Q.decode_stats(v.long_message), f"""
+SELECT *, {pct('success_count', 'total_attempts')} AS success_rate_percent
+FROM (SELECT count(said) AS success_count, count(*) - count(said) AS failure_count, count(*) AS total_attempts
+  FROM long_message WHERE has_body)""")
+check("recover_text_documents", lambda v: RV.recover_text(v.long_message).select("rowid", "text", "extracted_text"), """
+SELECT rowid, text, CASE WHEN coalesce(text, '') = '' AND has_body THEN said END AS extracted_text FROM long_message""")
+
 # The log with part of the texts recovered before.
 PARTIAL = "CASE WHEN rowid % 2 = 0 AND coalesce(text, '') = '' THEN decoded END"
 RECOVERED = f"""
@@ -230,6 +237,10 @@ check("named_member_check", _expected_members, """
 SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'NATION_' || ((1 + c_custkey // 4) % 25) ELSE 'NATION_1' END AS display_name,
   'customer' AS first_name, lower(c_mktsegment) AS last_name FROM customer
 EXCEPT SELECT display_name, lower(first_name), lower(last_name) FROM chats JOIN chat_users USING (chat_id) JOIN users USING (user_id)""")
+check("named_handle_check", lambda v: Q.named_handle_check(v.table("customer").selectExpr(
+    "c_custkey AS handle_id", "'CUSTOMER' AS first_name", "c_mktsegment AS last_name"), v.users), """
+SELECT c_custkey AS handle_id, 'customer' AS first_name, lower(c_mktsegment) AS last_name FROM customer
+EXCEPT SELECT handle_id, lower(first_name), lower(last_name) FROM users WHERE handle_id IS NOT NULL""")
 check("chat_samples", lambda v: CH.chat_samples(v.chats, v.chat_users, v.users, 5), """
 SELECT c.chat_id, display_name, user_id, first_name || ' ' || last_name AS name, phone_number AS phone, email
 FROM (SELECT * FROM chats ORDER BY chat_id LIMIT 5) c LEFT JOIN (chat_users JOIN users USING (user_id)) USING (chat_id)""")

@@ -63,6 +63,8 @@ found AS (SELECT chat_id, segment, count(*) AS message_count, min(idx) AS start_
     arg_max(message_id, idx) AS end_message_id, min(created_at) AS start_time, max(created_at) AS end_time,
     arg_min(user_id, idx) AS initiated_by, chat_id || ':' || arg_min(message_id, idx) AS conversation_id
   FROM segments GROUP BY chat_id, segment HAVING count(*) >= 2)"""
+check("detect_conversations_supplied", lambda v: PC.detect_conversations(
+    v.direct, detector=lambda m: v.cuts), SUPPLIED + FOUND + "found")
 check("conversations_from_boundaries", lambda v: CV.conversations_from_boundaries(v.direct, v.cuts), SUPPLIED + FOUND + "found")
 check("detector_comparison", lambda v: CV.detector_comparison(v.direct, v.cuts), SEGMENTS + """
 SELECT 'time_based' AS method, (SELECT count(*) FROM gaps WHERE pause >= 172800000000) AS boundaries,
@@ -71,7 +73,8 @@ UNION ALL SELECT 'supplied', (SELECT count(*) FROM cuts), (""" + SUPPLIED.strip(
     ", indexed", "WITH indexed", 1).replace("segments", "cut_segments").replace("found", "cut_found") + " SELECT count(*) FROM cut_found)")
 check("message_index", lambda v: CV.message_index(v.direct).select("chat_id", "message_id", "message_index"), """
 SELECT chat_id, message_id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, message_id) - 1 AS message_index FROM direct""")
-check("message_index_sliced", lambda v: CV.message_index(v.direct, max_group_rows=50).select(
+check("message_index_sliced", lambda v: CV.message_index(
+    v.direct, cell=F.date_trunc("hour", "created_at")).select(
     "chat_id", "message_id", "message_index"), """
 SELECT chat_id, message_id, row_number() OVER (PARTITION BY chat_id ORDER BY created_at, message_id) - 1 AS message_index FROM direct""")
 
@@ -110,8 +113,8 @@ SELECT * EXCLUDE (rn), rn AS position FROM (SELECT *, row_number() OVER (
   PARTITION BY chat_id ORDER BY message_date DESC, message_id DESC) AS rn FROM in_chats) WHERE rn <= """
 check("last_n_context", lambda v: CX.last_n_context(v.messages, v.chat_messages, 30).select("chat_id", "message_id", "contents", "position"),
       f"SELECT chat_id, message_id, contents, position FROM ({LAST_N} 30)")
-check("last_n_context_salted", lambda v: CX.last_n_context(v.messages, v.chat_messages, 30, max_group_rows=3).select(
-    "chat_id", "message_id", "contents", "position"), f"SELECT chat_id, message_id, contents, position FROM ({LAST_N} 30)")
+check("last_n_context_salted", lambda v: CX.last_n_context(v.messages, v.chat_messages).select(
+    "chat_id", "message_id", "contents", "position"), f"SELECT chat_id, message_id, contents, position FROM ({LAST_N} 2000)")
 check("last_wins_lookup", lambda v: CT.last_wins(v.contacts, F.col("last_name")), """
 SELECT key, first_name, last_name FROM (SELECT last_name AS key, first_name, last_name, row_number() OVER (
   PARTITION BY last_name ORDER BY load_order DESC, first_name DESC, last_name DESC) AS rn FROM contacts) WHERE rn = 1 AND key <> ''""")
@@ -202,6 +205,34 @@ def _idempotent(v: Inputs) -> DataFrame:
 check("idempotent_write", _idempotent, SYNCED + KNOWN)
 
 
+def _any_order(v: Inputs) -> DataFrame:
+    """Three batches whose ids lie between those of earlier ones; the first comes again at the end."""
+    target = SY.SyncTarget(scratch_path(v.spark, "order"))
+    base = v.spark.createDataFrame([], schemas.USERS)
+    for batch_id, part in enumerate((2, 0, 1, 2)):
+        SY.sync_batch(v.message.where(F.col("rowid") % 3 == part), batch_id, target, v.handle, v.contacts, base, as_of())
+    return target.read(v.spark, "messages")
+
+
+def _late_handles(v: Inputs) -> DataFrame:
+    """A third of the handles is added after the batch that brings their messages."""
+    target, late = SY.SyncTarget(scratch_path(v.spark, "late")), []
+    base = v.spark.createDataFrame([], schemas.USERS)
+
+    def handles() -> DataFrame:
+        return v.handle if late else v.handle.where("handle_id % 3 <> 0")
+
+    for batch_id in (0, 1, 1):
+        rows = v.message.where(F.col("rowid") % 2 == batch_id)
+        SY.sync_batch(rows, batch_id, target, handles, lambda: v.contacts, base, as_of())
+        late.append(batch_id)
+    return target.read(v.spark, "messages")
+
+
+check("sync_any_order", _any_order, SYNCED + KNOWN)
+check("sync_late_handles", _late_handles, SYNCED + KNOWN)
+
+
 def _notified(v: Inputs) -> DataFrame:
     """What the hook of a batch wrote."""
     target = SY.SyncTarget(scratch_path(v.spark, "notify"))

@@ -87,11 +87,27 @@ def _sink_delete(v: Inputs):
 
 check("sink_overwrite", _sink_overwrite, f"SELECT {MESSAGE} FROM messages")
 check("sink_insert_ignore", _sink_insert_ignore, "SELECT rowid, handle_id, date FROM message")
-check("sink_insert_strict",
-      lambda v: S.insert_strict(v.chats.limit(0), v.raw_chats, ["chat_id"]).unionByName(
-          S.insert_strict(v.raw_chats, v.chats, ["chat_id"])),
-      "SELECT chat_id, display_name FROM raw_chats")
-check("sink_append_users", lambda v: S.append_users(v.users, v.users.where("handle_id IS NOT NULL")),
+
+
+def _sink_strict(v: Inputs):
+    """A batch into a filled table, one that meets a taken key, and one that repeats a key."""
+    path = scratch_path(v.spark, "strict")
+    S.overwrite(v.raw_chats.where("chat_id % 2 = 0"), path)
+    S.append_strict(v.raw_chats.where("chat_id % 2 <> 0"), path, ["chat_id"])
+    S.append_strict(v.raw_chats.where("chat_id % 3 = 0").withColumn("display_name", F.lit("taken")), path, ["chat_id"])
+    new = v.raw_chats.withColumn("chat_id", F.col("chat_id") + 5_000_000_000)
+    return S.append_strict(new.unionByName(new.limit(1)), path, ["chat_id"])
+
+
+def _sink_append_users(v: Inputs):
+    path = scratch_path(v.spark, "users")
+    S.overwrite(v.users, path)
+    S.append(v.users.where("handle_id IS NOT NULL"), path)
+    return v.spark.read.schema(v.users.schema).parquet(path)
+
+
+check("sink_insert_strict", _sink_strict, "SELECT chat_id, display_name FROM raw_chats")
+check("sink_append_users", _sink_append_users,
       f"SELECT {USER} FROM users UNION ALL SELECT {USER} FROM users WHERE handle_id IS NOT NULL")
 check("update_by_key", _sink_update, """
 SELECT c.chat_id, coalesce(g.generated_name, c.display_name) AS display_name, g.chat_id IS NOT NULL AS matched
@@ -169,7 +185,19 @@ SELECT chat_id, message_id, contents, is_from_me, {sql_ts('created_at')} AS crea
 check("chats_for_message", lambda v: CH.chats_for_messages(v.chats, v.chat_messages, v.messages.select("message_id")),
       f"""SELECT message_id, chat_id, display_name, {sql_ts('message_date')} AS message_date
 FROM chat_messages JOIN chats USING (chat_id) WHERE message_id IN (SELECT message_id FROM messages)""")
-check("chats_for_user", lambda v: CH.chats_for_users(v.chats, v.chat_users, v.users.select("user_id")), """
+MEMBERS = """SELECT c.chat_id, c.display_name, 0::BIGINT AS part, string_agg(u.user_id, '|' ORDER BY u.user_id) AS user_ids
+FROM chats c JOIN chat_users u USING (chat_id)"""
+
+
+def _some_users(v: Inputs) -> list[str]:
+    """Three users who are given by their place in the table."""
+    return [r["user_id"] for r in v.chat_users.select("user_id").distinct().orderBy("user_id").limit(3).collect()]
+
+
+check("chats_for_user", lambda v: CH.chats_for_user(v.chats, v.chat_users, _some_users(v)), MEMBERS + """
+WHERE c.chat_id IN (SELECT chat_id FROM chat_users WHERE user_id IN (
+  SELECT DISTINCT user_id FROM chat_users ORDER BY user_id LIMIT 3)) GROUP BY ALL""")
+check("chats_for_users", lambda v: CH.chats_for_users(v.chats, v.chat_users, v.users.select("user_id")), """
 SELECT u.user_id, c.chat_id, c.display_name, (SELECT count(*) FROM chat_users o WHERE o.chat_id = c.chat_id) AS members
 FROM chat_users u JOIN chats c USING (chat_id)""")
 check("chat_users_details", lambda v: CH.chat_users_details(v.chat_users, v.users), f"""

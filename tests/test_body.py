@@ -9,9 +9,15 @@ from chatlake.operators import quality as Q
 from chatlake.plans.recovery import recover_text
 
 
+def size_of(n: int) -> bytes:
+    if n < 0x81:
+        return bytes([n])
+    return b"\x81" + n.to_bytes(2, "little") if n < 1 << 16 else b"\x82" + n.to_bytes(4, "little")
+
+
 def framed(text: bytes, marker: bytes = B.TEXT_MARKER, length: int | None = None) -> bytes:
-    size = len(text) if length is None else length
-    return B.STREAM_HEADER + b"\x81\xe8\x03" + B.STRING_CLASS + b"\x01" + marker + bytes([size]) + text + b"\x86\x84"
+    size = size_of(len(text) if length is None else length)
+    return B.STREAM_HEADER + b"\x81\xe8\x03" + B.STRING_CLASS + b"\x01" + marker + size + text + b"\x86\x84"
 
 
 def test_marker():
@@ -24,9 +30,10 @@ def test_plus_without_marker_drops_what_cannot_be_read():
     assert B.body_text(framed(b"Hello world", b"+", 12)) == "Hello world"
 
 
-def test_line_breaks_and_joiners_are_dropped_by_the_lenient_path():
-    assert B.body_text(framed(b"a\nb")) == "ab"
-    assert B.body_text(framed("👨‍👩".encode())) == "👨👩"
+def test_line_breaks_tabs_and_joiners_stay():
+    for text in ("a\nb", "a\tb\r\nc", "👨‍👩", "a\u2028b\u00a0c"):
+        assert B.body_text(framed(text.encode())) == text
+    assert B.body_text(framed(b"a\x00b")) == "ab"  # no text holds control characters
 
 
 def test_fixed_offset():
@@ -52,24 +59,32 @@ def test_long_text_in_run():
     assert B.body_text(b"\x00" + b"A" * 1000 + b"\x00") == "A" * 1000
 
 
-def test_one_byte_length_cuts_long_text():
-    """The length has one byte, so text beyond 255 bytes cannot be read whole from this frame."""
-    assert B.body_text(framed(b"x" * 300, length=44)) == "x" * 44
+@pytest.mark.parametrize("n", [1, 127, 128, 129, 255, 256, 300, 1000, 65_535, 65_536, 200_000])
+def test_lengths_of_one_two_and_four_bytes(n):
+    assert B.body_text(framed(b"x" * n)) == "x" * n
+    assert B.body_text(framed(b"x" * n, b"+")) == "x" * n
 
 
-@given(st.text(max_size=60))
+@given(st.text(max_size=60), st.integers(1, 30))
 @settings(max_examples=200, deadline=None)
-def test_frame_round_trip(text):
-    body = framed(text.encode("utf-8", "ignore"))
-    clean = text.encode("utf-8", "ignore").decode().strip()
-    if clean and clean.isprintable() and len(text.encode("utf-8", "ignore")) < 256 and text.isprintable():
-        assert B.body_text(body) == clean
+def test_frame_round_trip(text, times):
+    raw = (text * times).encode("utf-8", "ignore")
+    clean = raw.decode().strip()
+    if clean and not B._CONTROL.search(raw.decode()):
+        assert B.body_text(framed(raw)) == clean
+
+
+def test_encoded_columns_read_back_whole(spark):
+    texts = ["short", "é" * 70, "line\none\ttab " * 40, "x" * 70_000, "👨‍👩‍👧 " * 9000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = B.with_marked_text(df.withColumn("b", B.encode_body(F.col("t"))), "b", "got").orderBy("i")
+    assert [r.got for r in found.collect()] == [t.strip() for t in texts]
 
 
 def test_column_agrees_with_function(spark):
     texts = ["Test message", "Tést", "  hi 🎉 ", "a\nb", "x" * 200, "é" * 100, "👨‍👩‍👧", " ", " z ", "tab\there"]
     bodies = [framed(t.encode()) for t in texts] + [
-        b"\x00\x01", b"", None, framed(b"Hello world", b"+"), framed(b"\xff\xfe"), framed(b"cut", length=200),
+        b"\x00\x01", b"", None, framed(b"Hello world", b"+"), framed(b"\xff\xfe"), framed(b"cut", length=200), framed(b"cut", length=70_000),
         B.STREAM_HEADER + B.TEXT_MARKER + b"\x03abc", plistlib.dumps(["deep"], fmt=plistlib.FMT_BINARY)]
     df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b binary")
     got = [r[0] for r in B.with_decoded(df, F.col("b")).orderBy("i").select("decoded").collect()]
@@ -77,9 +92,9 @@ def test_column_agrees_with_function(spark):
 
 
 def test_only_unread_bodies_reach_python(spark):
-    df = spark.createDataFrame([(framed(b"quick"),), (framed(b"a\nb"),)], "b binary")
+    df = spark.createDataFrame([(framed(b"quick"),), (framed(b"a\nb"),), (framed(b"a\x00b"),)], "b binary")
     quick = B.with_marked_text(df, "b", "t").select("t").collect()
-    assert [r[0] for r in quick] == ["quick", None]
+    assert [r[0] for r in quick] == ["quick", "a\nb", None]
     plan = B.with_decoded(df, F.col("b"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
 

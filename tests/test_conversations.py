@@ -58,21 +58,19 @@ def test_conversations_match_neighbour_scan(busy):
     assert shape(CV.conversations(df)) == want
 
 
-@pytest.mark.parametrize("limit", [10**6, 40])
-def test_supplied_boundaries(spark, busy, limit):
+def test_supplied_boundaries(spark, busy):
     chats, df = busy
     rng = random.Random(5)
     cuts = [(c, rng.randrange(-2, len(ms) + 3)) for c, ms in chats.items() for _ in range(len(ms) // 2)]
     table = spark.createDataFrame(cuts, "chat_id bigint, after_message_index bigint")
     want = {(c, *s) for c, ms in chats.items() for s in split(ms, [i for k, i in cuts if k == c])}
-    assert shape(CV.conversations_from_boundaries(df, table, max_group_rows=limit)) == want
+    assert shape(CV.conversations_from_boundaries(df, table)) == want
 
 
-@pytest.mark.parametrize("limit", [10**6, 40])
-def test_nested_messages(busy, limit):
+def test_nested_messages(busy):
     chats, df = busy
     got = defaultdict(list)
-    for r in CV.conversation_messages(df, max_group_rows=limit).orderBy("sequence_number").collect():
+    for r in CV.conversation_messages(df).orderBy("sequence_number").collect():
         got[r["conversation_id"]].append((r["sequence_number"], r["message_id"]))
     want = {f"{c}:{first}": [(n + 1, m) for n, (_, m) in enumerate(ms[start:start + size])]
             for c, ms in chats.items() for first, last, size, start in split(ms, gaps(ms))}

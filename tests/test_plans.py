@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from chatlake.operators import chats as CH, conversations as CV, lookups as L, retrieval as RT, sendlog as SL
+from chatlake.operators import chats as CH, conversations as CV, lookups as L, quality as Q, retrieval as RT, sendlog as SL
+from chatlake.plans import recovery as RV
+from chatlake.sources.readers import scan_messages
 from checks.inputs import Inputs
 
 SF = "/root/testdata/sf0.001"
@@ -31,11 +33,20 @@ def test_top_k_never_sorts_everything(inputs):
     assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text
 
 
-def test_gap_detection_combines_before_its_only_shuffle(inputs):
+def test_gap_detection_aggregates_numbers_by_hash(inputs):
+    for df in (CV.gap_boundaries(inputs.direct), CV.conversation_messages(inputs.direct),
+               CV.detector_comparison(inputs.direct, inputs.cuts)):
+        text = plan(df)
+        assert "SortAggregate" not in text and "partial_count" in text
+    # Only the first messages of conversations meet a user id, behind a join.
     text = plan(CV.conversations(inputs.direct))
-    assert "partial_count" in text and text.count("Exchange") - text.count("ReusedExchange") <= 6
-    first_exchange = text.index("Exchange")
-    assert "partial_count" in text[text.index("HashAggregate") if "HashAggregate" in text else 0:] and first_exchange > 0
+    sorted_steps = [x for x in re.findall(r"\(\d+\) SortAggregate.*?Functions \[\d+\]: (.*?)\n", text, re.S)]
+    assert sorted_steps and all("user_id" in x and "count" not in x for x in sorted_steps)
+
+
+def test_reports_decode_once(inputs):
+    for df in (RV.refresh_report(inputs.message), Q.completeness_report(inputs.message, scan_messages(inputs.message), inputs.messages)):
+        assert len(re.findall(r"\(\d+\) ArrowEvalPython", plan(df))) == 1
 
 
 def test_no_cross_join_anywhere(inputs):
@@ -51,6 +62,13 @@ def test_top_n_limits_each_group_before_the_shuffle(inputs):
     assert text.count("WindowGroupLimit") >= 2
 
 
+def test_context_at_its_default_size_limits_groups_before_the_shuffle(inputs):
+    from chatlake.operators.context import MAX_CONTEXT, last_n_context
+
+    assert MAX_CONTEXT == 2000
+    assert plan(last_n_context(inputs.messages, inputs.chat_messages)).count("WindowGroupLimit") >= 2
+
+
 def test_bucketed_histories_need_no_shuffle(spark, inputs):
     from chatlake.plans.lake import bucket_messages
     from chatlake.session import scratch_path

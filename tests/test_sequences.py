@@ -1,5 +1,5 @@
 import random
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,18 +25,34 @@ def expected_index(rows):
     return {(k, i): n for k, members in groups.items() for n, (t, i) in enumerate(sorted(members))}
 
 
-@pytest.mark.parametrize("limit", [10**6, 100, 1])
-def test_group_index_whole_and_sliced(skewed, limit):
+@pytest.mark.parametrize("cell", [None, "0", "t", "floor(t / 100)"])
+def test_group_index_in_any_cells(skewed, cell):
     rows, df = skewed
-    got = SQ.group_index(df, ["k"], ["t", "id"], "n", max_group_rows=limit).collect()
+    got = SQ.group_index(df, ["k"], ["t", "id"], "n", cell and F.expr(cell)).collect()
     assert {(r["k"], r["id"]): r["n"] for r in got} == expected_index(rows)
     assert len(got) == len(rows) and set(got[0].asDict()) == {"k", "t", "id", "n"}
 
 
-@pytest.mark.parametrize("limit", [10**6, 100, 2])
-def test_top_n_whole_and_salted(skewed, limit):
+@pytest.mark.parametrize("expression", ["timestamp_seconds(t * 40000)", "lpad(cast(t as string), 5, 'é')", "t > 500", "t", "if(t < 9, null, t)"])
+def test_cells_never_decrease(skewed, expression):
     rows, df = skewed
-    got = SQ.top_n_per_group(df, ["k"], [F.desc("t"), F.desc("id")], 7, "id", "rank", limit).collect()
+    df = df.withColumn("t", F.expr(expression))
+    w = "partition by k order by t, id"
+    got = SQ.group_index(df, ["k"], ["t", "id"], "n").withColumn("m", F.expr(f"row_number() over ({w}) - 1"))
+    assert got.where("n <> m").count() == 0 and got.count() == len(rows)
+
+
+def test_no_job_runs_while_a_plan_is_made(spark, skewed):
+    rows, df = skewed
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    SQ.collect_parts(df, ["k"], ["t", "id"], F.col("id"), "ids")
+    SQ.top_n_per_group(df, ["k"], [F.desc("t")], 5)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+
+
+def test_top_n(skewed):
+    rows, df = skewed
+    got = SQ.top_n_per_group(df, ["k"], [F.desc("t"), F.desc("id")], 7, "rank").collect()
     groups = defaultdict(list)
     for k, t, i in rows:
         groups[k].append((t, i))
@@ -44,18 +60,9 @@ def test_top_n_whole_and_salted(skewed, limit):
     assert {(r["k"], r["id"]): r["rank"] for r in got} == want
 
 
-def test_salting_takes_several_levels(skewed, monkeypatch):
-    monkeypatch.setattr(SQ, "MERGE_FAN_IN", 4)
-    rows, df = skewed
-    got = SQ.top_n_per_group(df, ["k"], [F.asc("t"), F.asc("id")], 3, "id", None, 10)
-    sizes = Counter(r["k"] for r in got.collect())
-    assert sizes == {k: min(3, n) for k, n in Counter(k for k, *_ in rows).items()}
-
-
-@pytest.mark.parametrize("limit", [10**6, 50])
-def test_collect_parts_keeps_everything(skewed, limit):
+def test_collect_parts_keeps_everything(skewed):
     rows, df = skewed
-    got = SQ.collect_parts(df, ["k"], ["t", "id"], F.col("id"), "ids", part_rows=40, max_group_rows=limit).collect()
+    got = SQ.collect_parts(df, ["k"], ["t", "id"], F.col("id"), "ids", part_rows=40).collect()
     assert max(len(r["ids"]) for r in got) <= 40
     joined = defaultdict(list)
     for r in sorted(got, key=lambda r: r["part"]):
