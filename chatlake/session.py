@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A union may not pass for partitioned by the keys of its sides: once their partitions
+    # are coalesced at run time this is not so, and equal keys stay in several tasks.
+    "spark.sql.unionOutputPartitioning": "false",
     # Rows of a group that a task may keep before the shuffle of a top-n.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # Open sessions of a hot key are merged in each task before they move.
