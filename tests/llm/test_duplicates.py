@@ -59,20 +59,22 @@ def test_groups_of_near_copies(documents, messy_rows):
     assert all(r.n_shingles == sizes[r.doc_id] for r in found if r.doc_id is not None)
 
 
-def test_sketches_never_rule_out_a_similar_pair():
+def test_sketches_keep_similar_pairs_and_rule_out_others(spark):
     rng = np.random.default_rng(8)
-    for size in (1, 3, 20, 200, 3000):
-        for _ in range(30):
+    rows = []
+    for size in (1, 3, 20, 200, 3000, 20_000):
+        for share in [0.02, 0.05, 0.075] * 8 + [0.4] * 4:
             a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
-            b = np.unique(np.concatenate([a[: -max(0, size // 12) or None], rng.integers(0, 2**64, size // 14, dtype=np.uint64)]))
+            kept = a[: len(a) - round(share * size)]
+            b = np.unique(np.concatenate([kept, rng.integers(0, 2**64, round(share * size), dtype=np.uint64)]))
             shared = len(np.intersect1d(a, b))
-            if 100 * shared < 85 * (len(a) + len(b) - shared):
-                continue
-            (x, m), (y, n) = (nearcopies.odd_sketches(s, np.array([0]), np.array([len(s)])) for s in (a, b))
-            apart = sum(bin(int(v) & (2**64 - 1)).count("1") for v in x[0] ^ y[0])
-            expected = 0.15 * (m[0] + n[0])
-            fill = 1 - 2 * min(apart, nearcopies.SKETCH_BITS // 2 - 1) / nearcopies.SKETCH_BITS
-            assert -nearcopies.SKETCH_BITS / 2 * np.log(fill) <= expected + 6 * np.sqrt(expected) + 8
+            similar = 100 * shared >= 85 * (len(a) + len(b) - shared)
+            (x,), (y,) = (nearcopies.odd_sketches(s, np.array([0]), np.array([len(s)])) for s in (a, b))
+            rows.append((len(a), len(b), x.tolist(), y.tolist(), similar))
+    pairs = spark.createDataFrame(rows, "n_a bigint, n_b bigint, sketch_a array<bigint>, sketch_b array<bigint>, similar boolean")
+    found = {(r.similar, r.n_a >= 200, r.likely) for r in pairs.withColumn("likely", nearcopies.plausible(85)).collect()}
+    assert (True, True, True) in found and (False, True, False) in found
+    assert not found & {(True, True, False), (True, False, False), (False, True, True)}
 
 
 def test_components_of_long_chains_and_stars(spark):
