@@ -7,7 +7,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 
 
 def test_base_spans():
-    text = "a@b.co 1.2.3.4 1.2.3.256 01.2.3.4.5 4111 1111 1111 1111 +1 (389) 555-5010. +12 34 x 4111111111111112 é a@b"
+    text = "a@b.co 1.2.3.4 1.2.3.256 01.2.3.4.5 x 4111 1111 1111 1111 +1 (389) 555-5010. +12 34 x 4111111111111112 é a@b"
     found = [(k, text[a:b]) for k, a, b in personal.base_spans(text)]
     assert found == [("email", "a@b.co"), ("ip", "1.2.3.4"), ("ip", "01.2.3.4"), ("card", "4111 1111 1111 1111"),
                      ("phone", "+1 (389) 555-5010")]
