@@ -14,6 +14,9 @@ from chatlake.llm import nearcopies, packing, personal, repeats, toxicity
 from chatlake.llm.queries import fold, tokenizer_path
 from chatlake.session import clear_scratch, scratch_path, tune
 
+# Hundredths of the union of their word shingles that near copies share.
+NEAR_PERCENT = 80
+
 
 def _begin(spark: SparkSession) -> None:
     clear_scratch(tune(spark))
@@ -29,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; documents without an id all stay."""
     _begin(spark)
-    found = nearcopies.near_copies(docs)
+    found = nearcopies.near_copies(docs, percent=NEAR_PERCENT)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
     # Rows that share an id are one document, of which one row stays.

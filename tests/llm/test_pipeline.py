@@ -1,4 +1,5 @@
 import corpus_pipeline
+from chatlake.llm import nearcopies
 from chatlake.llm.queries import QUERIES, SQL
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,6 +25,16 @@ def test_stages_of_the_pipeline(spark, documents, messy_rows, tmp_path):
     assert {r.doc_id for r in kept["packing"].select("doc_id").collect()} == set(ids)
 
 
+def test_near_copies_of_the_pipeline_share_four_fifths(documents, spark):
+    words = [f"w{i}" for i in range(55)]
+    # One word of 55: 46 of 56 shingles are shared; three words: 36 of 66.
+    closer, further = (["x" if i in at else w for i, w in enumerate(words)] for at in ({27}, {14, 27, 40}))
+    docs = documents([(i, " ".join(w), "en", "s") for i, w in enumerate((words, closer, further), 1)])
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    assert {r.doc_id for r in stage(spark, docs, "/root/testdata/sf0.001").collect()} == {1, 3}
+    assert {r.doc_id for r in nearcopies.near_copies(docs).where("kept").collect()} == {1, 2, 3}  # the bar of op3
+
+
 def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
