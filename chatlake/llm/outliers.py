@@ -3,7 +3,9 @@
 Every document becomes a vector of four transformed statistics. Per language and
 source the minimum covariance determinant is approached by concentration steps: each
 step takes the ``share`` of rows nearest to the current centre and estimates centre
-and covariance anew from them alone, so junk cannot widen its own limits. A step is one
+and covariance anew from them alone, so junk cannot widen its own limits. Steps start
+from mean and covariance and from median and median absolute deviation, and go on until
+the determinant stops falling; the estimate with the smallest one is used. A step is one
 aggregation over (group, distance class), which combines before the shuffle however
 large a group is; centres and covariances are one row per group. A document is rejected
 when its squared Mahalanobis distance exceeds the chi-square quantile at ``confidence``.
@@ -42,6 +44,9 @@ SYMBOLS = "#*$%&|<>"
 FLOORS = (0.35, 0.35, 0.12, 0.12)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stutters")
 _CLASSES_PER_E = 32
+_CELLS_PER_E = 1024
+# Concentration ends when the determinant falls by a smaller share than this.
+LEAST_FALL = 1e-3
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -120,23 +125,24 @@ def _consistency(share: float) -> float:
 
 
 PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
-_PARAMETERS = "group string, centre array<double>, inverse array<double>"
-
-
-def _estimates(scale: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples(index=False):
-                centre = np.array([getattr(r, f"s{i}") for i in range(4)]) / r.rows
-                cov = np.zeros((4, 4))
-                for i, j in PAIRS:
-                    cov[i, j] = cov[j, i] = getattr(r, f"p{i}{j}") / r.rows - centre[i] * centre[j]
-                cov = scale * cov + np.diag(np.square(FLOORS))
-                # Rounded, so that the order in which sums were added leaves no trace.
-                out.append((r.group, np.round(centre, 9).tolist(), np.round(np.linalg.inv(cov), 9).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["group", "centre", "inverse"])
-    return run
+_PARAMETERS = "group string, start int, centre array<double>, inverse array<double>, determinant double"
+
+
+def _estimates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Centre and covariance of the sums of ``rows`` nearest of ``all_rows``."""
+    for frame in frames:
+        out = []
+        for r in frame.itertuples(index=False):
+            centre = np.array([getattr(r, f"s{i}") for i in range(4)]) / r.rows
+            cov = np.zeros((4, 4))
+            for i, j in PAIRS:
+                cov[i, j] = cov[j, i] = getattr(r, f"p{i}{j}") / r.rows - centre[i] * centre[j]
+            scale = 1.0 if r.rows == r.all_rows else _consistency(r.rows / r.all_rows)
+            cov = scale * cov + np.diag(np.square(FLOORS))
+            # Rounded, so that the order in which sums were added leaves no trace.
+            out.append((r.group, r.start, np.round(centre, 9).tolist(), np.round(np.linalg.inv(cov), 9).ravel().tolist(),
+                        float(f"{np.linalg.det(cov):.9g}")))
+        yield pd.DataFrame(out, columns=["group", "start", "centre", "inverse", "determinant"])
 
 
 def _distance() -> Column:
@@ -151,27 +157,64 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
         *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"p{i}{j}") for i, j in PAIRS])
 
 
-def robust_estimates(vectors: DataFrame, share: float, steps: int) -> DataFrame:
-    """group, centre, inverse covariance from (group, x) rows, by concentration steps."""
+def _middle(cells: DataFrame, value: str) -> DataFrame:
+    """group, dim, middle: the median of ``value`` over (group, dim, value, rows)."""
+    w = f"partition by group, dim order by {value} rows between unbounded preceding and current row"
+    return cells.withColumn("upto", F.expr(f"sum(rows) over ({w})")).withColumn(
+        "all_rows", F.expr("sum(rows) over (partition by group, dim)")).where("2 * upto >= all_rows").groupBy(
+            "group", "dim").agg(F.min(value).alias("middle"))
+
+
+def median_start(vectors: DataFrame) -> DataFrame:
+    """Estimates from the median and the median absolute deviation of each statistic."""
+    # Counts of narrow cells, some thousands per group at most, so that no group is sorted.
+    cells = vectors.select("group", F.posexplode("x").alias("dim", "v")).groupBy(
+        "group", "dim", F.round(F.asinh("v") * _CELLS_PER_E).alias("cell")).agg(F.count(F.lit(1)).alias("rows"))
+    cells = settled(cells.withColumn("value", F.sinh(F.col("cell") / _CELLS_PER_E)), "cells")
+    middles = _middle(cells, "value")
+    apart = cells.join(middles, ["group", "dim"]).withColumn("apart", F.abs(F.col("value") - F.col("middle")))
+    spreads = _middle(apart.drop("middle"), "apart").withColumnRenamed("middle", "spread")
+    held = middles.join(spreads, ["group", "dim"]).groupBy("group").agg(*[
+        F.max(F.when(F.col("dim") == i, F.col(c))).alias(f"{c}{i}") for i in range(4) for c in ("middle", "spread")])
+    # The deviation of normal rows is 1.4826 times the median absolute one.
+    inverse = [F.round(1 / (F.pow(1.4826 * F.col(f"spread{i}"), 2) + FLOORS[i] ** 2), 9) if i == j else F.lit(0.0)
+               for i in range(4) for j in range(4)]
+    return held.select(
+        "group", F.lit(1).alias("start"), F.array(*[F.round(f"middle{i}", 9) for i in range(4)]).alias("centre"),
+        F.array(*inverse).alias("inverse"))
+
+
+def robust_estimates(vectors: DataFrame, share: float) -> DataFrame:
+    """group, centre, inverse covariance from (group, x) rows: the least determinant from both starts."""
     sums = [f"s{i}" for i in range(4)] + [f"p{i}{j}" for i, j in PAIRS]
     totals = [F.sum(c).alias(c) for c in ("rows", *sums)]
-    estimates = settled(_sums(vectors, "group").mapInPandas(_estimates(1.0), _PARAMETERS), "estimates")
-    for _ in range(steps):
-        near = vectors.join(estimates, "group").withColumn(
+    names = ["group", "start", "centre", "inverse"]
+    plain = _sums(vectors, "group").withColumn("start", F.lit(0)).withColumn("all_rows", F.col("rows"))
+    # What a start itself estimates is not of the nearest rows and is no result.
+    latest = settled(plain.mapInPandas(_estimates, _PARAMETERS).select(*names).unionByName(median_start(vectors))
+                     .withColumn("determinant", F.lit(math.inf)).withColumn("falls", F.lit(True)), "estimates")
+    every = []
+    while latest.where("falls").limit(1).count():
+        falling = latest.where("falls").withColumnRenamed("determinant", "last")
+        near = vectors.join(falling, "group").withColumn(
             "class", F.floor(F.log(_distance() + 1e-6) * _CLASSES_PER_E))
-        classes = _sums(near, "group", "class")
+        classes = settled(_sums(near, "group", "start", "class"), "classes")
         # A few hundred distance classes per group, whatever its size.
-        w = "partition by group order by class rows between unbounded preceding and 1 preceding"
+        w = "partition by group, start order by class rows between unbounded preceding and 1 preceding"
         placed = classes.withColumn("nearer", F.coalesce(F.expr(f"sum(rows) over ({w})"), F.lit(0)))
-        sizes = classes.groupBy("group").agg(F.sum("rows").alias("all_rows"))
-        subset = placed.join(sizes, "group").where(F.col("nearer") < share * F.col("all_rows"))
-        estimates = settled(
-            subset.groupBy("group").agg(*totals).mapInPandas(_estimates(_consistency(share)), _PARAMETERS), "estimates")
-    return estimates
+        sizes = classes.groupBy("group", "start").agg(F.sum("rows").alias("all_rows"))
+        subset = placed.join(sizes, ["group", "start"]).where(F.col("nearer") < share * F.col("all_rows"))
+        found = subset.groupBy("group", "start", "all_rows").agg(*totals).mapInPandas(_estimates, _PARAMETERS)
+        latest = settled(found.join(falling.select("group", "start", "last"), ["group", "start"]).withColumn(
+            "falls", F.col("determinant") < (1 - LEAST_FALL) * F.col("last")).drop("last"), "estimates")
+        every.append(latest)
+    best = reduce(DataFrame.unionByName, every).groupBy("group").agg(
+        F.min(F.struct("determinant", "start", "centre", "inverse")).alias("best"))
+    return settled(best.select("group", "best.centre", "best.inverse"), "estimates")
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                     source_col: str = "source", share: float = 0.75, steps: int = 3,
+                     source_col: str = "source", share: float = 0.5,
                      confidence: float = 1 - 1e-9, smallest: int = 50) -> DataFrame:
     """One row per input row: doc_id, the measures, base_failed, kept, distance (squared; NULL where not judged)."""
     rows = texts(docs, id_col, text_col, group=F.to_json(F.struct(docs[lang_col], docs[source_col])))
@@ -185,11 +228,11 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     few = F.col("members") < smallest
     grouped = measured.join(sizes, "group", "left").withColumn(
         "group", F.when(F.col("members").isNull() | few, F.lit("few")).otherwise(F.col("group"))).drop("members")
-    vectors = grouped.where("n_words > 0").select("group", "x")
+    vectors = settled(grouped.where("n_words > 0").select("group", "x"), "vectors")
     # Too few rows in the pooled group: no estimate, hence no distance.
     enough = sizes.groupBy(F.when(few, F.lit("few")).otherwise(F.col("group")).alias("group")).agg(
         F.sum("members").alias("members")).where(F.col("members") >= smallest).select("group")
-    estimates = robust_estimates(vectors, share, steps).join(enough, "group", "left_semi")
+    estimates = robust_estimates(vectors, share).join(enough, "group", "left_semi")
     limit = chi_square_4(confidence)
     judged = grouped.join(estimates, "group", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)

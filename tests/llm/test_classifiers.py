@@ -45,6 +45,17 @@ def test_outliers_go_and_the_rest_stays(documents):
     assert not any(verdicts[i] for i in [*range(1000, 1040), 2000])
 
 
+def test_a_third_of_equal_junk_does_not_hide_itself(documents):
+    rng = random.Random(6)
+    words = [f"word{i}"[: rng.randint(4, 7)] + chr(97 + i % 26) for i in range(500)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(40, 200))), "en", "a") for i in range(400)]
+    junk = " ".join(w + "##" for w in rng.choices(words, k=80)) + " ###### ###### ######"
+    rows += [(1000 + i, junk, "en", "a") for i in range(200)]
+    found = outliers.quality_verdicts(documents(rows)).collect()
+    assert not any(r.base_failed for r in found)
+    assert all(r.kept == (r.doc_id < 1000) for r in found)
+
+
 def test_chi_square_quantile():
     assert abs(outliers.chi_square_4(0.95) - 9.487729) < 1e-5
     assert outliers.quality_verdicts.__defaults__[-1] == 50
