@@ -215,7 +215,7 @@ def robust_estimates(vectors: DataFrame, share: float) -> DataFrame:
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                      source_col: str = "source", share: float = 0.5,
-                     confidence: float = 1 - 1e-9, smallest: int = 50) -> DataFrame:
+                     confidence: float = 0.999, smallest: int = 50) -> DataFrame:
     """One row per input row: doc_id, the measures, base_failed, kept, distance (squared; NULL where not judged)."""
     rows = texts(docs, id_col, text_col, group=F.to_json(F.struct(docs[lang_col], docs[source_col])))
     measured = settled(

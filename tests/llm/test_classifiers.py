@@ -56,6 +56,18 @@ def test_a_third_of_equal_junk_does_not_hide_itself(documents):
     assert all(r.kept == (r.doc_id < 1000) for r in found)
 
 
+def test_stuttered_text_goes(documents):
+    rng = random.Random(8)
+    words = [f"word{i}"[: rng.randint(4, 7)] + chr(97 + i % 26) for i in range(500)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(40, 200))), "en", "a") for i in range(300)]
+    for i in range(10):
+        # About half of the words are the word before them; no eight words occur twice.
+        rows.append((1000 + i, " ".join(w for w in rng.choices(words, k=60) for _ in range(2)), "en", "a"))
+    found = outliers.quality_verdicts(documents(rows)).collect()
+    assert not any(r.base_failed for r in found)
+    assert all(r.kept == (r.doc_id < 1000) for r in found)
+
+
 def test_chi_square_quantile():
     assert abs(outliers.chi_square_4(0.95) - 9.487729) < 1e-5
     assert outliers.quality_verdicts.__defaults__[-1] == 50
