@@ -10,7 +10,9 @@ the chance that not all of its confident patterns are wrong. Candidates above th
 whose form fits the kind become known and score patterns in the next round.
 
 Copies of a text do not add up: instances and seeds count once per distinct string.
-The pattern table sent to all tasks is bounded by ``PATTERNS``.
+Candidates and their patterns meet by a join, whatever the number of patterns. The words
+after patterns are counted for those that precede a candidate, in passes over the texts
+with about ``PATTERNS`` patterns each, which bounds the table that tasks hold.
 
 Results by case: NULL and empty texts have no spans; repeated rows each get their row;
 added spans never overlap base spans; other columns are ignored.
@@ -37,7 +39,7 @@ BASE = {
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-# Distinct seeds a pattern needs, the most patterns looked for, the bars, and the rounds.
+# Distinct seeds a pattern needs, the patterns looked for in one pass, the bars, and the rounds.
 LEAST_SEEDS = 4
 PATTERNS = 20_000
 PATTERN_BAR = 0.5
@@ -87,59 +89,71 @@ def render(spans: list[tuple[str, int, int]]) -> str:
 
 
 _SPANS = "array<struct<kind: string, start: int, end: int>>"
-_BASE = f"doc_id bigint, mark bigint, spans {_SPANS}, seeds array<struct<kind: string, value: string, pattern: string>>"
+_BASE = (f"doc_id bigint, mark bigint, spans {_SPANS}, seeds array<struct<kind: string, value: string, pattern: string>>, "
+         "candidates array<struct<start: int, end: int, value: string, patterns: array<string>>>")
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 _SEED_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("pattern", pa.string())]))
+_CANDIDATE_TYPE = pa.list_(pa.struct([
+    ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
+
+
+def _candidates(text: str | None, taken: list[tuple[str, int, int]]) -> list[dict]:
+    """Strings that look like identifiers outside the spans ``taken``, with the patterns before them."""
+    found = []
+    for m in _CANDIDATE.finditer(text or ""):
+        if _SIGN.search(m.group()) and not any(a < m.end() and m.start() < b for _, a, b in taken):
+            patterns = patterns_before(text, m.start())
+            if patterns:
+                found.append({"start": m.start(), "end": m.end(), "value": m.group(), "patterns": patterns})
+    return found
 
 
 def _find_base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            spans, seeds = [], []
+            spans, seeds, candidates = [], [], []
             for text in part.column("text").to_pylist():
                 found = base_spans(text)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
                 seeds.append([{"kind": k, "value": text[a:b], "pattern": p}
                               for k, a, b in found for p in patterns_before(text, a)])
+                candidates.append(_candidates(text, found))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("mark"), pa.array(spans, _SPAN_TYPE), pa.array(seeds, _SEED_TYPE)],
-                ["doc_id", "mark", "spans", "seeds"])
-
-
-_PLACES = "pattern string, words bigint, doc_id bigint, mark bigint, start int, end int, value string"
+                [part.column("doc_id"), part.column("mark"), pa.array(spans, _SPAN_TYPE), pa.array(seeds, _SEED_TYPE),
+                 pa.array(candidates, _CANDIDATE_TYPE)], ["doc_id", "mark", "spans", "seeds", "candidates"])
 
 
-def _look(patterns: frozenset[str]):
-    """What follows the patterns: numbers of words, and each candidate with its place."""
+def _count(patterns: frozenset[str]):
+    """Numbers of words that follow the patterns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words: Counter[str] = Counter()
-                rows: list[tuple] = []
-                for doc_id, mark, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "mark", "text"))):
+                for text in part.column("text").to_pylist():
                     if not text:
                         continue
                     tokens = [t.strip(_EDGE) for t in text.lower().split()]
                     words.update(a for a, b in zip(tokens, tokens[1:]) if a in patterns and not _SIGN.search(b))
                     words.update(f"{a} {b}" for a, b, c in zip(tokens, tokens[1:], tokens[2:])
                                  if f"{a} {b}" in patterns and not _SIGN.search(c))
-                    taken = None
-                    for m in _CANDIDATE.finditer(text):
-                        if not _SIGN.search(m.group()):
-                            continue
-                        known = [p for p in patterns_before(text, m.start()) if p in patterns]
-                        if known:
-                            taken = base_spans(text) if taken is None else taken
-                            if not any(a < m.end() and m.start() < b for _, a, b in taken):
-                                rows += [(p, 0, doc_id, mark, m.start(), m.end(), m.group()) for p in known]
-                rows += [(p, n, None, None, None, None, None) for p, n in words.items()]
-                if rows:
-                    kinds = (pa.string(), *[pa.int64()] * 3, pa.int32(), pa.int32(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
-                                                     [c.split()[0] for c in _PLACES.split(", ")])
+                if words:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["pattern", "words"])
     return run
 
 
+def words_after(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, words: how many words follow each of ``patterns`` (a written table) in the texts."""
+    counts = patterns.select("pattern", F.lit(0).cast("bigint").alias("words")).limit(0)
+    passes = -(-patterns.count() // PATTERNS)
+    for i in range(passes):
+        block = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(passes)) == i)
+        wanted = frozenset(block.toArrow().column(0).to_pylist())
+        found = rows.mapInArrow(_count(wanted), "pattern string, words bigint")
+        counts = counts.unionByName(settled(found.groupBy("pattern").agg(F.sum("words").alias("words")), "words"))
+    return counts
+
+
 def _fits() -> Column:
     """Whether a candidate has the form of the kind."""
     digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
@@ -149,10 +163,9 @@ def _fits() -> Column:
         .when(F.col("kind") == "card", digits >= 12).otherwise((digits >= 7) & ~F.col("value").rlike("[A-Za-z@]")))
 
 
-def _bootstrap(seeds: DataFrame, places: DataFrame, rounds: int) -> DataFrame:
+def _bootstrap(seeds: DataFrame, places: DataFrame, words: DataFrame, rounds: int) -> DataFrame:
     """(value, kind) of the candidates that the graph of patterns and instances makes known."""
-    candidates = places.where("value is not null").select("pattern", "value").distinct()
-    words = places.groupBy("pattern").agg(F.sum("words").alias("words"))
+    candidates = places.select("pattern", "value").distinct()
     others = candidates.groupBy("pattern").agg(F.count(F.lit(1)).alias("candidates"))
     of = seeds.groupBy("pattern").agg(F.count_distinct("value").alias("seed_values"))
     totals = settled(of.join(words, "pattern", "left").join(others, "pattern", "left").select(
@@ -183,11 +196,13 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = settled(rows.mapInArrow(_find_base, _BASE), "base")
     seeds = settled(base.select(F.explode("seeds").alias("s")).select("s.pattern", "s.kind", "s.value").distinct(), "seeds")
     often = seeds.groupBy("pattern").agg(F.count_distinct("value").alias("values")).where(F.col("values") >= LEAST_SEEDS)
-    chosen = settled(often.orderBy(F.desc("values"), "pattern").limit(PATTERNS).select("pattern"), "patterns")
-    wanted = frozenset(chosen.toArrow().column(0).to_pylist())
-    places = settled(rows.mapInArrow(_look(wanted), _PLACES), "places")
-    found = _bootstrap(seeds.join(chosen, "pattern", "left_semi"), places, rounds)
-    added = places.where("value is not null").join(found, "value").select("doc_id", "mark", "kind", "start", "end").distinct()
+    placed = base.select("doc_id", "mark", F.explode("candidates").alias("c")).select(
+        "doc_id", "mark", "c.start", "c.end", "c.value", F.explode("c.patterns").alias("pattern"))
+    places = settled(placed.join(often.select("pattern"), "pattern", "left_semi"), "places")
+    # Only patterns that precede a candidate can make one known.
+    leading = settled(places.select("pattern").distinct(), "leading")
+    found = _bootstrap(seeds.join(leading, "pattern", "left_semi"), places, words_after(rows, leading), rounds)
+    added = places.join(found, "value").select("doc_id", "mark", "kind", "start", "end").distinct()
     lists = added.groupBy(F.col("doc_id").alias("added_id"), F.col("mark").alias("added_mark")).agg(
         F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     same = F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("mark") == F.col("added_mark"))

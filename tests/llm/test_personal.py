@@ -42,6 +42,15 @@ def test_a_context_of_ordinary_words_is_worth_nothing(documents):
     assert found[50] == []
 
 
+def test_every_pattern_is_looked_for_whatever_a_pass_holds(documents, monkeypatch):
+    rows = seeds() + [(50, "please ring 389-555-7788 today, server 10:0:33:99 ok", None, None),
+                      (51, "please ring the bell today, server down", None, None)]
+    whole = {r.doc_id: r.spans for r in personal.find_personal(documents(rows)).collect()}
+    assert [(s.kind, s.start) for s in whole[50]] == [("phone", 12), ("ip", 39)]
+    monkeypatch.setattr(personal, "PATTERNS", 2)
+    assert {r.doc_id: r.spans for r in personal.find_personal(documents(rows)).collect()} == whole
+
+
 def test_report_of_messy_rows(documents, messy_rows):
     rows = messy_rows + seeds(3) + seeds(1) * 2
     found = personal.report(personal.find_personal(documents(rows))).collect()
