@@ -1,8 +1,9 @@
 import sys
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta
 from pathlib import Path
 
 import pytest
+from chat_times import EPOCH
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -35,9 +36,6 @@ def column(spark):
     return values
 
 
-EPOCH = datetime(2024, 1, 1)
-
-
 @pytest.fixture
 def chat(spark):
     """Messages from (chat_id, message_id, hours since the first of January 2024)."""
@@ -47,6 +45,3 @@ def chat(spark):
             data, "chat_id bigint, message_id bigint, user_id string, is_from_me boolean, created_at timestamp, contents string")
     return build
 
-
-def utc(*parts):
-    return datetime(*parts, tzinfo=timezone.utc)

@@ -3,7 +3,7 @@ from collections import defaultdict
 from datetime import timedelta
 
 import pytest
-from conftest import EPOCH
+from chat_times import EPOCH
 from pyspark.sql import functions as F
 
 from chatlake.operators import conversations as CV
