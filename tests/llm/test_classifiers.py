@@ -39,9 +39,12 @@ def test_outliers_go_and_the_rest_stays(documents):
         rows.append((i, " ".join(rng.choices(words, k=rng.randint(40, 200))), lang, source))
     rows += [(1000 + i, " ".join(w + "#$%" for w in rng.choices(words, k=80)), "en", "a") for i in range(40)]
     rows += [(2000, " ".join(w * 9 for w in rng.choices(words, k=80)), "en", "a")]
-    rows += [(3000, rows[0][1], "xx", "small group"), (3001, rows[0][1] + " ####" * 99, "xx", "small group")]
+    rows += [(3000, rows[0][1], "xx", "small group"), (3001, rows[0][1] + " ####" * 9, "xx", "small group"),
+             (3002, rows[0][1] + " ####" * 99, "xx", "small group")]
     verdicts = {r.doc_id: r.kept for r in outliers.quality_verdicts(documents(rows)).collect()}
     assert all(verdicts[i] for i in range(300)) and verdicts[3000] and verdicts[3001]
+    # 99 equal words of 182 fail the fixed limit on repeated words.
+    assert not verdicts[3002]
     assert not any(verdicts[i] for i in [*range(1000, 1040), 2000])
 
 
