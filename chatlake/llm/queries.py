@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from chatlake.llm import langid, nearcopies, neighbours, outliers, packing, personal, pieces, repeats, tokencount, toxicity, turntrie, wordtable
+from chatlake.llm import alignment, langid, nearcopies, neighbours, outliers, packing, personal, pieces, repeats, tokencount, toxicity, turntrie, wordtable
 from chatlake.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,10 @@ def op11_piece_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -127,5 +131,5 @@ FROM tied JOIN sums USING (depth, node)
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_language_id, op2_word_bpe, op3_near_copies, op4_repeated_passages,
     op5_personal_data, op6_quality_outliers, op7_toxicity, op8_best_fit_packing, op9_collision_counting,
-    op10_token_counts, op11_piece_words, op13_prefix_trie)}
+    op10_token_counts, op11_piece_words, op12_token_alignment, op13_prefix_trie)}
 SQL: dict[str, str] = {"op13_prefix_trie": PREFIX_TRIE_SQL}
