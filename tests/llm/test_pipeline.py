@@ -37,5 +37,5 @@ def test_near_copies_of_the_pipeline_share_four_fifths(documents, spark):
 
 def test_run_and_registration(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(SQL) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
