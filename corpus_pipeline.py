@@ -8,9 +8,12 @@ stages before it are no longer read and are cleared when a stage begins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from itertools import count
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chatlake.llm import nearcopies, packing, personal, repeats, toxicity
+from chatlake.llm.common import settled, wrapped
 from chatlake.llm.queries import fold, tokenizer_path
 from chatlake.session import clear_scratch, scratch_path, tune
 
@@ -29,32 +32,57 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, labels, fold("doc_id", 5, 0))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a key per id and text: the id, or a number of its own for each further text of an id."""
+    rows = wrapped(docs)
+    reused = settled(rows.where("id IS NOT NULL").groupBy("id").agg(
+        F.min("mark").alias("first"), F.max("mark").alias("last")).where("first <> last").select("id", "first"), "reused_ids")
+    if reused.isEmpty():
+        return rows.withColumn("key", F.col("id"))
+    marked = rows.join(reused, "id", "left")
+    further = F.col("mark") != F.col("first")
+    for salt in count():
+        number = F.xxhash64(F.lit(salt), "id", "mark")
+        fresh = marked.where(further).select("id", "mark").distinct().select(number.alias("id"))
+        taken = rows.where("id IS NOT NULL").select("id").distinct().unionAll(fresh)
+        if taken.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            return marked.withColumn("key", F.when(further, number).otherwise(F.col("id"))).drop("first")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; documents without an id all stay."""
+    """One document of each group of near copies, the one with the smallest id where ids are unique.
+
+    Rows with the same id and text are one document; different texts under one id are
+    documents of their own. Documents without an id all stay.
+    """
     _begin(spark)
-    found = nearcopies.near_copies(docs, percent=NEAR_PERCENT)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    # Rows that share an id are one document, of which one row stays.
-    text = F.xxhash64("text")
-    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
-    return left.withColumn("_row", F.row_number().over(one)).where(
-        F.col("doc_id").isNull() | (F.col("_row") == 1)).select(*docs.columns)
+    rows = _keyed(docs)
+    found = nearcopies.near_copies(rows.select("key", "text"), id_col="key", percent=NEAR_PERCENT)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct()
+    again = rows.where("key IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    again = settled(again, "repeated_keys")
+    left = rows.select("key", "row").join(gone, "key", "left_anti")
+    # Only rows that are there several times are grouped.
+    one = left.join(again, "key", "left_semi").dropDuplicates(["key"])
+    return left.join(again, "key", "left_anti").unionByName(one).select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller id has too; others stay as they are."""
     _begin(spark)
     found = repeats.remove_repeats(docs, with_text=True).where("n_removed > 0").dropDuplicates(["doc_id", "mark"])
-    found = found.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.col("kept_text").alias("_kept"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_mark"))
-    return _with_text(docs, docs.join(found, same, "left").withColumn("text", F.coalesce("_kept", "text")))
+    found = found.select(F.col("doc_id").alias("found_id"), F.col("mark").alias("found_mark"), "kept_text")
+    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark"))
+    joined = wrapped(docs).join(found, same, "left")
+    text = F.coalesce("kept_text", "text")
+    return _with_length(docs, joined.select(*[
+        text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by its kind in brackets."""
     _begin(spark)
-    return _with_text(docs, personal.mask_texts(docs, personal.find_personal(docs)))
+    return _with_length(docs, personal.mask_texts(docs, personal.find_personal(docs)))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,13 +91,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
-def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
-    """The columns of ``docs``, with n_chars, where there is one, as long as the text is now."""
+def _with_length(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The changed texts, with n_chars, where there is one, as long as the text is now."""
     if "n_chars" in docs.columns:
         changed = changed.withColumn(
             "n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(
                 docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
+    return changed
 
 
 STAGES = [
