@@ -17,6 +17,12 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mor
     )
 
 
+def wrapped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row whole in ``row``, beside its id, text and mark (hash of the text): no column of its own can clash."""
+    return docs.select(F.struct("*").alias("row"), docs[id_col].cast("bigint").alias("id"),
+                       docs[text_col].cast("string").alias("text"), F.xxhash64(docs[text_col]).alias("mark"))
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

@@ -26,9 +26,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from chatlake.llm.common import settled, texts
+from chatlake.llm.common import settled, texts, wrapped
 from chatlake.llm.wordhash import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -241,17 +241,16 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 def mask_texts(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans of ``find_personal`` masked in their texts; other columns stay."""
     hits = found.where(F.size("spans") > 0).dropDuplicates(["doc_id", "mark"]).select(
-        F.col("doc_id").alias("_found_id"), F.col("mark").alias("_found_mark"), F.col("spans").alias("_spans"))
-    same = docs[id_col].cast("bigint").eqNullSafe(F.col("_found_id")) & (F.xxhash64(docs[text_col]) == F.col("_found_mark"))
-    joined = docs.join(hits, same, "left").drop("_found_id", "_found_mark")
-    names = docs.columns
+        F.col("doc_id").alias("found_id"), F.col("mark").alias("found_mark"), "spans")
+    same = F.col("id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark"))
+    joined = wrapped(docs, id_col, text_col).join(hits, same, "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, spans = batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist()
+            text, spans = batch.column("text").to_pylist(), batch.column("spans").to_pylist()
             new = [masked(t, [(s["kind"], s["start"], s["end"]) for s in found]) if found else t
                    for t, found in zip(text, spans)]
-            columns = [pa.array(new, pa.string()) if n == text_col else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(new, pa.string())], ["row", "text"])
 
-    return joined.mapInArrow(run, docs.schema)
+    changed = joined.mapInArrow(run, T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())]))
+    return changed.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
