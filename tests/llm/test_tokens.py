@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import zlib
 
@@ -126,6 +127,61 @@ def test_plans_use_every_piece_and_hardly_more_sequences_than_needed():
     assert extra <= 2
 
 
+def test_many_empties_and_equal_lengths_are_planned():
+    for lengths in (np.full(3000, 1), np.full(5000, 300), np.full(7, 1024), np.concatenate([np.full(90_000, 1), np.arange(1, 1025)])):
+        counts = np.bincount(lengths, minlength=1025)
+        plan = packing.plan_packing(counts)
+        used = np.zeros(1025, int)
+        for times, filling in plan:
+            assert sum(filling) <= 1024
+            np.add.at(used, filling, times)
+        assert (used == counts).all()
+        each = 1024 // int(lengths[0]) if len(set(lengths.tolist())) == 1 else 0
+        assert sum(t for t, _ in plan) == (-(-len(lengths) // each) if each else packing.fewest_possible(counts, 1024))
+
+
+def test_a_filling_wastes_as_little_as_any():
+    rng = random.Random(9)
+    for _ in range(200):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(0, 9))]
+        room = rng.randint(0, 40)
+        sums = {0}
+        for n in lengths:
+            sums |= {s + n for s in sums}
+        for order in (0, 1, 3):
+            filling = packing.best_filling(np.bincount(lengths, minlength=41), room, order)
+            assert sum(filling) == max(s for s in sums if s <= room)
+            assert all(filling.count(n) <= lengths.count(n) for n in filling)
+
+
+def test_empties_spaces_and_letters_without_end(documents):
+    texts = [" " * 1_000_000, "a" * 1_000_000, "\n" * 200_000 + "x", "é字" * 1000]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)] + [(10 + i, None if i % 2 else "", "en", "s") for i in range(3000)]
+    library = Tokenizer.from_file(BYTE_BPE)
+    expected = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    found = packing.pack_documents(documents(rows), BYTE_BPE).toPandas()
+    assert found[found.doc_id < 10].groupby("doc_id").length.sum().to_dict() == expected
+    assert (found[found.doc_id >= 10].length == 1).all() and len(found[found.doc_id >= 10]) == 3000
+    assert found.sequence_id.nunique() == packing.fewest_possible(np.bincount(found.length, minlength=1025), 1024)
+
+
+def test_merging_by_rank_is_proven_from_the_file(tmp_path, documents, messy_rows):
+    assert packing.merges_by_rank(BYTE_BPE)
+    spec = json.loads(open(BYTE_BPE, encoding="utf-8").read())
+    # Two entries swap their ids, so merges no longer come in the order of ids.
+    vocab = spec["model"]["vocab"]
+    one, two = (p for p, i in vocab.items() if i in (300, 301))
+    vocab[one], vocab[two] = vocab[two], vocab[one]
+    path = str(tmp_path / "swapped.json")
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(spec, file)
+    assert not packing.merges_by_rank(path)
+    library = Tokenizer.from_file(path)
+    expected = {(i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, *_ in messy_rows}
+    found = packing.token_pieces(documents(messy_rows), path, capacity=1 << 20).collect()
+    assert {(r.doc_id, r.length) for r in found} == expected
+
+
 def test_empty_tables(documents):
     none = documents([])
     assert wordtable.encode_decode(none, WORD_BPE).count() == 0
