@@ -1,3 +1,3 @@
 """Importing this module registers every check."""
 
-from checks import expressions, reports, sequences, tables  # noqa: F401
+from checks import expressions, live, reports, sequences, tables  # noqa: F401
