@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chatlake.session import settle
+from chatlake.session import scratch_path, settle
 
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -38,6 +40,16 @@ def settled(df: DataFrame, label: str) -> DataFrame:
         conf.set(_FREE_SHUFFLES, before)
 
 
+def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+    """As ``settled``, with rows dealt to files by ``column``, so that grouping by it later moves none of them."""
+    spark, name = df.sparkSession, f"chatlake_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", scratch_path(spark, label)).format("parquet").saveAsTable(name)
+    found = spark.table(name)
+    # The files stay; only the name goes.
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def hashed_to(column: Column | str, parts: int) -> Column:
     """A number from 0 to ``parts`` - 1 that depends on the values only."""
     columns = [column] if isinstance(column, (str, Column)) else column

@@ -9,7 +9,7 @@ the corpus is segmented once. For a model with such pieces the whole text is one
 Texts are read in blocks of about ``BLOCK_BYTES``. A block numbers its distinct words, so
 a text becomes a list of numbers, and a word meets the table once per block, however
 often it occurs: no word can be a hot key. Words are dealt by hash (``radix``); a task
-segments the distinct words of a radix and answers every block with the ids by number.
+segments the distinct words of a radix and answers every block with their ids in order.
 Blocks then put the ids back by position. Radixes grow with the bytes of the input, so
 that neither a block nor a radix outgrows a task.
 
@@ -37,7 +37,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from chatlake.llm.common import settled, texts
+from chatlake.llm.common import bucketed, texts
 from chatlake.llm.wordhash import slices
 
 # Text that is numbered together, and the distinct words that end a block before that.
@@ -46,14 +46,16 @@ BLOCK_WORDS = 1 << 20
 # Text bytes per radix of the word table, and words and texts per row that is dealt.
 RADIX_BYTES = 16 << 20
 ROW_WORDS = 4096
+# Spark's own limit on the files that blocks are dealt to; beyond it a file has several blocks.
+MOST_BUCKETS = 100_000
 ROW_DOCS = 256
 _MARK = "▁"
 _WORD = re.compile(f"{_MARK}({_MARK}*[^{_MARK}]*)")
 # Fixed value: how the library writes an unknown piece.
 _UNKNOWN = " ⁇ "
-_BLOCKS = ("block bigint, radix int, numbers binary, words array<string>, "
+_BLOCKS = ("block bigint, radix int, part int, numbers binary, words binary, lengths binary, "
            "doc_ids array<bigint>, sizes binary, codes binary")
-_ANSWERS = "block bigint, numbers binary, sizes binary, ids binary"
+_ANSWERS = "block bigint, radix int, part int, sizes binary, ids binary"
 _OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 _OUT_TEXTS = _OUT + ", ids array<int>, decoded string"
 
@@ -103,7 +105,7 @@ def model_at(path: str) -> Model:
 def squeezed(values: np.ndarray) -> bytes:
     """Whole numbers below 2**32, compressed byte by byte of their width."""
     planes = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor().compress(planes.tobytes())
 
 
 def widened(data: bytes) -> np.ndarray:
@@ -114,21 +116,23 @@ def widened(data: bytes) -> np.ndarray:
 def _number(path: str, radixes: int):
     """Texts to numbers of the distinct words of their block."""
     names = [f.split()[0] for f in _BLOCKS.split(", ")]
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64()), *[pa.binary()] * 2)
 
     def rows(block: int, numbers: dict[str, int], ids: list, codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         dealt: dict[int, list[str]] = defaultdict(list)
         for word in numbers:
             dealt[zlib.crc32(word.encode()) % radixes].append(word)
         for radix, words in dealt.items():
+            words.sort()  # neighbours then begin alike, which packs better
             for i in range(0, len(words), ROW_WORDS):
                 part = words[i: i + ROW_WORDS]
-                own = squeezed(np.array([numbers[w] for w in part]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], k) for x, k in zip((block, radix, own, part, None, None, None), kinds)], names)
+                row = (block, radix, i // ROW_WORDS, squeezed(np.array([numbers[w] for w in part])),
+                       zstandard.ZstdCompressor().compress("".join(part).encode()),
+                       squeezed(np.array([len(w) for w in part])), None, None, None)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
         for i in range(0, len(ids), ROW_DOCS):
             part = codes[i: i + ROW_DOCS]
-            row = (block, None, None, None, ids[i: i + ROW_DOCS], squeezed(np.array([len(c) for c in part])),
+            row = (block, *[None] * 5, ids[i: i + ROW_DOCS], squeezed(np.array([len(c) for c in part])),
                    squeezed(np.concatenate(part)))
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
 
@@ -159,29 +163,35 @@ def _segment(path: str):
         model, radix, known = model_at(path), None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                block, own, numbers, words = (batch.column(c)[i].as_py() for c in ("block", "radix", "numbers", "words"))
+                block, own, part, packed, lengths = (
+                    batch.column(c)[i].as_py() for c in ("block", "radix", "part", "words", "lengths"))
+                joined, ends = zstandard.ZstdDecompressor().decompress(packed).decode(), np.cumsum(widened(lengths)).tolist()
+                words = [joined[a:b] for a, b in zip([0, *ends], ends)]
                 if own != radix:
                     radix, known = own, {}
                 new = [w for w in words if w not in known]
                 known.update(zip(new, model.segment(new)))
                 found = [known[w] for w in words]
-                row = (block, numbers, squeezed(np.array([len(x) for x in found])),
+                row = (block, own, part, squeezed(np.array([len(x) for x in found])),
                        squeezed(np.fromiter((i for x in found for i in x), "<u4")))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))],
-                    ["block", "numbers", "sizes", "ids"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)],
+                                                 [f.split()[0] for f in _ANSWERS.split(", ")])
     return run
 
 
 def _restore(path: str, with_texts: bool):
     """Ids of a block's words back to their places in its texts."""
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(held: pa.Table, answers: pa.Table) -> pa.Table:
         meaning = model_at(path).meaning
         decimals = [str(i) for i in range(len(meaning))]
-        words = sum(len(widened(x)) for x in answers.column("numbers").to_pylist())
+        rows = held.select(["radix", "part", "numbers", "doc_ids", "sizes", "codes"]).to_pylist()
+        numbered = {(r["radix"], r["part"]): widened(r["numbers"]) for r in rows if r["numbers"] is not None}
+        words = sum(map(len, numbered.values()))
         lists: list[list[int]] = [[]] * words
         listed, said, sizes = [""] * words, [b""] * words, np.zeros(words, np.int64)
-        for numbers, lengths, ids in zip(*(map(widened, answers.column(c).to_pylist()) for c in ("numbers", "sizes", "ids"))):
+        for radix, part, lengths, ids in zip(*(answers.column(c).to_pylist() for c in ("radix", "part", "sizes", "ids"))):
+            numbers, lengths, ids = numbered[radix, part], widened(lengths), widened(ids)
             sizes[numbers] = lengths
             ids, done = ids.tolist(), 0
             for number, length in zip(numbers.tolist(), lengths.tolist()):
@@ -192,7 +202,9 @@ def _restore(path: str, with_texts: bool):
                 if with_texts:
                     lists[number] = own
         out: list[tuple] = []
-        for row in docs.select(["doc_ids", "sizes", "codes"]).to_pylist():
+        for row in rows:
+            if row["codes"] is None:
+                continue
             codes, done = widened(row["codes"]), 0
             for doc_id, length in zip(row["doc_ids"], widened(row["sizes"]).tolist()):
                 own = codes[done: done + length]
@@ -219,9 +231,11 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     rows = texts(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     radixes = max(8, math.ceil(size / RADIX_BYTES))
-    held = settled(rows.mapInArrow(_number(model_path, radixes), _BLOCKS), "piece_blocks")
-    words = held.where("radix IS NOT NULL").select("block", "radix", "numbers", "words")
+    blocks = rows.mapInArrow(_number(model_path, radixes), _BLOCKS)
+    # Written by block, so that the texts wait where they are for the ids of their words.
+    held = bucketed(blocks, "piece_blocks", "block", min(radixes, MOST_BUCKETS))
+    words = held.where("radix IS NOT NULL").select("block", "radix", "part", "words", "lengths")
     answers = words.repartition("radix").sortWithinPartitions("radix").mapInArrow(_segment(model_path), _ANSWERS)
-    coded = held.where("radix IS NULL").select("block", "doc_ids", "sizes", "codes")
+    coded = held.drop("words", "lengths")
     return coded.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _restore(model_path, with_texts), _OUT_TEXTS if with_texts else _OUT)
