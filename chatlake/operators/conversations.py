@@ -12,6 +12,9 @@ combines before the shuffle; only these small rows are ordered per chat.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatlake.functions.text import numbered_line
@@ -284,3 +287,62 @@ def shift_boundaries(parsed: DataFrame) -> DataFrame:
     return rows.select("chat_id", (F.col("b.after_message_index") + F.col("chunk_start")).alias("after_message_index"),
                        "b.reason", "b.confidence")
 
+
+# Boundaries that lie so close are one that two annotators placed differently.
+TOLERANCE = 2
+
+
+def reconciled_boundaries(found: DataFrame, chunk_size: int = CHUNK_SIZE, overlap: int = OVERLAP,
+                          tolerance: int = TOLERANCE) -> DataFrame:
+    """One boundary where neighbouring chunks give one each, within ``tolerance`` messages of each other.
+
+    ``found`` has (chat_id, chunk, after_message_index, reason, confidence), the index in
+    the chat. Two boundaries of neighbours are the same if each is the closest to the
+    other; the one with more confidence stays, on a tie the one further from the edge
+    of its chunk, then the earlier one. The same boundary twice in a chunk is one.
+    Rows meet by chat and chunk, so a chat of any length is many small groups.
+    """
+    step = chunk_size - overlap
+    best = F.max(F.struct("confidence", "reason"))
+    index = F.col("after_message_index")
+    rows = found.groupBy("chat_id", "chunk", "after_message_index").agg(best.alias("_best")).select(
+        "chat_id", "chunk", "after_message_index", "_best.confidence", "_best.reason")
+    start = F.col("chunk") * step
+    rows = rows.withColumn("room", F.least(index - start, start + chunk_size - 1 - index))
+    side = {n: rows.select("chat_id", (F.col("chunk") + int(n == "a")).alias("_at"), index.alias(f"{n}_index"), F.col("confidence").alias(
+        f"{n}_confidence"), F.col("room").alias(f"{n}_room")) for n in "ab"}
+    near = side["a"].join(side["b"], ["chat_id", "_at"]).where(F.abs(F.col("a_index") - F.col("b_index")) <= tolerance)
+    away = F.abs(F.col("a_index") - F.col("b_index"))
+    closest = {n: F.row_number().over(Window.partitionBy("chat_id", "_at", f"{n}_index").orderBy(
+        away, F.desc(f"{o}_confidence"), f"{o}_index")) for n, o in ("ab", "ba")}
+    same = near.withColumns({f"_{n}": c for n, c in closest.items()}).where("_a = 1 AND _b = 1")
+    first_wins = F.struct("a_confidence", "a_room", -F.col("a_index")) >= F.struct("b_confidence", "b_room", -F.col("b_index"))
+    beaten = same.select("chat_id", F.when(first_wins, F.col("_at")).otherwise(F.col("_at") - 1).alias("chunk"),
+                         F.when(first_wins, F.col("b_index")).otherwise(F.col("a_index")).alias("after_message_index"))
+    kept = rows.join(beaten.distinct(), ["chat_id", "chunk", "after_message_index"], "left_anti")
+    # With wide overlaps a third chunk may give it too.
+    return kept.groupBy("chat_id", "after_message_index").agg(best.alias("_best")).select(
+        "chat_id", "after_message_index", "_best.reason", "_best.confidence")
+
+
+def chunk_boundaries(messages: DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame], chunk_size: int = CHUNK_SIZE,
+                     overlap: int = OVERLAP, tolerance: int = TOLERANCE) -> DataFrame:
+    """Boundaries of every chat by a function of one chunk.
+
+    ``detect`` gets at most ``chunk_size`` messages in order and returns rows of
+    (after_message_index, reason, confidence), the index counted in the chunk; those
+    outside the chunk, or after its last message, are none.
+    """
+    rows = overlapping_chunks(message_index(messages), chat_sizes(messages), chunk_size, overlap)
+
+    def run(chunk: pd.DataFrame) -> pd.DataFrame:
+        chunk = chunk.sort_values("chunk_position").reset_index(drop=True)
+        told = detect(chunk)[["after_message_index", "reason", "confidence"]]
+        told = told[(told["after_message_index"] >= 0) & (told["after_message_index"] < len(chunk) - 1)]
+        return told.assign(chat_id=chunk["chat_id"][0], chunk=chunk["chunk"][0],
+                           after_message_index=told["after_message_index"].astype("int64") + int(chunk["chunk_start"][0]))
+
+    kind = messages.schema["chat_id"].dataType.simpleString()
+    found = rows.groupBy("chat_id", "chunk").applyInPandas(
+        run, f"chat_id {kind}, chunk bigint, after_message_index bigint, reason string, confidence double")
+    return reconciled_boundaries(found, chunk_size, overlap, tolerance)

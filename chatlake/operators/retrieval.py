@@ -11,6 +11,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from chatlake.operators.sequences import group_index
 from chatlake.session import settle
 
 K1 = 1.2
@@ -131,16 +132,19 @@ def hops_from(edges: DataFrame, center: DataFrame, max_hops: int, wanted: DataFr
 
 
 def graph_distance_rerank(hits: DataFrame, edges: DataFrame, center: DataFrame, max_hops: int = 3,
-                          limit: int = 1000) -> DataFrame:
-    """The ``limit`` best hits (id, node, score, rank) by distance from the centre; out of reach comes last."""
+                          limit: int | None = None) -> DataFrame:
+    """Hits (id, node, score, rank) by distance from the centre, all or the ``limit`` best; out of reach comes last."""
     near = hops_from(edges, center, max_hops, hits.select("node").distinct())
     rows = hits.join(near, "node", "left").select("id", "node", "score", F.col("rank").alias("search_rank"), "hops")
-    order = [F.col("hops").asc_nulls_last(), F.col("search_rank")]
-    # The window sees only the rows that are returned.
-    return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    # Distance, then rank in the search, as one number: positions are counted in parallel.
+    hops = F.coalesce("hops", F.lit(max_hops + 1)).cast("bigint")
+    placed = rows.withColumn("_place", hops * (1 << 40) + F.col("search_rank")).withColumn("_all", F.lit(0))
+    if limit is not None:
+        placed = placed.orderBy("_place").limit(limit)
+    return group_index(placed, ["_all"], ["_place"], "rank").withColumn("rank", F.col("rank") + 1).drop("_all", "_place")
 
 
-def auto_center_rerank(hits: DataFrame, edges: DataFrame, max_hops: int = 3, limit: int = 1000) -> DataFrame:
+def auto_center_rerank(hits: DataFrame, edges: DataFrame, max_hops: int = 3, limit: int | None = None) -> DataFrame:
     """Rerank around the source node of the best hit; no hit gives no row."""
     hits = settle(hits, "hits")
     center = hits.where("rank = 1").select("node")

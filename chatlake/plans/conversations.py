@@ -32,3 +32,13 @@ def boundaries_from_answers(answers: DataFrame) -> DataFrame:
     """Boundaries of a table of answers (chat_id, chunk_start, answer) to the chunk prompts."""
     parsed = answers.select("chat_id", "chunk_start", parse_boundaries(F.col("answer")).alias("boundaries"))
     return CV.shift_boundaries(parsed)
+
+
+def reconciled_answers(answers: DataFrame, chunk_size: int = CV.CHUNK_SIZE, overlap: int = CV.OVERLAP,
+                       tolerance: int = CV.TOLERANCE) -> DataFrame:
+    """As ``boundaries_from_answers``, with one boundary where two overlapping chunks answered with one each."""
+    parsed = answers.select("chat_id", "chunk_start", F.explode(parse_boundaries(F.col("answer"))).alias("b"))
+    found = parsed.select(
+        "chat_id", F.floor(F.col("chunk_start") / (chunk_size - overlap)).alias("chunk"),
+        (F.col("b.after_message_index") + F.col("chunk_start")).alias("after_message_index"), "b.reason", "b.confidence")
+    return CV.reconciled_boundaries(found, chunk_size, overlap, tolerance)

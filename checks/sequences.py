@@ -96,6 +96,26 @@ check("overlapping_chunks", lambda v: CV.overlapping_chunks(
 check("chunk_ranges", lambda v: CV.chunk_ranges(v.in_chats), chunk_sql("in_chats", 200, 170) + """
 SELECT chat_id, chunk, chunk_start, count(*) AS rows FROM chunked GROUP BY ALL""")
 HEAD, TAIL = (part.replace("'", "''") for part in CV.BOUNDARY_TEMPLATE.split("{messages}"))
+
+
+def _chunk_boundaries(v: Inputs) -> DataFrame:
+    def pauses(chunk):
+        """Pauses of two days or more; more sure of itself in every other chunk."""
+        import pandas as pd
+
+        pause = chunk["created_at"].diff().shift(-1)
+        at = [i for i in range(len(chunk) - 1) if pause[i] >= pd.Timedelta(hours=48)]
+        return pd.DataFrame({"after_message_index": at, "reason": "pause", "confidence": 0.9 if chunk["chunk"][0] % 2 == 0 else 0.6})
+
+    return CV.chunk_boundaries(v.direct, pauses, 40, 10, 0)
+
+
+check("chunk_boundaries", _chunk_boundaries, SEGMENTS + """
+, sizes AS (SELECT chat_id, count(*) AS n FROM direct GROUP BY 1),
+seen AS (SELECT g.chat_id, idx - 1 AS place, unnest(range(0, CASE WHEN n <= 40 THEN 1 ELSE ceil((n - 40) / 30.0)::BIGINT + 1 END)) AS chunk
+  FROM gaps g JOIN sizes USING (chat_id) WHERE pause >= 172800000000)
+SELECT chat_id, place AS after_message_index, 'pause' AS reason, max(CASE WHEN chunk % 2 = 0 THEN 0.9 ELSE 0.6 END)::DOUBLE AS confidence
+FROM seen WHERE chunk * 30 <= place AND place + 1 < chunk * 30 + 40 GROUP BY chat_id, place""")
 check("boundary_prompts", lambda v: CV.boundary_prompts(v.turns, 4, 1), chunk_sql("turns", 4, 3) + f"""
 SELECT chat_id, chunk, chunk_start, count(*) AS rows, '{HEAD}' || string_agg('[' || chunk_position || '] ' ||
   strftime(created_at, '%Y-%m-%d %H:%M:%S') || ' - ' || CASE WHEN is_from_me THEN 'Me' ELSE 'Contact (' || user_id || ')' END

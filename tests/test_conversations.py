@@ -2,11 +2,13 @@ import random
 from collections import defaultdict
 from datetime import timedelta
 
+import pandas as pd
 import pytest
 from chat_times import EPOCH
 from pyspark.sql import functions as F
 
 from chatlake.operators import conversations as CV
+from chatlake.plans import conversations as PC
 from chatlake.plans.conversations import boundaries_from_answers, detect_conversations
 
 
@@ -139,3 +141,44 @@ def test_boundary_prompt_and_offset(spark, chat):
     answers = spark.createDataFrame([(1, 2, 'ok [{"after_message_index": 1, "reason": "x"}]')],
                                     "chat_id bigint, chunk_start bigint, answer string")
     assert [r["after_message_index"] for r in boundaries_from_answers(answers).collect()] == [3]
+
+
+FOUND = "chat_id bigint, chunk bigint, after_message_index bigint, reason string, confidence double"
+
+
+def test_neighbours_that_disagree_are_reconciled(spark):
+    # Chunks of 200 with 30 in common: 170 to 199 is seen by chunks 0 and 1, 340 to 369 by 1 and 2.
+    rows = [
+        (1, 0, 175, "a", 0.6), (1, 1, 176, "b", 0.9),  # one message apart: more confidence
+        (1, 0, 190, "c", 0.7), (1, 1, 190, "d", 0.7),  # a tie: further from the edge of its chunk
+        (1, 0, 196, "e", 0.5), (1, 1, 199, "f", 0.5),  # too far apart
+        (1, 1, 350, "g", 0.4), (1, 1, 352, "h", 0.8), (1, 2, 351, "i", 0.6),  # one partner each, the better one
+        (1, 2, 400, "j", 0.1), (2, 0, 175, "k", 0.2), (2, 2, 176, "l", 0.9),  # no neighbours
+        (2, 0, 20, "m", 0.3), (2, 0, 20, "n", 0.4), (2, 0, 21, "o", 0.4),  # one chunk may place two side by side
+    ]
+    found = CV.reconciled_boundaries(spark.createDataFrame(rows, FOUND)).collect()
+    assert sorted(tuple(r) for r in found) == [
+        (1, 176, "b", 0.9), (1, 190, "d", 0.7), (1, 196, "e", 0.5), (1, 199, "f", 0.5), (1, 350, "g", 0.4), (1, 352, "h", 0.8),
+        (1, 400, "j", 0.1), (2, 20, "n", 0.4), (2, 21, "o", 0.4), (2, 175, "k", 0.2), (2, 176, "l", 0.9)]
+
+
+def test_answers_of_overlapping_chunks(spark):
+    answer = lambda i, c: f'[{{"after_message_index": {i}, "reason": "r", "confidence": {c}}}]'
+    rows = [(1, 0, answer(180, 0.8)), (1, 170, answer(11, 0.9)), (1, 340, "none")]
+    found = PC.reconciled_answers(spark.createDataFrame(rows, "chat_id bigint, chunk_start bigint, answer string")).collect()
+    assert [tuple(r)[:2] for r in found] == [(1, 181)]
+
+
+def test_a_function_of_one_chunk_sees_bounded_chunks(spark, chat):
+    # One chat with a third of the rows and more.
+    df = chat([(1, i, i * 60 if i % 50 else i * 60 + 59) for i in range(700)] + [(c, 1000 + c, 0) for c in range(2, 300)])
+
+    def detect(chunk):
+        assert len(chunk) <= 200 and chunk["chunk_position"].is_monotonic_increasing
+        at = [i for i in range(len(chunk)) if (chunk["message_id"][i] + 1) % 100 == 0]
+        return pd.DataFrame({"after_message_index": [*at, len(chunk) + 5], "reason": "every hundred", "confidence": 0.5})
+
+    found = CV.chunk_boundaries(df, detect)
+    assert sorted((r[0], r[1]) for r in found.collect()) == [(1, i) for i in range(99, 699, 100)]
+    whole = detect_conversations(df, lambda m: CV.chunk_boundaries(m, detect)).where("chat_id = 1")
+    assert whole.count() == 7
