@@ -32,8 +32,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = wordtable.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
-    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return wordtable.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_texts=False)
 
 
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

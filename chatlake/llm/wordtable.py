@@ -8,7 +8,8 @@ once.
 Ids return to their places in two ways. The ``frequent`` most frequent words (of at most
 ``WORD_BYTES`` bytes, hence a table of bounded size) go to all tasks as sorted 64-bit
 hashes with their ids, and a text becomes a compact string of their numbers. The other
-words, one row per text and distinct word, are joined by word and come back by text.
+words, one row per text and distinct word, are joined by word and come back by text; the texts
+themselves are written by their key and do not move again.
 A hot word is therefore never a join key. A frequent word whose hash any other word of
 the corpus shares is taken off the frequent ones, so a hash never decides wrongly.
 
@@ -32,13 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chatlake.llm.common import settled, texts
+from chatlake.llm.common import bucketed, settled, texts
 from chatlake.llm.wordhash import Words, slices
 
 FREQUENT = 1 << 20
 WORD_BYTES = 64
 # Distinct words a worker gathers before it passes their counts on.
 GATHERED = 300_000
+# Words whose codes lie in one file.
+BUCKET_WORDS = 4_000_000
 _SPACES = str.maketrans("\t\n\v\f\r", "     ")
 
 
@@ -214,12 +217,15 @@ def _codes(frequent: Frequent):
                     codes.append(packed(own))
                     rest.append([w.decode() for w in rare])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_key"), pa.array(codes, pa.binary()),
-                     pa.array(rest, pa.list_(pa.string()))], ["doc_id", "text_key", "codes", "rare"])
+                    [*(part.column(c) for c in ("doc_id", "text_key", "second_key")), pa.array(codes, pa.binary()),
+                     pa.array(rest, pa.list_(pa.string()))], ["doc_id", "text_key", "second_key", "codes", "rare"])
     return run
 
 
-def _assemble(frequent: Frequent, pieces: list[str]):
+_OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+
+def _assemble(frequent: Frequent, pieces: list[str], with_texts: bool):
     frequent_ids, frequent_starts, known = frequent.ids, frequent.starts, len(frequent.starts) - 1
     decimals = [str(i) for i in range(len(pieces))]
 
@@ -227,10 +233,10 @@ def _assemble(frequent: Frequent, pieces: list[str]):
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 rows = []
-                for doc_id, codes, rare in zip(*(batch.slice(first, 64).column(c).to_pylist()
-                                                 for c in ("doc_id", "codes", "rare"))):
+                for doc_id, second, codes, rare in zip(*(batch.slice(first, 64).column(c).to_pylist()
+                                                         for c in ("doc_id", "second_key", "codes", "rare"))):
                     numbers = unpacked(codes)
-                    own = {r["place"]: r["ids"] for r in rare or ()}
+                    own = {r["place"]: r["ids"] for r in rare or () if r["second_key"] == second}
                     lists = [np.array(own[i], np.int32) for i in range(len(own))]
                     starts, sizes = _bounds(frequent_starts, lists, numbers)
                     ends = np.cumsum(sizes)
@@ -244,11 +250,11 @@ def _assemble(frequent: Frequent, pieces: list[str]):
                     ids_text = " ".join([decimals[i] for i in chosen])
                     decoded = " ".join([pieces[i] for i in chosen])
                     rows.append((doc_id, len(chosen), hashlib.sha256(ids_text.encode()).hexdigest(),
-                                 hashlib.sha256(decoded.encode()).hexdigest(), ids_text, decoded))
+                                 hashlib.sha256(decoded.encode()).hexdigest(), *((ids_text, decoded) if with_texts else ())))
                 if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.string()] * 4))]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.string()] * 4))],
-                        ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
+                        columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(columns)])
     return run
 
 
@@ -267,13 +273,13 @@ def _bounds(frequent_starts: np.ndarray, lists: list[np.ndarray], numbers: np.nd
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  frequent: int = FREQUENT) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded.
+                  frequent: int = FREQUENT, with_texts: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless left out, ids and decoded.
 
     ``ids`` are the decimal ids joined by spaces, ``decoded`` the pieces of those ids
     joined by spaces.
     """
-    # Rows with equal id and text have equal words, so this key is enough for both.
+    # Two hashes, one of them with the id, tell texts apart.
     rows = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("doc_id", "text"))
     table = settled(word_table(rows, tokenizer_path), "words")
     top, others = most_frequent(table, frequent)
@@ -281,11 +287,16 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     by_id = [""] * (pieces.column("id")[-1].as_py() + 1)
     for i, piece in zip(pieces.column("id").to_pylist(), pieces.column("piece").to_pylist()):
         by_id[i] = piece
-    coded = rows.mapInArrow(_codes(top), "doc_id bigint, text_key bigint, codes binary, rare array<string>")
-    rare = coded.select("text_key", F.posexplode("rare").alias("place", "word"))
-    found = settled(rare.join(others.select("word", "ids"), "word").select("text_key", "place", "ids"), "rare_words")
-    by_text = found.groupBy(F.col("text_key").alias("found_key")).agg(F.collect_list(F.struct("place", "ids")).alias("rare"))
-    joined = coded.drop("rare").join(by_text, F.col("text_key") == F.col("found_key"), "left").select("doc_id", "codes", "rare")
-    return joined.mapInArrow(
-        _assemble(top, by_id),
-        "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string, ids string, decoded string")
+    checked = rows.withColumn("second_key", F.xxhash64(F.lit("second"), "text"))
+    kinds = "doc_id bigint, text_key bigint, second_key bigint, codes binary, rare array<string>"
+    words = table.agg(F.sum("n")).first()[0] or 0
+    # Texts are coded once and written by their key, so that they wait there for the ids of their rare words.
+    coded = bucketed(checked.mapInArrow(_codes(top), kinds), "codes", "text_key", max(8, min(100_000, words // BUCKET_WORDS)))
+    rare = coded.select("text_key", "second_key", F.posexplode("rare").alias("place", "word"))
+    found = rare.join(others.select("word", "ids"), "word")
+    # A repeated row brings its rare words again; each place of a text is taken once.
+    by_text = found.groupBy(F.col("text_key").alias("found_key")).agg(
+        F.collect_set(F.struct("second_key", "place", "ids")).alias("rare"))
+    joined = coded.select("doc_id", "text_key", "second_key", "codes").join(by_text, F.col("text_key") == F.col("found_key"), "left")
+    out = _OUT + (", ids string, decoded string" if with_texts else "")
+    return joined.select("doc_id", "second_key", "codes", "rare").mapInArrow(_assemble(top, by_id, with_texts), out)
