@@ -10,11 +10,11 @@ and threats. A logistic curve turns features into a score.
 
 Training rows are those of the ``LABELLED_ROWS`` labelled ids that hash lowest. The
 lexicon is learned in two passes over them. The first counts in how
-many labelled texts each word and each word beginning occurs; only those much more
-frequent in toxic texts go on (at most ``CANDIDATES``). The second counts the distinct
-neighbourhoods in which a candidate occurs: copies of one text share theirs, so words
-that only sit in a much-copied toxic text gain nothing from the copies. The curve is
-fitted on the same rows.
+many labelled texts each word and each word beginning occurs; all that are more
+frequent in toxic texts go on. The second takes one neighbourhood of a candidate from each
+text, the one that hashes lowest, and counts the distinct ones: copies of one text, edited
+or not, agree on it, and a long text has one like any other, so words that only sit in a
+much-copied or long toxic text gain nothing. The curve is fitted on the same rows.
 
 Results by case: NULL and empty texts have no features and get the score of an
 ordinary text; without labels the fixed lists alone decide; several labels of one
@@ -24,6 +24,7 @@ document count as toxic if one of them says so; repeated rows each get their row
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,15 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chatlake.llm.common import texts
+from chatlake.llm.common import settled, texts
 from chatlake.llm.wordhash import slices
 
-CANDIDATES = 50_000
 LABELLED_ROWS = 50_000
-# Labelled texts a candidate must be in, and distinct neighbourhoods it must be seen in.
+# Labelled texts a candidate must be in, and those of different origin among them.
 LEAST_TEXTS = 3
 LEAST_PLACES = 4
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
+# Forms that chance alone may add to the lexicon (a bound), and how much more frequent a form is in toxic texts.
+ACCIDENT = 3.0
+LEAST_RATIO = 8
 GATHERED = 200_000
 
 # Common words of the languages at hand.
@@ -178,6 +181,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights + self.bias, -30, 30)))
 
 
+# Stands for every text in the counts of forms; no form is empty.
+_ALL = ""
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts per form and label, summed per part of a task."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -193,6 +200,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                 words = set(_WORD.findall((text or "").lower()))
                 counts[toxic].update({f for w in words for f in forms(w)})
+                counts[toxic][_ALL] += 1
             if len(counts[0]) + len(counts[1]) > GATHERED:
                 yield table()
                 for c in counts:
@@ -202,7 +210,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _places(candidates: frozenset[str]):
-    """One row per candidate form, neighbourhood and label that a slice holds."""
+    """One row per candidate form and text of a slice, with the lowest-hashing neighbourhood; equal rows once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -210,9 +218,15 @@ def _places(candidates: frozenset[str]):
                 for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                     words = ["", *_WORD.findall((text or "").lower()), ""]
                     held = {w: [f for f in forms(w) if f in candidates] for w in set(words[1:-1])}
+                    lowest: dict[str, tuple[int, str]] = {}
                     for i, word in enumerate(words[1:-1], 1):
-                        for form in held[word]:
-                            found.add((form, f"{words[i - 1]} {words[i + 1]}", toxic))
+                        if held[word]:
+                            place = f"{words[i - 1]} {words[i + 1]}"
+                            mark = (zlib.crc32(place.encode()), place)
+                            for form in held[word]:
+                                if form not in lowest or mark < lowest[form]:
+                                    lowest[form] = mark
+                    found.update((form, place, toxic) for form, (_, place) in lowest.items())
                 if found:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.string(), pa.int32()))],
@@ -224,16 +238,26 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     """Log odds of the forms that mark toxic texts, from rows (text, toxic)."""
     counted = labelled.mapInArrow(_occurrences, "form string, clean bigint, toxic bigint").groupBy("form").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    # Several times as frequent among toxic texts as the odds of any text would have it.
-    often = counted.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") > F.col("clean")))
-    likely = often.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1.0)), "form").limit(CANDIDATES)
+    counted = settled(counted, "forms")
+    tested = counted.where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).count()
+    whole = counted.where(F.col("form") == _ALL).first()
+    if whole is None or not whole["toxic"] or not whole["clean"]:
+        return {}
+    usual = whole["toxic"] / (whole["toxic"] + whole["clean"])
+    # As many forms as a bounded number of labelled texts holds.
+    likely = counted.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") > F.col("clean")) & (F.col("form") != _ALL))
     candidates = frozenset(likely.select("form").toArrow().column(0).to_pylist())
     if not candidates:
         return {}
     places = labelled.mapInArrow(_places(candidates), "form string, place string, toxic int").distinct()
     odds = places.groupBy("form").agg(
         F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean"))
-    chosen = odds.where((F.col("toxic") >= LEAST_PLACES) & (F.col("toxic") >= 20 * F.col("clean")))
+    # Chernoff's bound on how likely so many toxic texts are by chance, for as many forms as were looked at.
+    n, share = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    clean_part = F.when(F.col("clean") > 0, (1 - share) * F.log((1 - share) / (1 - usual))).otherwise(0.0)
+    surprise = n * (share * F.log(share / usual) + clean_part)
+    chosen = odds.where((F.col("toxic") >= LEAST_PLACES) & (F.col("toxic") >= LEAST_RATIO * F.col("clean"))
+                        & (surprise >= float(np.log(max(1, tested) / ACCIDENT))))
     # At most as many rows as there were candidates.
     return {r["form"]: round(float(np.log((r["toxic"] + 0.5) / (r["clean"] + 0.5))), 6) for r in chosen.collect()}
 
