@@ -1,13 +1,15 @@
 """Personal data by bootstrapping: sure matches teach contexts, contexts find the rest.
 
 Base spans are those of fixed patterns and checks; they are the seeds. The one or two
-words before a span form its lexical patterns. Patterns with enough distinct seeds are
-looked for in all texts, where they also precede other things: words, which count
-against them, and strings that look like identifiers, which become candidates. On the
-graph of patterns and instances, rounds of scoring alternate: a pattern is worth the
+words before a span form its lexical patterns. Patterns with enough distinct known
+instances are looked for in all texts, where they also precede other things: words, which
+count against them, and strings that look like identifiers, which become candidates. On
+the graph of patterns and instances, rounds of scoring alternate: a pattern is worth the
 share of its instances that are known (with a deduction for small numbers), a candidate
 the chance that not all of its confident patterns are wrong. Candidates above the bar
-whose form fits the kind become known and score patterns in the next round.
+whose form fits the kind become known: in the next round they count for the patterns that
+have them, and patterns that now have enough known instances join in. Rounds end when
+nothing new is found.
 
 Copies of a text do not add up: instances and seeds count once per distinct string.
 Candidates and their patterns meet by a join, whatever the number of patterns. The words
@@ -22,8 +24,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -32,10 +36,9 @@ from chatlake.llm.common import settled, texts, wrapped
 from chatlake.llm.wordhash import slices
 
 KINDS = ("email", "ip", "card", "phone")
-# The base patterns.
+# The base patterns. Those of mails and addresses are matched run by run
+# (``_emails``, ``_addresses``), as searching them from every place of a long run takes its square.
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -51,6 +54,7 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 _CANDIDATE = re.compile(r"\(?[0-9][0-9() .-]{5,}[0-9]|[A-Za-z0-9@][A-Za-z0-9@._:/+-]{4,}[A-Za-z0-9]")
 _SIGN = re.compile(r"[0-9@]")
 _EDGE = ".,;:!?()[]\"'"
+_WORDLIKE = re.compile(r"\w")
 
 
 def luhn(digits: str) -> bool:
@@ -70,18 +74,63 @@ def _holds(kind: str, found: str) -> bool:
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]++")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches: what is left of a run of local characters, an @ behind it, and a domain."""
+    found, done = [], 0
+    if "@" not in text:
+        return found
+    for run in _LOCAL.finditer(text):
+        end = run.end()
+        if end > done and text.startswith("@", end) and (domain := _DOMAIN.match(text, end + 1)):
+            found.append((max(run.start(), done), domain.end()))
+            done = domain.end()
+    return found
+
+
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches: four numbers after four of a run of numbers with single dots."""
+    found = []
+    for run in _DOTTED.finditer(text):
+        at, numbers = run.start(), run.group().split(".")
+        for i in range(0, len(numbers) - 3, 4):
+            size = sum(map(len, numbers[i: i + 4])) + 3
+            found.append((at, at + size))
+            at += size + 1
+    return found
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start."""
     if not text:
         return []
-    return [(kind, m.start(), m.end()) for kind, pattern in BASE.items()
-            if kind != "email" or "@" in text for m in pattern.finditer(text) if _holds(kind, m.group())]
+    spans = {"email": _emails(text), "ip": _addresses(text)}
+    spans |= {kind: [m.span() for m in pattern.finditer(text)] for kind, pattern in BASE.items()}
+    return [(kind, a, b) for kind in KINDS for a, b in spans[kind] if _holds(kind, text[a:b])]
+
+
+def _words(parts: list[str]) -> list[str]:
+    """Tokens without the punctuation around them; punctuation alone is none."""
+    return [w for w in (p.strip(_EDGE) for p in parts) if _WORDLIKE.search(w)]
 
 
 def patterns_before(text: str, start: int) -> list[str]:
-    """The word before ``start``, and the two words before it."""
-    words = [w.strip(_EDGE) for w in text[max(0, start - 80): start].lower().split()[-2:]]
-    return [words[-1], " ".join(words)][: len(words)] if words and words[-1] else []
+    """The word before ``start``, and the two words before it; punctuation alone is no word."""
+    reach = 64
+    while True:
+        begin = max(0, start - reach)
+        parts = text[begin:start].split()
+        if begin and parts and not text[begin - 1].isspace() and not text[begin].isspace():
+            parts = parts[1:]  # its beginning is further left
+        words = _words(parts)
+        if len(words) >= 2 or not begin:
+            last = [w.lower() for w in words[-2:]]
+            return [last[-1], " ".join(last)][: len(last)] if last else []
+        reach *= 4
 
 
 def render(spans: list[tuple[str, int, int]]) -> str:
@@ -100,8 +149,11 @@ _CANDIDATE_TYPE = pa.list_(pa.struct([
 def _candidates(text: str | None, taken: list[tuple[str, int, int]]) -> list[dict]:
     """Strings that look like identifiers outside the spans ``taken``, with the patterns before them."""
     found = []
+    starts = sorted(a for _, a, _ in taken)
+    reach = list(accumulate((b for _, _, b in sorted(taken, key=lambda s: s[1])), max))
     for m in _CANDIDATE.finditer(text or ""):
-        if _SIGN.search(m.group()) and not any(a < m.end() and m.start() < b for _, a, b in taken):
+        before = bisect_left(starts, m.end())  # spans that begin before it ends
+        if _SIGN.search(m.group()) and not (before and reach[before - 1] > m.start()):
             patterns = patterns_before(text, m.start())
             if patterns:
                 found.append({"start": m.start(), "end": m.end(), "value": m.group(), "patterns": patterns})
@@ -132,7 +184,7 @@ def _count(patterns: frozenset[str]):
                 for text in part.column("text").to_pylist():
                     if not text:
                         continue
-                    tokens = [t.strip(_EDGE) for t in text.lower().split()]
+                    tokens = _words(text.lower().split())
                     words.update(a for a, b in zip(tokens, tokens[1:]) if a in patterns and not _SIGN.search(b))
                     words.update(f"{a} {b}" for a, b, c in zip(tokens, tokens[1:], tokens[2:])
                                  if f"{a} {b}" in patterns and not _SIGN.search(c))
@@ -163,18 +215,23 @@ def _fits() -> Column:
         .when(F.col("kind") == "card", digits >= 12).otherwise((digits >= 7) & ~F.col("value").rlike("[A-Za-z@]")))
 
 
-def _bootstrap(seeds: DataFrame, places: DataFrame, words: DataFrame, rounds: int) -> DataFrame:
-    """(value, kind) of the candidates that the graph of patterns and instances makes known."""
-    candidates = places.select("pattern", "value").distinct()
-    others = candidates.groupBy("pattern").agg(F.count(F.lit(1)).alias("candidates"))
-    of = seeds.groupBy("pattern").agg(F.count_distinct("value").alias("seed_values"))
-    totals = settled(of.join(words, "pattern", "left").join(others, "pattern", "left").select(
-        "pattern", (F.col("seed_values") + F.coalesce("words", F.lit(0))
-                    + F.coalesce("candidates", F.lit(0))).alias("total")), "totals")
-    graph = settled(candidates, "graph")
-    known = seeds.select("pattern", "kind", "value")
-    found = None
+def _bootstrap(rows: DataFrame, seeds: DataFrame, places: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(value, kind) of the candidates that the graph of patterns and instances makes known, and the patterns looked for."""
+    graph = settled(places.select("pattern", "value").distinct(), "graph")
+    others = settled(graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("candidates")), "others")
+    own = settled(seeds.groupBy("pattern").agg(F.count_distinct("value").alias("seed_values")), "seed_values")
+    # Only patterns that precede a candidate can make one known.
+    seeds = settled(seeds.join(others.select("pattern"), "pattern", "left_semi"), "leading_seeds")
+    known, totals, found, size = seeds.select("pattern", "kind", "value"), None, None, -1
     for _ in range(rounds):
+        enough = known.groupBy("pattern").agg(F.count_distinct("value").alias("values")).where(F.col("values") >= LEAST_SEEDS)
+        new = enough.select("pattern") if totals is None else enough.select("pattern").join(totals, "pattern", "left_anti")
+        new = settled(new, "new_patterns")
+        if totals is None or not new.isEmpty():
+            more = new.join(words_after(rows, new), "pattern", "left").join(others, "pattern", "left").join(own, "pattern", "left")
+            parts = [F.coalesce(c, F.lit(0)) for c in ("seed_values", "words", "candidates")]
+            more = settled(more.select("pattern", (parts[0] + parts[1] + parts[2]).alias("total")), "totals")
+            totals = more if totals is None else totals.unionByName(more)
         right = known.groupBy("pattern", "kind").agg(F.count_distinct("value").alias("right"))
         worth = right.join(totals, "pattern").withColumn("worth", (F.col("right") - 1) / (F.col("total") + 1)).where(
             (F.col("right") >= LEAST_SEEDS) & (F.col("worth") >= PATTERN_BAR)).select("pattern", "kind", "worth")
@@ -182,9 +239,12 @@ def _bootstrap(seeds: DataFrame, places: DataFrame, words: DataFrame, rounds: in
             (1 - F.exp(F.sum(F.log1p(-F.least("worth", F.lit(0.999)))))).alias("score"))
         best = scored.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
         found = settled(best.where(F.col("score") >= INSTANCE_BAR).select("value", "kind"), "instances")
+        before, size = size, found.count()
+        if size == max(before, 0):
+            break
         known = seeds.select("pattern", "kind", "value").unionByName(
             graph.join(found, "value").select("pattern", "kind", "value"))
-    return found
+    return found, totals.select("pattern")
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -195,14 +255,11 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = texts(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     base = settled(rows.mapInArrow(_find_base, _BASE), "base")
     seeds = settled(base.select(F.explode("seeds").alias("s")).select("s.pattern", "s.kind", "s.value").distinct(), "seeds")
-    often = seeds.groupBy("pattern").agg(F.count_distinct("value").alias("values")).where(F.col("values") >= LEAST_SEEDS)
-    placed = base.select("doc_id", "mark", F.explode("candidates").alias("c")).select(
+    places = base.select("doc_id", "mark", F.explode("candidates").alias("c")).select(
         "doc_id", "mark", "c.start", "c.end", "c.value", F.explode("c.patterns").alias("pattern"))
-    places = settled(placed.join(often.select("pattern"), "pattern", "left_semi"), "places")
-    # Only patterns that precede a candidate can make one known.
-    leading = settled(places.select("pattern").distinct(), "leading")
-    found = _bootstrap(seeds.join(leading, "pattern", "left_semi"), places, words_after(rows, leading), rounds)
-    added = places.join(found, "value").select("doc_id", "mark", "kind", "start", "end").distinct()
+    found, patterns = _bootstrap(rows, seeds, places, rounds)
+    added = places.join(found, "value").join(patterns, "pattern", "left_semi").select(
+        "doc_id", "mark", "kind", "start", "end").distinct()
     lists = added.groupBy(F.col("doc_id").alias("added_id"), F.col("mark").alias("added_mark")).agg(
         F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     same = F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("mark") == F.col("added_mark"))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from chatlake.llm import personal
 
@@ -15,6 +17,62 @@ def test_base_spans():
     assert [m.span() for m in re.finditer(EMAIL, text)] == [(0, 6)]
 
 
+# The contract's patterns as they stand, searched by the library.
+PLAIN = {"email": EMAIL, "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+         "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plainly(text):
+    """Every match of the plain patterns that passes its check, by kind, then start."""
+    def fine(kind, found):
+        digits = [int(c) for c in found if c in "0123456789"]
+        if kind == "ip":
+            return all(int(part) <= 255 for part in found.split("."))
+        if kind == "card":
+            doubled = [sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))]
+            return 16 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text) if fine(k, m.group())]
+
+
+def test_base_spans_as_the_plain_patterns_find_them():
+    rng = random.Random(11)
+    bits = ["a", "b.c", "@", "@x.y", ".", "..", "-", "1", "255", "256", "4111111111111111", "0", " ", "+1 ", "+", "(3)", "é", "%", "1.2.3.4",
+            "555-0199", "\n", "@@", "a@b", "co.", "001"]
+    for _ in range(4000):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 14)))
+        assert personal.base_spans(text) == plainly(text), text
+
+
+def test_long_runs_take_no_square():
+    begin = time.monotonic()
+    for text in ("1" * 500_000, "a" * 500_000 + "@", "1." * 250_000, "a." * 250_000 + "@", "@" * 200_000, "a@" * 200_000,
+                 "+1" + " " * 500_000, "word " + "x" * 500_000 + " 10.0.0.1"):
+        personal.base_spans(text)
+        for at in (len(text) - 8, 9):
+            personal.patterns_before(text, at)
+    assert time.monotonic() - begin < 20
+
+
+def test_words_before_a_span():
+    before = lambda text: personal.patterns_before(text, len(text))
+    assert before("phone : ") == ["phone"] and before("call the phone : - ") == ["phone", "the phone"]
+    long = "y" * 5000
+    assert before(f"ring {long} ") == [long, f"ring {long}"] and before("") == before(" . ") == []
+
+
+def test_found_identifiers_bring_new_patterns(documents):
+    # Phones stand after "please ring"; the unseen ones found there also stand after "hotline is", where no seed stands.
+    local = [f"389-555-77{i:02}" for i in range(6)]
+    rows = seeds(20) + [(50 + i, f"please ring {n} today", None, None) for i, n in enumerate(local)]
+    rows += [(80 + i, f"hotline is {n} ok", None, None) for i, n in enumerate(local)]
+    rows += [(99, "hotline is 389-555-9999 ok", None, None)]
+    found = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in personal.find_personal(documents(rows)).collect()}
+    assert found[50] == [("phone", 12)] and found[80] == [("phone", 11)] and found[99] == [("phone", 11)]
+    once = {r.doc_id: r.spans for r in personal.find_personal(documents(rows), rounds=1).collect()}
+    assert once[99] == []
+
+
 def test_luhn():
     assert personal.luhn("4111111111111111") and not personal.luhn("4111111111111112")
 
