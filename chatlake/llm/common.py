@@ -41,8 +41,12 @@ def settled(df: DataFrame, label: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
-    """As ``settled``, with rows dealt to files by ``column``, so that grouping by it later moves none of them."""
+    """As ``settled``, with rows dealt to files by ``column``, so that grouping by it later moves none of them.
+
+    With fewer buckets than the session has shuffle partitions Spark would deal them anew.
+    """
     spark, name = df.sparkSession, f"chatlake_{uuid.uuid4().hex}"
+    buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.write.bucketBy(buckets, column).option("path", scratch_path(spark, label)).format("parquet").saveAsTable(name)
     found = spark.table(name)
     # The files stay; only the name goes.
