@@ -90,7 +90,10 @@ def _scores(index: TextIndex, wanted: DataFrame, postings: DataFrame) -> DataFra
     """(query_id, row, id, score) of the documents in the wanted (query_id, term, block, idf)."""
     found = postings.select("term", "block", F.explode("docs").alias("doc")).join(wanted, ["term", "block"])
     part = F.col("idf") * _part(F.col("doc.tf"), F.col("doc.length"), index.mean)
-    return found.groupBy("query_id", F.col("doc.row").alias("row"), F.col("doc.id").alias("id")).agg(F.sum(part).alias("score"))
+    parts = found.select("query_id", F.col("doc.row").alias("row"), F.col("doc.id").alias("id"), "term", part.alias("part"))
+    # Added in the order of the terms, so that equal documents have equal scores to the last digit.
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("term", "part"))), F.lit(0.0), lambda score, p: score + p["part"])
+    return parts.groupBy("query_id", "row", "id").agg(total.alias("score"))
 
 
 def bm25_search(index: TextIndex, queries: DataFrame, limit: int = 10, first_blocks: int = FIRST_BLOCKS) -> DataFrame:

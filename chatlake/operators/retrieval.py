@@ -1,4 +1,4 @@
-"""Ranking facts and vectors for one query.
+"""Ranking facts and vectors for one query, fusing and reranking for one or many.
 
 Keyword score: BM25 (Robertson & Zaragoza 2009). Fusion: reciprocal rank fusion
 (Cormack, Clarke & Buettcher 2009).
@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chatlake.operators.sequences import group_index
+from chatlake.operators.sequences import group_index, top_n_per_group
 from chatlake.session import settle
 
 K1 = 1.2
@@ -151,6 +151,60 @@ def auto_center_rerank(hits: DataFrame, edges: DataFrame, max_hops: int = 3, lim
     return graph_distance_rerank(hits, edges, center, max_hops, limit)
 
 
+# The same for a table of queries: every step is keyed by query.
+
+def hybrid_rrf_by_query(by_keyword: DataFrame, by_meaning: DataFrame, limit: int = 5) -> DataFrame:
+    """Fuse two ranked lists (query_id, id, rank) of many queries."""
+    keys = ["query_id", "id"]
+    both = by_keyword.select(*keys, "rank").unionByName(by_meaning.select(*keys, "rank"))
+    fused = both.groupBy(*keys).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"))
+    return top_n_per_group(fused, ["query_id"], [F.desc("score"), F.col("id")], limit, "rank")
+
+
+def hops_by_query(edges: DataFrame, centers: DataFrame, max_hops: int, wanted: DataFrame | None = None) -> DataFrame:
+    """(query_id, node, hops) within ``max_hops`` of each query's centres (query_id, node), edges taken both ways.
+
+    All queries walk together, one join per hop; a query whose ``wanted`` nodes are all
+    reached, or that finds nothing new, walks no further.
+    """
+    both_ways = edges.select("source", "target").unionByName(
+        edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
+    both_ways = settle(both_ways.distinct(), "edges")
+    keys = ["query_id", "node"]
+    frontier = settle(centers.select(*keys).distinct(), "hop")
+    reached = frontier.withColumn("hops", F.lit(0))
+    for hop in range(1, max_hops + 1):
+        if wanted is not None:
+            missing = wanted.select(*keys).join(reached, keys, "left_anti").select("query_id").distinct()
+            frontier = settle(frontier.join(missing, "query_id", "left_semi"), "hop")
+        if frontier.isEmpty():
+            break
+        step = frontier.join(both_ways, F.col("node") == F.col("source")).select("query_id", F.col("target").alias("node")).distinct()
+        frontier = settle(step.join(reached, keys, "left_anti"), "hop")
+        reached = reached.unionByName(frontier.withColumn("hops", F.lit(hop)))
+    return reached
+
+
+def rerank_by_query(hits: DataFrame, edges: DataFrame, centers: DataFrame | None = None, max_hops: int = 3,
+                    limit: int | None = None) -> DataFrame:
+    """Hits (query_id, id, node, score, rank) of every query by distance from its centres.
+
+    Without ``centers`` each query walks from the node of its best hit. Hits out of
+    reach come last; ``limit`` keeps the best of every query.
+    """
+    hits = settle(hits.select("query_id", "id", "node", "score", "rank"), "hits")
+    if centers is None:
+        centers = hits.where("rank = 1")
+    near = hops_by_query(edges, centers, max_hops, hits.select("query_id", "node").distinct())
+    rows = hits.join(near, ["query_id", "node"], "left").select(
+        "query_id", "id", "node", "score", F.col("rank").alias("search_rank"), "hops")
+    hops = F.coalesce("hops", F.lit(max_hops + 1)).cast("bigint")
+    placed = rows.withColumn("_place", hops * (1 << 40) + F.col("search_rank"))
+    if limit is not None:
+        placed = top_n_per_group(placed, ["query_id"], [F.col("_place")], limit)
+    return group_index(placed, ["query_id"], ["_place"], "rank").withColumn("rank", F.col("rank") + 1).drop("_place")
+
+
 HIT_FIELDS = {
     "uuid": "string", "fact": "string", "source_node_uuid": "string", "target_node_uuid": "string",
     "created_at": "timestamp", "name": "string", "group_id": "string", "valid_at": "timestamp",

@@ -72,6 +72,28 @@ def test_rerank(spark, star):
     assert RT.auto_center_rerank(hits.limit(0), star).count() == 0
 
 
+def test_many_queries_as_each_alone(spark, star):
+    hits = [(1, 1, "leaf9", 9.0, 1), (1, 2, "far3", 8.0, 2), (1, 3, "hub", 7.0, 3), (1, 4, "nowhere", 6.0, 4),
+            (2, 1, "far3", 5.0, 1), (2, 2, "hub", 4.0, 2), (3, 7, "nowhere", 1.0, 1), (4, 1, "hub", 1.0, 1), (4, 2, "leaf3", 0.5, 2)]
+    schema = "query_id bigint, id bigint, node string, score double, rank int"
+    table = spark.createDataFrame(hits, schema)
+    # A third of the queries and more start at the hub.
+    center = spark.createDataFrame([(1, "hub"), (2, "hub"), (3, "hub"), (4, "far2")], "query_id bigint, node string")
+    for limit in (None, 2):
+        given = RT.rerank_by_query(table, star, center, 2, limit).collect()
+        auto = RT.rerank_by_query(table, star, None, 2, limit).collect()
+        for q in (1, 2, 3, 4):
+            own = table.where(F.col("query_id") == q).drop("query_id")
+            plain = lambda rows: sorted(tuple(r) for r in rows)
+            one = RT.graph_distance_rerank(own, star, center.where(F.col("query_id") == q).select("node"), 2, limit).collect()
+            assert plain(r[1:] for r in given if r["query_id"] == q) == plain(one)
+            assert plain(r[1:] for r in auto if r["query_id"] == q) == plain(RT.auto_center_rerank(own, star, 2, limit).collect())
+    a = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 5, 1)], "query_id bigint, id bigint, rank int")
+    b = spark.createDataFrame([(1, 2, 1), (1, 3, 2)], "query_id bigint, id bigint, rank int")
+    fused = RT.hybrid_rrf_by_query(a, b, 2).collect()
+    assert sorted((r["query_id"], r["rank"], r["id"]) for r in fused) == [(1, 1, 2), (1, 2, 1), (2, 1, 5)]
+
+
 def test_formats(spark):
     hits = spark.createDataFrame([("u", "f")], "uuid string, fact string")
     row = RT.format_hits(hits).first()
