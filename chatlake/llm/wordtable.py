@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -31,6 +32,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chatlake.llm.common import bucketed, settled, texts
@@ -42,6 +44,7 @@ WORD_BYTES = 64
 GATHERED = 300_000
 # Words whose codes lie in one file.
 BUCKET_WORDS = 4_000_000
+_HEAD = struct.Struct("<qI")
 _SPACES = str.maketrans("\t\n\v\f\r", "     ")
 
 
@@ -194,6 +197,27 @@ def unpacked(data: bytes) -> np.ndarray:
     return out
 
 
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rare words of texts as short byte strings: second key of the text, place, ids."""
+    for batch in batches:
+        if batch.num_rows:
+            seconds, places = (np.asarray(batch.column(c)).tolist() for c in ("second_key", "place"))
+            lists = batch.column("ids")
+            ids, at = np.asarray(lists.values).astype("<u4"), np.asarray(lists.offsets).tolist()
+            entries = [_HEAD.pack(s, p) + ids[a:b].tobytes() for s, p, a, b in zip(seconds, places, at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(entries, pa.binary())], ["text_key", "entry"])
+
+
+def _own_ids(entries: list[bytes] | None, second: int) -> dict[int, np.ndarray]:
+    """Ids by place, of the entries that belong to the text with this second key."""
+    found = {}
+    for entry in entries or ():
+        key, place = _HEAD.unpack_from(entry)
+        if key == second:
+            found[place] = np.frombuffer(entry, "<u4", offset=_HEAD.size).astype(np.int32)
+    return found
+
+
 def _codes(frequent: Frequent):
     """Texts as numbers of frequent words; other words get the numbers after those, text by text."""
     # Only what a stage needs is sent to its tasks.
@@ -214,7 +238,7 @@ def _codes(frequent: Frequent):
                     for i in np.flatnonzero(own < 0):
                         word = words.data[words.starts[a + i]: words.ends[a + i]].tobytes()
                         own[i] = known + rare.setdefault(word, len(rare))
-                    codes.append(packed(own))
+                    codes.append(zstandard.ZstdCompressor(level=1).compress(packed(own)))
                     rest.append([w.decode() for w in rare])
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("doc_id", "text_key", "second_key")), pa.array(codes, pa.binary()),
@@ -235,9 +259,9 @@ def _assemble(frequent: Frequent, pieces: list[str], with_texts: bool):
                 rows = []
                 for doc_id, second, codes, rare in zip(*(batch.slice(first, 64).column(c).to_pylist()
                                                          for c in ("doc_id", "second_key", "codes", "rare"))):
-                    numbers = unpacked(codes)
-                    own = {r["place"]: r["ids"] for r in rare or () if r["second_key"] == second}
-                    lists = [np.array(own[i], np.int32) for i in range(len(own))]
+                    numbers = unpacked(zstandard.ZstdDecompressor().decompress(codes))
+                    own = _own_ids(rare, second)
+                    lists = [own[i] for i in range(len(own))]
                     starts, sizes = _bounds(frequent_starts, lists, numbers)
                     ends = np.cumsum(sizes)
                     at = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
@@ -293,10 +317,10 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     # Texts are coded once and written by their key, so that they wait there for the ids of their rare words.
     coded = bucketed(checked.mapInArrow(_codes(top), kinds), "codes", "text_key", max(8, min(100_000, words // BUCKET_WORDS)))
     rare = coded.select("text_key", "second_key", F.posexplode("rare").alias("place", "word"))
-    found = rare.join(others.select("word", "ids"), "word")
+    found = rare.join(others.select("word", "ids"), "word").select("text_key", "second_key", "place", "ids")
+    found = settled(found.mapInArrow(_entries, "text_key bigint, entry binary"), "rare_words")
     # A repeated row brings its rare words again; each place of a text is taken once.
-    by_text = found.groupBy(F.col("text_key").alias("found_key")).agg(
-        F.collect_set(F.struct("second_key", "place", "ids")).alias("rare"))
+    by_text = found.groupBy(F.col("text_key").alias("found_key")).agg(F.collect_set("entry").alias("rare"))
     joined = coded.select("doc_id", "text_key", "second_key", "codes").join(by_text, F.col("text_key") == F.col("found_key"), "left")
     out = _OUT + (", ids string, decoded string" if with_texts else "")
     return joined.select("doc_id", "second_key", "codes", "rare").mapInArrow(_assemble(top, by_id, with_texts), out)
