@@ -43,7 +43,7 @@ LEAST_PLACES = 4
 STEMS = (4, 5, 6, 7)
 # Forms that chance alone may add to the lexicon (a bound), and how much more frequent a form is in toxic texts.
 ACCIDENT = 3.0
-LEAST_RATIO = 8
+LEAST_RATIO = 20
 GATHERED = 200_000
 
 # Common words of the languages at hand.
