@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from chatlake.session import scratch_path, settle
 
@@ -25,29 +27,36 @@ def wrapped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        docs[text_col].cast("string").alias("text"), F.xxhash64(docs[text_col]).alias("mark"))
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write are freed when it ends, as nothing reads them again."""
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
-    The shuffle files of that write are freed when it ends, as nothing reads them
-    again; a lost executor then costs the tasks that read the written table.
+    The shuffle files of that write are freed; a lost executor then costs the tasks
+    that read the written table.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(_FREE_SHUFFLES, "false")
-    conf.set(_FREE_SHUFFLES, "true")
-    try:
+    with _shuffles_freed(df.sparkSession):
         return settle(df, label)
-    finally:
-        conf.set(_FREE_SHUFFLES, before)
 
 
-def bucketed(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+def bucketed(df: DataFrame, label: str, column: str, buckets: int = 1) -> DataFrame:
     """As ``settled``, with rows dealt to files by ``column``, so that grouping by it later moves none of them.
 
     With fewer buckets than the session has shuffle partitions Spark would deal them anew.
     """
     spark, name = df.sparkSession, f"chatlake_{uuid.uuid4().hex}"
     buckets = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    df.write.bucketBy(buckets, column).option("path", scratch_path(spark, label)).format("parquet").saveAsTable(name)
+    with _shuffles_freed(spark):
+        df.write.bucketBy(buckets, column).option("path", scratch_path(spark, label)).format("parquet").saveAsTable(name)
     found = spark.table(name)
     # The files stay; only the name goes.
     spark.sql(f"DROP TABLE {name}")

@@ -305,7 +305,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     # Two hashes, one of them with the id, tell texts apart.
     rows = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("doc_id", "text"))
-    table = settled(word_table(rows, tokenizer_path), "words")
+    # Written by word, so that only the rare words of texts move to it later.
+    table = bucketed(word_table(rows, tokenizer_path), "words", "word")
     top, others = most_frequent(table, frequent)
     pieces = piece_table(docs.sparkSession, tokenizer_path).orderBy("id").toArrow()
     by_id = [""] * (pieces.column("id")[-1].as_py() + 1)
