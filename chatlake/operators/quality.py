@@ -32,7 +32,11 @@ def user_stats(users: DataFrame) -> DataFrame:
     phone, email = present(F.col("phone_number")), present(F.col("email"))
     stats = users.agg(F.count(F.lit(1)).alias("total_users"), F.count_if(phone).alias("users_with_phone"),
                       F.count_if(email).alias("users_with_email"))
-    return stats.withColumn("users_with_both", F.expr("users_with_phone + users_with_email - total_users"))
+    return with_users_of_both(stats)
+
+
+def with_users_of_both(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("users_with_both", F.expr("users_with_phone + users_with_email - total_users"))
 
 
 def user_link_stats(users: DataFrame) -> DataFrame:
@@ -64,14 +68,21 @@ def source_stats(message: DataFrame, approximate: bool = False) -> DataFrame:
 
 def text_extraction_stats(message: DataFrame) -> DataFrame:
     """Text coverage, and the decode rate over every body that needs decoding."""
+    return with_text_rates(text_flags(message).agg(
+        F.count(F.lit(1)).alias("total_messages"), F.count_if("t").alias("has_text_column"),
+        F.count_if(~F.col("t")).alias("null_text_column"), F.count_if("b").alias("has_attributed_body"),
+        F.count_if("n").alias("needs_decoding"), F.count_if("d").alias("recoverable_messages")))
+
+
+def text_flags(message: DataFrame) -> DataFrame:
+    """Per row whether it has a text (t), a body (b), needs decoding (n) and was decoded (d)."""
     text, body = present(F.col("text")), F.col("attributed_body").isNotNull()
     needs = ~text & body
     rows = with_decoded(message.select("text", "attributed_body"), F.when(needs, F.col("attributed_body")))
-    flags = rows.select(text.alias("t"), body.alias("b"), needs.alias("n"), F.col("decoded").isNotNull().alias("d"))
-    counts = flags.agg(
-        F.count(F.lit(1)).alias("total_messages"), F.count_if("t").alias("has_text_column"),
-        F.count_if(~F.col("t")).alias("null_text_column"), F.count_if("b").alias("has_attributed_body"),
-        F.count_if("n").alias("needs_decoding"), F.count_if("d").alias("recoverable_messages"))
+    return rows.select(text.alias("t"), body.alias("b"), needs.alias("n"), F.col("decoded").isNotNull().alias("d"))
+
+
+def with_text_rates(counts: DataFrame) -> DataFrame:
     total = F.col("total_messages")
     return counts.select(
         "*", percent(F.col("has_text_column"), total).alias("text_coverage_percent"),
@@ -82,10 +93,17 @@ def text_extraction_stats(message: DataFrame) -> DataFrame:
 
 def decode_stats(message: DataFrame) -> DataFrame:
     """Outcome of decoding every body."""
+    return with_decode_rate(decode_flags(message).agg(
+        F.count_if("ok").alias("success_count"), F.count_if(~F.col("ok")).alias("failure_count"),
+        F.count(F.lit(1)).alias("total_attempts")))
+
+
+def decode_flags(message: DataFrame) -> DataFrame:
     bodies = message.where(F.length("attributed_body") > 0).select("attributed_body")
-    decoded = with_decoded(bodies, F.col("attributed_body")).select(F.col("decoded").isNotNull().alias("ok"))
-    counts = decoded.agg(F.count_if("ok").alias("success_count"), F.count_if(~F.col("ok")).alias("failure_count"),
-                         F.count(F.lit(1)).alias("total_attempts"))
+    return with_decoded(bodies, F.col("attributed_body")).select(F.col("decoded").isNotNull().alias("ok"))
+
+
+def with_decode_rate(counts: DataFrame) -> DataFrame:
     return counts.withColumn("success_rate_percent", percent(F.col("success_count"), F.col("total_attempts")))
 
 
@@ -95,7 +113,11 @@ def recovery_scope(message: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_messages"), F.count_if(text).alias("has_text_column"),
         F.count_if(~text & body).alias("needs_migration"), F.count_if(~body).alias("no_attributed_body"),
         F.count_if(done).alias("already_migrated"))
-    return scope.withColumn("remaining_to_migrate", F.col("needs_migration") - F.col("already_migrated"))
+    return with_remaining(scope)
+
+
+def with_remaining(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("remaining_to_migrate", F.col("needs_migration") - F.col("already_migrated"))
 
 
 def recovery_validation(message: DataFrame, **more: Column) -> DataFrame:
@@ -106,6 +128,10 @@ def recovery_validation(message: DataFrame, **more: Column) -> DataFrame:
         F.count_if(done).alias("has_extracted_text"), F.count_if(~text & done).alias("messages_recovered"),
         F.count_if(~text & ~done & body).alias("still_missing_text"),
         *[aggregate.alias(name) for name, aggregate in more.items()])
+    return with_recovery_rates(counts, *more)
+
+
+def with_recovery_rates(counts: DataFrame, *more: str) -> DataFrame:
     total, before = F.col("total_messages"), F.col("has_text")
     after = before + F.col("messages_recovered")
     return counts.select(

@@ -1,3 +1,3 @@
 """Importing this module registers every check."""
 
-from checks import expressions, indexes, live, reports, sequences, tables  # noqa: F401
+from checks import expressions, indexes, live, reports, sequences, state, tables  # noqa: F401
