@@ -8,8 +8,9 @@ become edges. Each edge learns its source, the first place of the smallest docum
 that holds it. Edges that follow each other both in a document and in its source lie on
 a path without branches; a join of every edge with its predecessor finds where paths
 begin, and the rest of a path is compacted into one span with source coordinates.
-Words at both ends of every span are compared by digest; a span that differs from its
-source stops the job, so window hashes alone are never taken for proof.
+Words at both ends of every span are compared by digest, so window hashes alone are never
+taken for proof: if a span differs from its source, words with equal hashes have met, and
+the search is made anew with hashes of another kind.
 
 A document with the same words as an earlier one takes no part in the graph: if it has
 a window at all, all its words go. Rows of the aggregation are windows, combined before
@@ -35,8 +36,10 @@ from chatlake.llm.wordhash import Words, mixed, slices, window_hashes
 WINDOW = 50
 ANCHOR = 20
 _OTHER = np.uint64(0xA0761D6478BD642F)
-# Rows over which the spans of one source document are dealt for the comparison.
-SOURCE_PARTS = 64
+# Spans of one source document that are compared beside one copy of its text.
+SOURCE_SPANS = 4096
+# Searches with other hashes before the job gives up; words that collide in two kinds are not to be expected.
+SEARCHES = 3
 # A document may have rows with several texts: a row is known by its id and its text's hash.
 KEY = ["doc_id", "mark"]
 
@@ -77,12 +80,12 @@ _DOCUMENTS = ("doc_id bigint, mark bigint, n_words bigint, words_a bigint, words
               "all_sha256 string, anchors array<bigint>")
 
 
-def _summarise(window: int, anchor: int):
+def _summarise(window: int, anchor: int, seed: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words, rows = Words(part.column("text")), []
-                hashes = words.hashes()
+                hashes = words.hashes(seed=seed)
                 for doc_id, mark, a, b in zip(part.column("doc_id").to_pylist(), part.column("mark").to_pylist(),
                                               words.first[:-1], words.first[1:]):
                     digest = hashlib.sha256(_joined(words, slice(a, b))).hexdigest()
@@ -97,13 +100,13 @@ def _summarise(window: int, anchor: int):
 _EDGES = "doc_id bigint, mark bigint, at bigint, edge_a bigint, edge_b bigint"
 
 
-def _edges(window: int, anchor: int):
+def _edges(window: int, anchor: int, seed: int = 0):
     """Windows of a document whose anchor is among its shared ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
-                hashes = words.hashes()
+                hashes = words.hashes(seed=seed)
                 for doc_id, mark, shared, a, b in zip(*(part.column(c).to_pylist() for c in KEY),
                                                       part.column("shared"), words.first[:-1], words.first[1:]):
                     own = hashes[a:b]
@@ -197,6 +200,8 @@ def _sourced(edges: DataFrame) -> DataFrame:
     source = F.floor(F.col("place") / width).cast("bigint")
     first = first.withColumn("source", source).where("last > source").select(
         "edge_a", "edge_b", "source", (F.col("place") - F.col("source") * width).cast("bigint").alias("source_at"))
+    # Written, so that the join below has a shuffle of its own on both sides and a hot window can be split at run time.
+    first = settled(first, "sources")
     return edges.join(first, ["edge_a", "edge_b"]).where("doc_id > source").select(
         *KEY, "at", "source", "source_at").distinct()
 
@@ -204,45 +209,58 @@ def _sourced(edges: DataFrame) -> DataFrame:
 def _checked(spans: DataFrame, cleaned: DataFrame, involved: DataFrame, window: int) -> DataFrame:
     """Spans whose words differ from those at their source coordinates."""
     mine = cleaned.select(*KEY, F.explode("digests").alias("own")).select(*KEY, "own.start", "own.digest")
-    # The spans of a hot source are dealt over several rows.
-    part = F.pmod(F.xxhash64(*KEY), F.lit(SOURCE_PARTS))
-    lists = spans.groupBy(F.col("source").alias("source_id"), part.alias("part")).agg(
+    # The spans of a hot source are dealt over as many rows as they need.
+    sizes = spans.groupBy(F.col("source").alias("source_id")).agg(
+        F.ceil(F.count(F.lit(1)) / SOURCE_SPANS).cast("bigint").alias("parts"))
+    part = F.pmod(F.xxhash64(*KEY, "start"), F.col("parts"))
+    lists = spans.join(sizes, F.col("source") == F.col("source_id")).groupBy("source_id", part.alias("part")).agg(
         F.collect_list(F.struct(*KEY, "start", "edges", "source_start")).alias("spans"))
     sources = involved.join(lists, F.col("doc_id") == F.col("source_id")).select("text", "spans")
     theirs = sources.mapInArrow(_source_digests(window), "doc_id bigint, mark bigint, start bigint, digest string")
     return mine.join(theirs, [*KEY, "start", "digest"], "left_anti")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                   anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256, and kept_text if asked.
+_SAME = ["words_a", "words_b", "n_words"]
 
-    A word goes when a window of ``window`` words that covers it also starts in a
-    document with a smaller doc_id. ``kept_text`` is the kept words joined by one
-    space, NULL for a document that lost nothing.
-    """
-    rows = texts(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
-    summary = settled(rows.mapInArrow(_summarise(window, anchor), _DOCUMENTS), "documents")
-    same = ["words_a", "words_b", "n_words"]
+
+def _searched(rows: DataFrame, window: int, anchor: int, with_text: bool, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Summaries, first holders of equal word sequences, cleaned documents, and whether any span differs from its source."""
+    summary = settled(rows.mapInArrow(_summarise(window, anchor, seed), _DOCUMENTS), "documents")
     named = summary.where("doc_id is not null")
-    first = named.groupBy(*same).agg(F.min("doc_id").alias("first_id"))
+    first = named.groupBy(*_SAME).agg(F.min("doc_id").alias("first_id"))
     firsts = first.where(F.col("n_words") >= window).withColumnRenamed("first_id", "doc_id")
-    held = named.join(firsts, ["doc_id", *same], "left_semi")
+    held = named.join(firsts, ["doc_id", *_SAME], "left_semi")
     shared = settled(_shared_anchors(held.select(*KEY, "anchors")), "shared")
     # The one time that whole texts move; documents that share nothing stay behind.
     involved = settled(rows.join(shared, KEY).select(*KEY, "text", "shared"), "involved")
-    edges = settled(involved.mapInArrow(_edges(window, anchor), _EDGES), "edges")
+    edges = settled(involved.mapInArrow(_edges(window, anchor, seed), _EDGES), "edges")
     spans = settled(compacted(settled(_sourced(edges), "sourced")), "spans")
     lists = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
     cleaned = settled(involved.join(lists, KEY).select(*KEY, "text", "spans").mapInArrow(
         _clean(window, with_text), _CLEANED + (", kept_text string" if with_text else "")).dropDuplicates(KEY), "cleaned")
-    different = _checked(spans, cleaned, involved, window).limit(1).count()
-    if different:
-        raise RuntimeError("a span differs from the words at its source coordinates")
+    differ = _checked(spans, cleaned, involved, window).limit(1).count() > 0
+    return summary, first, cleaned, differ
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+                   anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256, and kept_text if asked.
+
+    A word goes when a window of ``window`` words that covers it also starts in a
+    document with a smaller doc_id. ``kept_text`` is the kept words joined by one
+    space, NULL for a document that lost nothing.
+    """
+    rows = texts(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+    for seed in range(SEARCHES):
+        summary, first, cleaned, differ = _searched(rows, window, anchor, with_text, seed)
+        if not differ:
+            break
+    else:
+        raise RuntimeError("spans differ from the words at their source coordinates, whatever the hash")
     none = hashlib.sha256(b"").hexdigest()
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
     kept = [F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if with_text else []
-    found = summary.drop("anchors").join(first, same, "left").join(cleaned.drop("digests"), KEY, "left")
+    found = summary.drop("anchors").join(first, _SAME, "left").join(cleaned.drop("digests"), KEY, "left")
     return found.select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),

@@ -3,8 +3,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from chatlake.llm import nearcopies, repeats
+from chatlake.llm.wordhash import Words
 from chatlake.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -132,6 +134,27 @@ def test_a_span_that_differs_from_its_source_stops_the_job(documents, monkeypatc
         raise AssertionError("accepted")
 
 
+def test_words_that_collide_are_told_apart(documents):
+    # Two words of 2,048 letters whose hash by powers of an odd number is equal, whatever the letters count for.
+    turns = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = ("".join("ab"[t ^ flip] for t in turns) for flip in (0, 1))
+    first, second = Words(pa.array([one, other])).hashes()
+    assert first == second and len(set(Words(pa.array([one, other])).hashes(seed=1).tolist())) == 2
+    tail = " ".join(f"w{i}" for i in range(7))
+    rows = [(1, f"{one} {tail}", None, None), (2, f"{other} {tail}", None, None), (3, f"x {other} {tail}", None, None),
+            (4, f"{tail} y", None, None)]
+    found = repeats.remove_repeats(documents(rows), window=6, anchor=3).collect()
+    assert sorted(map(repr, (tuple(r)[:4] for r in found))) == sorted(map(repr, left_over(rows, 6)))
+
+
+def test_spans_of_a_hot_source_are_dealt_over_rows(documents, monkeypatch):
+    monkeypatch.setattr(repeats, "SOURCE_SPANS", 3)
+    passage = " ".join(f"p{i}" for i in range(9))
+    rows = [(i, f"a{i} {passage} b{i} {passage} c{i}", None, None) for i in range(40)]
+    found = repeats.remove_repeats(documents(rows), window=6, anchor=3).collect()
+    assert sorted(map(repr, (tuple(r)[:4] for r in found))) == sorted(map(repr, left_over(rows, 6)))
+
+
 def test_empty_tables(documents):
     assert nearcopies.near_copies(documents([])).count() == 0
     assert repeats.remove_repeats(documents([])).count() == 0
