@@ -1,26 +1,23 @@
 """A live feed of messages whose state stays bounded however long it runs.
 
-Messages and handles are one stream of signals. A message that was delivered before is
-recognised by its id in a state that the watermark clears: redelivery is known for as
-long as ``remember`` says, and no stored table is read. A message whose handle is not known
-yet waits in state of its own, keyed by handle, and is released by the handle's signal
-alone; a timer moves it to the rejects when its patience ends. So the work of a batch
-depends on the batch and on what it releases, not on the tables or on all that waits.
+Messages and handles are streams of signals, joined by handle. A message that was
+delivered before is recognised by its id in a state that the watermark clears: redelivery
+is known for as long as ``remember`` says, and no stored table is read. A message is kept
+in the state of the join until its patience ends, so a handle that comes within that time
+releases its messages; one that none came for is given up when the watermark passes. The
+state holds the messages of ``remember`` and of the time to wait, and one row per handle
+and lane.
 
 Time here is the time of arrival (of a file, unless the caller has a better one): old
-messages may arrive in any order and none is late. A handle with a large share of the
-messages is dealt over ``lanes``; its signal goes to each of them.
+messages may arrive in any order and none is late. The clock is that of the stream that
+is further on, so a feed without new handles still gives messages up. A handle with a
+large share of the messages is dealt over ``lanes``; its signal goes to each of them.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from chatlake.functions.body import with_best_text
 from chatlake.functions.text import present
@@ -33,16 +30,12 @@ PATIENCE_HOURS = 24 * 30
 LANES = 16
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_CARRIED = ["message_id", "contents", "is_from_me", "created_us"]
-_WAITING = "message_id bigint, contents string, is_from_me boolean, created_us bigint, due bigint"
-_OUTCOME = "message_id bigint, user_id string, contents string, is_from_me boolean, created_us bigint, handle_id bigint, reason string"
-
-# Executors need no copy of this package: the processors travel with the plan.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+_CLOCK = "spark.sql.streaming.multipleWatermarkPolicy"
+NOT_TOLD = "no handle within the time to wait"
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Keyed state with timers lives in the store on disk, so it may exceed memory."""
+    """Keyed state lives in the store on disk, so it may exceed memory."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
@@ -50,95 +43,35 @@ def message_signals(message: DataFrame, arrived: Column, as_of: Column | None =
     """Signals of source messages: those of use, with their best text."""
     rows = drop_blank(drop_system_rows(with_best_text(message.withColumn("_arrived", arrived), "contents")))
     return rows.select(
-        "handle_id", F.lit("message").alias("kind"), F.col("rowid").alias("id"), F.col("_arrived").alias("arrived"),
-        F.lit(None).cast("string").alias("user_id"), F.col("rowid").alias("message_id"), "contents",
+        "handle_id", F.col("_arrived").alias("arrived"), F.col("rowid").alias("message_id"), "contents",
         F.coalesce(F.col("is_from_me") != 0, F.lit(False)).alias("is_from_me"),
-        F.unix_micros(apple_ts(F.col("date"), as_of)).alias("created_us"))
+        apple_ts(F.col("date"), as_of).alias("created_at"))
 
 
 def handle_signals(handle: DataFrame, arrived: Column) -> DataFrame:
     """Signals of handles, each with the user it stands for; names and contacts of users are looked up at rest."""
-    return handle.where(present(F.col("id"))).select(
-        "handle_id", F.lit("handle").alias("kind"), F.col("handle_id").alias("id"), arrived.alias("arrived"),
-        handle_user_id(F.col("handle_id")).alias("user_id"),
-        F.lit(None).cast("bigint").alias("message_id"), F.lit(None).cast("string").alias("contents"),
-        F.lit(None).cast("boolean").alias("is_from_me"), F.lit(None).cast("bigint").alias("created_us"))
-
-
-def once_each(signals: DataFrame, remember: str = REMEMBER) -> DataFrame:
-    """Each message and each handle once, as far back as ``remember`` reaches; the watermark clears the rest."""
-    return signals.withWatermark("arrived", remember).dropDuplicatesWithinWatermark(["kind", "id", "handle_id"])
-
-
-class Waiting(StatefulProcessor):
-    """Messages of one handle and lane: through at once if its user is known, else until it is or patience ends."""
-
-    def __init__(self, patience_ms: int):
-        self.patience_ms = patience_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.user = handle.getValueState("user", "user_id string")
-        self.rows = handle.getListState("rows", _WAITING)
-
-    def _out(self, rows: list[tuple], key: tuple, user: str | None, reason: str | None) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=_CARRIED)
-        handle = None if key[0] is None else int(key[0])
-        frame["user_id"], frame["handle_id"], frame["reason"] = user, pd.Series([handle] * len(rows), dtype="Int64"), reason
-        frame["message_id"], frame["created_us"] = frame["message_id"].astype("Int64"), frame["created_us"].astype("Int64")
-        return frame[[f.split()[0] for f in _OUTCOME.split(", ")]]
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        user = self.user.get()[0] if self.user.exists() else None
-        released, due_at = user is not None, set()
-        for frame in rows:
-            told = frame.loc[frame["kind"] == "handle", "user_id"]
-            if len(told):
-                user = told.min()
-                self.user.update((user,))
-            messages = frame.loc[frame["kind"] == "message", [*_CARRIED, "arrived_ms"]]
-            found = [(int(m), c, bool(f), None if pd.isna(u) else int(u), int(a))
-                     for m, c, f, u, a in messages.itertuples(index=False)]
-            if found and released:
-                yield self._out([r[:4] for r in found], key, user, None)
-            elif found:
-                due = [a + self.patience_ms for *_, a in found]
-                self.rows.appendList([(*r[:4], d) for r, d in zip(found, due)])
-                due_at.update(due)
-        if user is not None and not released:
-            waiting = [tuple(r)[:4] for r in self.rows.get()]
-            self.rows.clear()
-            if waiting:
-                yield self._out(waiting, key, user, None)
-        elif user is None:
-            for due in due_at:
-                self.handle.registerTimer(due)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        held = [tuple(r) for r in self.rows.get()]
-        over, kept = [r for r in held if r[4] <= now], [r for r in held if r[4] > now]
-        if over:
-            if kept:
-                self.rows.put(kept)
-            else:
-                self.rows.clear()
-            yield self._out([r[:4] for r in over], key, None, "no handle within the time to wait")
-
-    def close(self) -> None:
-        pass
-
-
-def resolved_signals(signals: DataFrame, patience_hours: float = PATIENCE_HOURS, lanes: int = LANES) -> DataFrame:
+    return handle.where(present(F.col("id")) & F.col("handle_id").isNotNull()).select(
+        "handle_id", arrived.alias("arrived"), handle_user_id(F.col("handle_id")).alias("user_id"))
+
+
+def once_each(messages: DataFrame, remember: str = REMEMBER) -> DataFrame:
+    """Each message once, as far back as ``remember`` reaches; the watermark clears the rest."""
+    return messages.withWatermark("arrived", remember).dropDuplicatesWithinWatermark(["message_id", "handle_id"])
+
+
+def resolved_signals(messages: DataFrame, handles: DataFrame, remember: str = REMEMBER,
+                     patience_hours: float = PATIENCE_HOURS, lanes: int = LANES) -> DataFrame:
     """Messages with their user, and those given up (user NULL, with a reason)."""
-    lane = F.when(F.col("kind") == "handle", F.sequence(F.lit(0), F.lit(lanes - 1))).otherwise(
-        F.array(F.pmod(F.col("id"), F.lit(lanes)).cast("int")))
-    dealt = signals.withColumn("lane", F.explode(lane)).withColumn("arrived_ms", F.unix_millis("arrived"))
-    found = dealt.groupBy("handle_id", "lane").transformWithStateInPandas(
-        statefulProcessor=Waiting(int(patience_hours * 3_600_000)), outputStructType=_OUTCOME, outputMode="Append",
-        timeMode="EventTime")
-    return found.select("message_id", "user_id", "contents", "is_from_me", F.timestamp_micros("created_us").alias("created_at"),
-                        "handle_id", "reason")
+    # A user stands for its handle for good, so the first signal of a handle is all that counts.
+    told = handles.withWatermark("arrived", remember).dropDuplicates(["handle_id"]).select(
+        F.col("handle_id").alias("told_id"), F.col("arrived").alias("told_at"), "user_id",
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("told_lane"))
+    waiting = once_each(messages, remember).withColumn("lane", F.pmod("message_id", F.lit(lanes)).cast("int"))
+    patience = F.expr(f"INTERVAL {round(patience_hours * 3_600_000_000)} MICROSECONDS")
+    found = waiting.join(told, (F.col("handle_id") == F.col("told_id")) & (F.col("lane") == F.col("told_lane"))
+                         & (F.col("told_at") <= F.col("arrived") + patience), "left")
+    return found.select("message_id", "user_id", "contents", "is_from_me", "created_at", "handle_id",
+                        F.when(F.col("user_id").isNull(), NOT_TOLD).alias("reason"))
 
 
 def follow_messages(messages: DataFrame, handles: DataFrame, path: str, remember: str = REMEMBER,
@@ -150,15 +83,22 @@ def follow_messages(messages: DataFrame, handles: DataFrame, path: str, remember
     """
     spark = messages.sparkSession
     use_state_store(spark)
-    outcomes = resolved_signals(once_each(messages.unionByName(handles), remember), patience_hours, lanes)
+    outcomes = resolved_signals(messages, handles, remember, patience_hours, lanes)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kind = F.when(F.col("reason").isNull(), "resolved").otherwise("rejected")
         batch.withColumn("outcome", kind).write.partitionBy("outcome").mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return outcomes.writeStream.foreachBatch(write).outputMode("append").option(
-        "checkpointLocation", f"{path}-checkpoint").trigger(**trigger).start()
+    feed = outcomes.writeStream.foreachBatch(write).outputMode("append").option(
+        "checkpointLocation", f"{path}-checkpoint").trigger(**trigger)
+    before = spark.conf.get(_CLOCK)
+    # The query takes it along when it starts.
+    spark.conf.set(_CLOCK, "max")
+    try:
+        return feed.start()
+    finally:
+        spark.conf.set(_CLOCK, before)
 
 
 _STORED = ("message_id bigint, user_id string, contents string, is_from_me boolean, created_at timestamp, handle_id bigint, "

@@ -132,6 +132,28 @@ def test_a_batch_that_is_run_again_replaces_itself(spark, static, feeds):
     assert sorted(L.synced_messages(spark, path).collect()) == before == wanted(spark, static, range(1, 31))
 
 
+def test_many_handles_cost_no_python_call_each(spark, feeds):
+    messages, handles = feeds
+    path = scratch_path(spark, "live")
+    rows = spark.range(1, 6001).selectExpr("id AS rowid", "concat('m', id) AS text", "id % 5000 + 1 AS handle_id", "id AS date", "0 AS is_from_me")
+    told = spark.range(2, 5001).selectExpr("id AS handle_id", "'a@b.com' AS id")
+    new, known = (df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                              for f in feed.schema if f.name != "arrived"]) for df, feed in ((rows, messages), (told, handles)))
+    handles.add(known, 0)
+    messages.add(new, 0)
+    query = run(feeds, path, remember="1 day", patience_hours=48, lanes=2)
+    kinds = {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]}
+    assert kinds == {"dedupeWithinWatermark", "dedupe", "symmetricHashJoin"}
+    found = L.synced_messages(spark, path).count()
+    # The same handles told again, long after they were forgotten as signals, double nothing.
+    for day in (20, 21):
+        handles.add(known, day)
+        run(feeds, path, remember="1 day", patience_hours=48, lanes=2)
+    assert found == L.synced_messages(spark, path).count() == 6000 - L.rejected_messages(spark, path).count()
+    # No new message came: the clock of the handles alone gave up those of the handle that is not there.
+    assert {r["message_id"] for r in L.rejected_messages(spark, path).collect()} == {5000}
+
+
 CHAT = "chat_id bigint, message_id bigint, user_id string, created_at timestamp"
 
 
