@@ -40,6 +40,10 @@ SAMPLE = 100_000
 MOST_CELLS = 4096
 PART_VECTORS = 16_384
 QUERY_BLOCK = 1024
+# Rows that a task places at once, rows with their cell that it sends on at once, and queries that one part of a cell is shown.
+PLACED = 1024
+SENT = 16_384
+SHOWN = 65_536
 
 # Executors need no copy of this package: the functions travel with the plan.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -135,6 +139,18 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    """Rows as a list column, without an object for every number."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
+
+
+def _stacked(column: pa.ChunkedArray, rows: int) -> np.ndarray:
+    """Lists of one length, none of them missing, as a matrix."""
+    flat = [np.asarray(chunk.flatten()) for chunk in column.chunks]
+    return np.concatenate(flat).reshape(rows, -1)
+
+
 def _units(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows divided by their length, and which of them have one."""
     size = np.sqrt((rows * rows).sum(axis=1))
@@ -217,13 +233,17 @@ def _placed(centres: np.ndarray, probes: int, name: str):
     """Rows of (name, vector) with their ``probes`` closest cells and the vector at length 1."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, fine = _units(_matrix(batch.column("vector"), centres.shape[1]))
-            rows, ids = rows[fine], np.asarray(batch.column(name))[fine]
-            cells = np.argsort(-(rows @ centres.T), axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(len(ids)), cells.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells.ravel().astype(np.int32)), pa.array(ids[at]), pa.array(rows[at].tolist(), pa.list_(pa.float64()))],
-                ["cell", name, "vector"])
+            for start in range(0, batch.num_rows, PLACED):
+                part = batch.slice(start, PLACED)
+                rows, fine = _units(_matrix(part.column("vector"), centres.shape[1]))
+                rows, ids = rows[fine], np.asarray(part.column(name))[fine]
+                cells = np.argsort(-(rows @ centres.T), axis=1, kind="stable")[:, :probes]
+                step = max(1, SENT // cells.shape[1])
+                for i in range(0, len(ids), step):
+                    near = cells[i: i + step]
+                    at = np.repeat(np.arange(i, i + len(near)), near.shape[1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(near.ravel().astype(np.int32)), pa.array(ids[at]), _lists(rows[at])], ["cell", name, "vector"])
     return run
 
 
@@ -260,7 +280,7 @@ def _probe(limit: int):
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
         if not held.num_rows or not asked.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        rows, queries = (np.array(t.column("vector").to_pylist()) for t in (held, asked))
+        rows, queries = (_stacked(t.column("vector"), t.num_rows) for t in (held, asked))
         ids, query_ids = np.asarray(held.column("id")), np.asarray(asked.column("query_id"))
         found = []
         for i in range(0, len(queries), QUERY_BLOCK):
@@ -272,11 +292,18 @@ def _probe(limit: int):
     return run
 
 
-def cosine_search(index: VectorIndex, queries: DataFrame, limit: int = 10, probes: int = 16) -> DataFrame:
-    """(query_id, id, score, rank): for each query (query_id, vector) the closest vectors of its closest cells."""
-    asked = _as_vectors(queries, "query_id", "vector", "query_id").dropDuplicates(["query_id"])
+def cosine_search(index: VectorIndex, queries: DataFrame, limit: int = 10, probes: int = 16, shown: int = SHOWN) -> DataFrame:
+    """(query_id, id, score, rank): for each query (query_id, vector) the closest vectors of its closest cells.
+
+    A part of a cell meets about ``shown`` queries at once; with more queries it is read by several tasks.
+    """
+    asked = settle(_as_vectors(queries, "query_id", "vector", "query_id").dropDuplicates(["query_id"]), "queries")
+    blocks = max(1, math.ceil(asked.count() / shown))
     asked = asked.mapInArrow(_placed(index.centres, probes, "query_id"), "cell int, query_id bigint, vector array<double>")
     asked = asked.join(F.broadcast(index.parts), "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "vector")
-    found = index.cells.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(_probe(limit), _FOUND)
+        "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "vector")
+    cells = index.cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    keys = ["cell", "part", "block"]
+    found = cells.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_probe(limit), _FOUND)
     return top_n_per_group(found, ["query_id"], [F.desc("score"), F.col("id")], limit, "rank")

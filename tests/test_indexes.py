@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,27 @@ def test_an_empty_vector_index(vectors):
     none = vectors.limit(0)
     assert IX.cosine_search(IX.build_vector_index(none), asked(vectors)).collect() == []
     assert IX.cosine_exact(none, asked(vectors)).collect() == [] == IX.cosine_exact(vectors, asked(vectors).limit(0)).collect()
+
+
+def test_placed_vectors_leave_a_task_in_bounded_batches():
+    rng = np.random.default_rng(4)
+    rows, centres = rng.normal(size=(3000, 8)), rng.normal(size=(500, 8))
+    rows[7] = 0
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(rows.tolist())], ["id", "vector"])
+    sent = list(IX._placed(centres, IX.MOST_CELLS, "id")([batch]))
+    assert max(b.num_rows for b in sent) <= IX.SENT
+    table = pa.Table.from_batches(sent)
+    assert table.num_rows == 2999 * 500
+    pairs = set(zip(table.column("cell").to_pylist(), table.column("id").to_pylist()))
+    assert pairs == {(c, i) for c in range(500) for i in range(3000) if i != 7}
+    assert np.allclose(table.column("vector")[0].as_py(), rows[0] / np.linalg.norm(rows[0]))
+
+
+def test_blocks_of_queries_find_the_same(spark):
+    rng = np.random.default_rng(5)
+    held = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "vec_id bigint, embedding array<double>")
+    asked = held.where("vec_id < 60").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = IX.build_vector_index(held, cells=6, part_vectors=40)
+    one, many = (sorted((r["query_id"], r["id"], r["rank"]) for r in IX.cosine_search(index, asked, 5, probes=6, shown=n).collect())
+                 for n in (1000, 7))
+    assert one == many and len(one) == 300
