@@ -63,6 +63,21 @@ def test_interrupted_run_goes_on(spark, log):
     assert result(log, root) == wanted(log)
 
 
+def test_jobs_do_not_grow_with_the_lanes(spark, log):
+    root = scratch_path(spark, "recovery")
+    found = RE.recover_texts(log, root, range_rows=10, lane_ranges=1, jobs=4)
+    assert found > 300
+    assert 1 < RE.finished_ranges(spark, root, 10).select("run").distinct().count() <= 5
+    assert sorted(map(str, RE.recovered_message(log, root, 10).collect())) == wanted(log)
+
+
+def test_lanes_of_a_job_hold_their_share_of_the_rows():
+    assert RE._shared_jobs([], 4) == []
+    assert RE._shared_jobs([(-1, 5), (0, 5), (3, 5), (9, 5)], 2) == [(-1, 0), (3, 9)]
+    assert RE._shared_jobs([(0, 100), (1, 1), (2, 1), (3, 1)], 3) == [(0, 0), (1, 3)]
+    assert RE._shared_jobs([(i, 1) for i in range(6)], 16) == [(i, i) for i in range(6)]
+
+
 def test_lanes_one_by_one(spark, log):
     root, runs = scratch_path(spark, "recovery"), 0
     while RE.recover_texts(log.where("rowid < 1500"), root, lanes=1, **HOW):
