@@ -1,9 +1,9 @@
 """Stored indexes that answer whole tables of queries: an inverted index of texts, cells of vectors.
 
-Text index. One pass over the texts writes how often each document has each term; all
-else is made from that. Documents are dealt over blocks by id, and a posting row holds
-the documents of one term in one block, sorted by term, so a query reads the rows of its
-own terms only. Each row carries the most that its term can add to a score in its block.
+Text index. One pass over the texts writes how often each document has each term, counted
+inside its row, so that a term of a document moves once, to its posting. Documents are
+dealt over blocks, and a posting row holds the documents of one term in one block, sorted
+by term, so a query reads the rows of its own terms only. Each row carries the most that its term can add to a score in its block.
 The sum over the terms of a query bounds the block; the blocks with the highest bounds are
 scored first, and of the others only those whose bound reaches the score that the last
 of the best then has. So the result is that of scoring every document.
@@ -65,23 +65,32 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Sorted ``words`` of each row as ``found``, an array of (term, tf), and their number as ``length``."""
+    # A term begins where the word before is another.
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
+    begun = rows.withColumn("starts", F.when(F.size("words") > 0, starts)).withColumn("length", F.size("words"))
+    ends = F.concat(F.slice("starts", 2, F.size("words")), F.array("length"))
+    term = F.zip_with("starts", ends, lambda i, end: F.struct(F.get("words", i).alias("term"), (end - i).cast("bigint").alias("tf")))
+    return begun.withColumn("found", F.when(F.size("words") > 0, term)).drop("words", "starts")
+
+
 def build_text_index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                      block_docs: int = BLOCK_DOCS) -> TextIndex:
     """Read the texts once; every row is a document; a NULL text has no words and no length."""
     words = documents.select(F.col(id_column).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"),
-                             _tokens(F.col(text_column)).alias("words"))
-    words = words.withColumn("length", F.size("words"))
-    keys = ["row", "id", "length"]
-    counts = words.select(*keys, F.explode_outer("words").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = settle(counts, "term_counts")
-    sizes = counts.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
+                             F.array_sort(_tokens(F.col(text_column))).alias("words"))
+    counts = settle(_counted(words), "term_counts")
+    sizes = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     n, mean = sizes["n"], sizes["mean"] or 1.0
     block = F.pmod(F.xxhash64("row"), F.lit(max(1, math.ceil(n / block_docs)))).cast("int")
+    keys = ["row", "id", "length"]
+    rows = counts.select(block.alias("block"), *keys, F.explode("found").alias("found")).select("found.term", "block", *keys, "found.tf")
+    # Sorted by term, so that the files tell which of them hold a term. Grouping takes the rows as they were dealt.
+    dealt = rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
     part = _part(F.col("tf"), F.col("length"), mean)
-    rows = counts.where("term IS NOT NULL").groupBy("term", block.alias("block")).agg(
-        F.max(part).alias("most"), F.collect_list(F.struct(*keys, "tf")).alias("docs"))
-    # Sorted by term, so that the files tell which of them hold a term.
-    postings = settle(rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings")
+    postings = settle(dealt.groupBy("term", "block").agg(
+        F.max(part).alias("most"), F.collect_list(F.struct(*keys, "tf")).alias("docs")).sortWithinPartitions("term", "block"), "postings")
     terms = settle(postings.groupBy("term").agg(F.sum(F.size("docs")).alias("df")), "terms")
     return TextIndex(postings, terms, n, mean)
 

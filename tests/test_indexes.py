@@ -132,3 +132,21 @@ def test_blocks_of_queries_find_the_same(spark):
     one, many = (sorted((r["query_id"], r["id"], r["rank"]) for r in IX.cosine_search(index, asked, 5, probes=6, shown=n).collect())
                  for n in (1000, 7))
     assert one == many and len(one) == 300
+
+
+def test_terms_move_to_their_postings_once(spark):
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit("w"), i * 31 % (F.col("id") + 200))), " ")
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), words.alias("text"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def moved():
+        stages = store.stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = moved()
+    index = IX.build_text_index(texts)
+    pairs = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("term")).count()
+    assert index.postings.select(F.sum(F.size("docs"))).first()[0] == pairs
+    # Each (document, term) moves once; what is counted here beside it is terms and their sums.
+    assert moved() - before < 1.5 * pairs
