@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chatlake.functions.text import numbered_line
 from chatlake.operators.sequences import PART_ROWS, collect_parts, group_index
+from chatlake.session import settle
 
 GAP_HOURS = 48
 MIN_MESSAGES = 2
@@ -345,4 +346,5 @@ def chunk_boundaries(messages: DataFrame, detect: Callable[[pd.DataFrame], pd.Da
     kind = messages.schema["chat_id"].dataType.simpleString()
     found = rows.groupBy("chat_id", "chunk").applyInPandas(
         run, f"chat_id {kind}, chunk bigint, after_message_index bigint, reason string, confidence double")
-    return reconciled_boundaries(found, chunk_size, overlap, tolerance)
+    # What the detector told is compared with itself, so it is kept: each chunk is shown once.
+    return reconciled_boundaries(settle(found, "boundaries"), chunk_size, overlap, tolerance)

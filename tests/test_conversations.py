@@ -182,3 +182,16 @@ def test_a_function_of_one_chunk_sees_bounded_chunks(spark, chat):
     assert sorted((r[0], r[1]) for r in found.collect()) == [(1, i) for i in range(99, 699, 100)]
     whole = detect_conversations(df, lambda m: CV.chunk_boundaries(m, detect)).where("chat_id = 1")
     assert whole.count() == 7
+
+
+def test_a_detector_is_shown_each_chunk_once(spark, chat):
+    df = chat([(c, 100 * c + i, i * 10) for c in range(1, 8) for i in range(20 * c)])
+    shown = spark.sparkContext.accumulator(0)
+
+    def detect(chunk):
+        shown.add(1)
+        return pd.DataFrame({"after_message_index": [0], "reason": "first", "confidence": 0.5})
+
+    chunks = CV.chunk_ranges(df, 40, 10).count()
+    found = CV.chunk_boundaries(df, detect, 40, 10).collect()
+    assert shown.value == chunks > 7 and {r["chat_id"] for r in found} == set(range(1, 8))
