@@ -64,6 +64,18 @@ def joined_stretches(stretches: pd.DataFrame, gap: int) -> pd.DataFrame:
     return joined
 
 
+def merged_stretches(rows: list[tuple], gap: int) -> list[tuple]:
+    """As ``joined_stretches`` for the few rows of one chat, as tuples of ``_STRETCH``."""
+    found: list[tuple] = []
+    for row in sorted(rows, key=lambda r: r[:2]):
+        if found and row[0] - found[-1][3] < gap:
+            start, first, starter, *end, messages = found[-1]
+            found[-1] = (start, first, starter, *max(tuple(end), row[3:5]), messages + row[5])
+        else:
+            found.append(row)
+    return found
+
+
 def _combined(gap: int):
     """Rows of a task to stretches: a busy chat sends few rows to its state."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,14 +95,14 @@ class OpenConversations(StatefulProcessor):
         self.handle = handle
         self.held = handle.getListState("held", _HELD)
 
-    def _known(self, chat_id) -> pd.DataFrame:
-        known = pd.DataFrame([tuple(r) for r in self.held.get()], columns=_STRETCH)
-        known.insert(0, "chat_id", chat_id)
-        return known
+    def _known(self) -> list[tuple]:
+        return [tuple(r) for r in self.held.get()]
 
-    def _keep(self, rows: pd.DataFrame) -> None:
-        if len(rows):
-            self.held.put([(int(a), int(i), s, int(b), int(j), int(n)) for a, i, s, b, j, n in rows[_STRETCH].itertuples(index=False)])
+    def _keep(self, rows: list[tuple]) -> None:
+        """A chat has one timer, that of the conversation which ends first."""
+        if rows:
+            self.held.put(rows)
+            self.handle.registerTimer(min(self._due(r[3]) for r in rows))
         else:
             self.held.clear()
 
@@ -98,30 +110,33 @@ class OpenConversations(StatefulProcessor):
         """The millisecond from which on no row can join any more."""
         return -(-(int(end_us) + self.gap) // 1000)
 
+    @staticmethod
+    def _updates(key, rows: list[tuple], status: str) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=_STRETCH)
+        frame.insert(0, "chat_id", int(key[0]))
+        return frame.assign(status=status)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self._known(int(key[0]))
-        before = {tuple(r) for r in known[_STRETCH].itertuples(index=False)}
-        found = known
-        for frame in rows:
-            found = joined_stretches(pd.concat(
-                [x for x in (found, frame[["chat_id", *_STRETCH]]) if len(x)], ignore_index=True), self.gap)
+        known = self._known()
+        new = [(int(a), int(i), s, int(b), int(j), int(n)) for frame in rows
+               for a, i, s, b, j, n in frame[_STRETCH].itertuples(index=False)]
+        found = merged_stretches(known + new, self.gap)
         self._keep(found)
-        changed = found[[tuple(r) not in before for r in found[_STRETCH].itertuples(index=False)]]
-        starts = set(zip(found["start_us"], found["start_id"]))
-        gone = known[[(a, i) not in starts for a, i in zip(known["start_us"], known["start_id"])]]
-        for end in changed["end_us"].unique():
-            self.handle.registerTimer(self._due(end))
-        if len(gone):
-            yield gone.assign(status="replaced")
-        if len(changed):
-            yield changed.assign(status="open")
+        before, starts = set(known), {r[:2] for r in found}
+        if gone := [r for r in known if r[:2] not in starts]:
+            yield self._updates(key, gone, "replaced")
+        if changed := [r for r in found if r not in before]:
+            yield self._updates(key, changed, "open")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, known = expiredTimerInfo.getExpiryTimeInMs(), self._known(int(key[0]))
-        over = known["end_us"].map(self._due) <= now
-        if over.any():
-            self._keep(known[~over])
-            yield known[over].assign(status="closed")
+        # All that the watermark has passed, not only the conversation whose timer this is.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        known = self._known()
+        if over := [r for r in known if self._due(r[3]) <= now]:
+            self._keep([r for r in known if self._due(r[3]) > now])
+            yield self._updates(key, over, "closed")
+        elif known:
+            self._keep(known)
 
     def close(self) -> None:
         pass

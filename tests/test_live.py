@@ -204,3 +204,45 @@ def test_stretches_join_within_the_gap():
                           (2, 0, 6, "e", 0, 6, 1)], columns=["chat_id", *SS._STRETCH])
     got = [tuple(r) for r in SS.joined_stretches(frame, 3).itertuples(index=False)]
     assert got == [(1, 0, 1, "a", 12, 3, 4), (1, 15, 5, "d", 15, 5, 1), (2, 0, 6, "e", 0, 6, 1)]
+
+
+def test_merging_tuples_gives_the_same_stretches():
+    rng = random.Random(3)
+    for _ in range(50):
+        rows = [(at := rng.randrange(60), i, rng.choice("ab"), at + rng.randrange(5), 100 + i, rng.randrange(1, 4)) for i in range(rng.randrange(1, 15))]
+        frame = pd.DataFrame(rows, columns=SS._STRETCH)
+        frame.insert(0, "chat_id", 1)
+        assert SS.merged_stretches(rows, 3) == [tuple(r)[1:] for r in SS.joined_stretches(frame, 3).itertuples(index=False)]
+
+
+def test_one_timer_closes_all_that_the_watermark_passed():
+    calls = []
+
+    class Handle:
+        rows = []
+
+        def getListState(self, name, schema):
+            return self
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+        def registerTimer(self, due):
+            calls.append(due)
+
+    class Clock:
+        getExpiryTimeInMs, getCurrentWatermarkInMs = lambda self: 1, lambda self: 300
+
+    chat = SS.OpenConversations(1000)
+    chat.init(Handle())
+    frame = pd.DataFrame([(i * 10_000, i, "a", i * 10_000, i, 1) for i in range(100)], columns=SS._STRETCH)
+    [opened] = chat.handleInputRows((7,), iter([frame]), None)
+    assert len(opened) == 100 and calls == [1]
+    [closed] = chat.handleExpiredTimer((7,), Clock(), Clock())
+    assert set(closed["status"]) == {"closed"} and len(closed) == 30 and calls == [1, 301] and len(chat.held.rows) == 70
