@@ -1,6 +1,6 @@
 import numpy as np
 
-from chatlake.llm.neighbours import nearest_neighbours
+from chatlake.llm.neighbours import Block, nearest_neighbours
 
 
 def exact(rows, every, k):
@@ -45,3 +45,30 @@ def test_unusable_vectors_take_no_part(spark):
 def test_empty_and_lone(spark):
     assert nearest_neighbours(table(spark, {})).count() == 0
     assert nearest_neighbours(table(spark, {0: np.ones(3)})).count() == 0
+
+
+def test_a_known_score_settles_a_block_in_one_count():
+    rng = np.random.default_rng(9)
+    vectors = rng.standard_normal((3000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    block, counted = Block(np.arange(3000), vectors, 1.0), []
+    count = block.collisions
+    block.collisions = lambda *window: counted.append(1) or count(*window)
+    for q in range(40):
+        scores = np.delete(np.einsum("ij,j->i", vectors, vectors[q]), q)
+        least = np.sort(scores)[-5]
+        counted.clear()
+        found = block.nearest(q, vectors[q], 20, least)
+        # Only what reaches the score leaves the block, that score itself included.
+        assert len(counted) == 1 and len(found) <= 5 and all(s >= least for _, s in found)
+        assert len(found) >= 4
+
+
+def test_copies_in_blocks_of_different_rounds_tie_by_id(spark):
+    rng = np.random.default_rng(2)
+    rows = {i: rng.standard_normal(48).astype(np.float32).astype(float) for i in range(200)}
+    for i in range(200, 1200):
+        rows[i] = rows[20].copy()
+    found = nearest_neighbours(table(spark, rows), every=20, k=10, block_rows=100).where("query_id = 20").collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == list(range(200, 210))
+    assert len({r.score for r in found}) == 1
