@@ -8,8 +8,9 @@ once.
 Ids return to their places in two ways. The ``frequent`` most frequent words (of at most
 ``WORD_BYTES`` bytes, hence a table of bounded size) go to all tasks as sorted 64-bit
 hashes with their ids, and a text becomes a compact string of their numbers. The other
-words, one row per text and distinct word, are joined by word and come back by text; the texts
-themselves are written by their key and do not move again.
+words, one row per text and distinct word, are joined by word and come back by the number of the
+text's row, as entries of a few bytes; the texts themselves are written by that number and do
+not move again.
 A hot word is therefore never a join key. A frequent word whose hash any other word of
 the corpus shares is taken off the frequent ones, so a hash never decides wrongly.
 
@@ -24,13 +25,13 @@ from __future__ import annotations
 
 import hashlib
 import os
-import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -44,12 +45,11 @@ WORD_BYTES = 64
 GATHERED = 300_000
 # Words whose codes lie in one file.
 BUCKET_WORDS = 4_000_000
-_HEAD = struct.Struct("<qI")
-_SPACES = str.maketrans("\t\n\v\f\r", "     ")
 
 
-def words_of(text: str) -> list[str]:
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+def words_of(text: bytes) -> list[bytes]:
+    """Words of a text in UTF-8; bytes, unlike strings, are split at ASCII white space alone."""
+    return text.split()
 
 
 @cache
@@ -78,11 +78,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def table() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            [pa.array(counts.keys(), pa.binary()).cast(pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
     for batch in batches:
         for part in slices(batch, "text"):
-            for text in part.column("text").to_pylist():
+            for text in part.column("text").cast(pa.binary()).to_pylist():
                 if text:
                     counts.update(words_of(text))
             if len(counts) > GATHERED:
@@ -197,25 +197,45 @@ def unpacked(data: bytes) -> np.ndarray:
     return out
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rare words of texts as short byte strings: second key of the text, place, ids."""
-    for batch in batches:
-        if batch.num_rows:
-            seconds, places = (np.asarray(batch.column(c)).tolist() for c in ("second_key", "place"))
-            lists = batch.column("ids")
-            ids, at = np.asarray(lists.values).astype("<u4"), np.asarray(lists.offsets).tolist()
-            entries = [_HEAD.pack(s, p) + ids[a:b].tobytes() for s, p, a, b in zip(seconds, places, at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("text_key"), pa.array(entries, pa.binary())], ["text_key", "entry"])
+def _unit(size: int) -> np.dtype:
+    """What an id of a vocabulary of that size takes in an entry."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def _entries(unit: np.dtype):
+    """Rare words of texts as short byte strings: place (four bytes), ids."""
+    head = 4 // unit.itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("ids")
+                sizes = np.diff(np.asarray(ids.offsets))
+                ends = np.cumsum(sizes + head)
+                starts = ends - sizes - head
+                data, heads = np.empty(int(ends[-1]), unit), np.zeros(int(ends[-1]), bool)
+                places = np.asarray(batch.column("place")).astype("<u4").view(unit).reshape(-1, head)
+                for i in range(head):
+                    data[starts + i], heads[starts + i] = places[:, i], True
+                data[~heads] = np.asarray(ids.flatten())
+                offsets = np.append(0, ends * unit.itemsize).astype(np.int32)
+                entries = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), entries], ["row", "entry"])
+    return run
 
 
-def _own_ids(entries: list[bytes] | None, second: int) -> dict[int, np.ndarray]:
-    """Ids by place, of the entries that belong to the text with this second key."""
-    found = {}
-    for entry in entries or ():
-        key, place = _HEAD.unpack_from(entry)
-        if key == second:
-            found[place] = np.frombuffer(entry, "<u4", offset=_HEAD.size).astype(np.int32)
-    return found
+def _own_ids(entries: pa.Array, unit: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of one text in a row, and by place where its ids start there and how many they are."""
+    head = 4 // unit.itemsize
+    if entries is None or not len(entries):
+        return np.zeros(0, unit), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    offsets = np.frombuffer(entries.buffers()[1], np.int32)[entries.offset: entries.offset + len(entries) + 1].astype(np.int64)
+    data = np.frombuffer(entries.buffers()[2], np.uint8)[offsets[0]: offsets[-1]].view(unit)
+    bounds = (offsets - offsets[0]) // unit.itemsize
+    places = data[bounds[:-1, None] + np.arange(head)].view("<u4").ravel()
+    starts, sizes = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+    starts[places], sizes[places] = bounds[:-1] + head, np.diff(bounds) - head
+    return data, starts, sizes
 
 
 def _codes(frequent: Frequent):
@@ -224,25 +244,29 @@ def _codes(frequent: Frequent):
     known, ordered, number = len(frequent.starts) - 1, frequent.hashes, frequent.numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
-                hashes = words.hashes()
-                here, at = _found(ordered, hashes)
-                numbers = np.full(len(hashes), -1, np.int64)
-                numbers[here] = number[at[here]]
-                codes, rest = [], []
-                for a, b in zip(words.first[:-1], words.first[1:]):
-                    own = numbers[a:b]
+                # A hash is looked up once per slice.
+                kinds, distinct = pd.factorize(words.hashes())
+                here, at = _found(ordered, distinct)
+                numbers_of = np.full(len(distinct), -1, np.int64)
+                numbers_of[here] = number[at[here]]
+                numbers = numbers_of[kinds]
+                places = np.flatnonzero(numbers < 0)
+                data, bounds = words.data.tobytes(), np.searchsorted(places, words.first).tolist()
+                spans = list(zip(words.starts[places].tolist(), words.ends[places].tolist()))
+                codes, rest, ends = [], [], [0]
+                for a, b, first, last in zip(words.first[:-1], words.first[1:], bounds, bounds[1:]):
                     rare: dict[bytes, int] = {}
-                    for i in np.flatnonzero(own < 0):
-                        word = words.data[words.starts[a + i]: words.ends[a + i]].tobytes()
-                        own[i] = known + rare.setdefault(word, len(rare))
-                    codes.append(zstandard.ZstdCompressor(level=1).compress(packed(own)))
-                    rest.append([w.decode() for w in rare])
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("doc_id", "text_key", "second_key")), pa.array(codes, pa.binary()),
-                     pa.array(rest, pa.list_(pa.string()))], ["doc_id", "text_key", "second_key", "codes", "rare"])
+                    numbers[places[first:last]] = [known + rare.setdefault(data[x:y], len(rare)) for x, y in spans[first:last]]
+                    codes.append(compress(packed(numbers[a:b])))
+                    rest += rare
+                    ends.append(len(rest))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest, pa.binary()).cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(codes, pa.binary()), lists],
+                                                 ["doc_id", "row", "codes", "rare"])
     return run
 
 
@@ -250,26 +274,27 @@ _OUT = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string
 
 
 def _assemble(frequent: Frequent, pieces: list[str], with_texts: bool):
-    frequent_ids, frequent_starts, known = frequent.ids, frequent.starts, len(frequent.starts) - 1
-    decimals = [str(i) for i in range(len(pieces))]
+    frequent_ids, frequent_starts = frequent.ids, frequent.starts
+    decimals, unit = [str(i) for i in range(len(pieces))], _unit(len(pieces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decompress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
-                rows = []
-                for doc_id, second, codes, rare in zip(*(batch.slice(first, 64).column(c).to_pylist()
-                                                         for c in ("doc_id", "second_key", "codes", "rare"))):
-                    numbers = unpacked(zstandard.ZstdDecompressor().decompress(codes))
-                    own = _own_ids(rare, second)
-                    lists = [own[i] for i in range(len(own))]
-                    starts, sizes = _bounds(frequent_starts, lists, numbers)
+                rows, part = [], batch.slice(first, 64)
+                for doc_id, codes, rare in zip(part.column("doc_id").to_pylist(), part.column("codes").to_pylist(), part.column("rare")):
+                    numbers = unpacked(decompress(codes))
+                    own, own_starts, own_sizes = _own_ids(rare.values, unit)
+                    starts, sizes = _bounds(frequent_starts, own_starts, own_sizes, numbers)
                     ends = np.cumsum(sizes)
                     at = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
-                    ids = np.empty(len(at), np.int32)
                     common = at < len(frequent_ids)
-                    ids[common] = frequent_ids[at[common]]
-                    if lists:
-                        ids[~common] = np.concatenate(lists)[at[~common] - len(frequent_ids)]
+                    if common.all():
+                        ids = frequent_ids[at]
+                    else:
+                        ids = np.empty(len(at), np.int32)
+                        ids[common] = frequent_ids[at[common]]
+                        ids[~common] = own[at[~common] - len(frequent_ids)]
                     chosen = ids.tolist()
                     ids_text = " ".join([decimals[i] for i in chosen])
                     decoded = " ".join([pieces[i] for i in chosen])
@@ -282,17 +307,19 @@ def _assemble(frequent: Frequent, pieces: list[str], with_texts: bool):
     return run
 
 
-def _bounds(frequent_starts: np.ndarray, lists: list[np.ndarray], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the ids of each word start in the frequent ids followed by ``lists``, and how many they are."""
+def _bounds(frequent_starts: np.ndarray, own_starts: np.ndarray, own_sizes: np.ndarray,
+            numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the ids of each word start in the frequent ids followed by the text's own, and how many they are."""
     known = len(frequent_starts) - 1
-    own_sizes = np.array([len(x) for x in lists], np.int64)
-    own_starts = int(frequent_starts[-1]) + np.cumsum(own_sizes) - own_sizes
+    if not len(own_starts):
+        starts = frequent_starts[numbers].astype(np.int64)
+        return starts, frequent_starts[numbers + 1] - starts
     rare = numbers >= known
     starts, sizes = np.empty_like(numbers), np.empty_like(numbers)
     common = numbers[~rare]
     starts[~rare] = frequent_starts[common]
     sizes[~rare] = frequent_starts[common + 1] - frequent_starts[common]
-    starts[rare], sizes[rare] = own_starts[numbers[rare] - known], own_sizes[numbers[rare] - known]
+    starts[rare], sizes[rare] = int(frequent_starts[-1]) + own_starts[numbers[rare] - known], own_sizes[numbers[rare] - known]
     return starts, sizes
 
 
@@ -303,8 +330,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     ``ids`` are the decimal ids joined by spaces, ``decoded`` the pieces of those ids
     joined by spaces.
     """
-    # Two hashes, one of them with the id, tell texts apart.
-    rows = texts(docs, id_col, text_col).withColumn("text_key", F.xxhash64("doc_id", "text"))
+    rows = texts(docs, id_col, text_col)
     # Written by word, so that only the rare words of texts move to it later.
     table = bucketed(word_table(rows, tokenizer_path), "words", "word")
     top, others = most_frequent(table, frequent)
@@ -312,16 +338,15 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     by_id = [""] * (pieces.column("id")[-1].as_py() + 1)
     for i, piece in zip(pieces.column("id").to_pylist(), pieces.column("piece").to_pylist()):
         by_id[i] = piece
-    checked = rows.withColumn("second_key", F.xxhash64(F.lit("second"), "text"))
-    kinds = "doc_id bigint, text_key bigint, second_key bigint, codes binary, rare array<string>"
     words = table.agg(F.sum("n")).first()[0] or 0
-    # Texts are coded once and written by their key, so that they wait there for the ids of their rare words.
-    coded = bucketed(checked.mapInArrow(_codes(top), kinds), "codes", "text_key", max(8, min(100_000, words // BUCKET_WORDS)))
-    rare = coded.select("text_key", "second_key", F.posexplode("rare").alias("place", "word"))
-    found = rare.join(others.select("word", "ids"), "word").select("text_key", "second_key", "place", "ids")
-    found = settled(found.mapInArrow(_entries, "text_key bigint, entry binary"), "rare_words")
-    # A repeated row brings its rare words again; each place of a text is taken once.
-    by_text = found.groupBy(F.col("text_key").alias("found_key")).agg(F.collect_set("entry").alias("rare"))
-    joined = coded.select("doc_id", "text_key", "second_key", "codes").join(by_text, F.col("text_key") == F.col("found_key"), "left")
+    # Texts are coded once and written by the number of their row, so that they wait there for the ids of their rare words.
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    coded = bucketed(numbered.mapInArrow(_codes(top), "doc_id bigint, row bigint, codes binary, rare array<string>"),
+                     "codes", "row", max(8, min(100_000, words // BUCKET_WORDS)))
+    rare = coded.select("row", F.posexplode("rare").alias("place", "word"))
+    found = rare.join(others.select("word", "ids"), "word").select("row", "place", "ids")
+    found = settled(found.mapInArrow(_entries(_unit(len(by_id))), "row bigint, entry binary"), "rare_words")
+    by_text = found.groupBy(F.col("row").alias("found_row")).agg(F.collect_list("entry").alias("rare"))
+    joined = coded.select("doc_id", "row", "codes").join(by_text, F.col("row") == F.col("found_row"), "left")
     out = _OUT + (", ids string, decoded string" if with_texts else "")
-    return joined.select("doc_id", "second_key", "codes", "rare").mapInArrow(_assemble(top, by_id, with_texts), out)
+    return joined.select("doc_id", "codes", "rare").mapInArrow(_assemble(top, by_id, with_texts), out)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -50,6 +51,27 @@ def test_numbers_survive_packing():
         assert wordtable.unpacked(wordtable.packed(np.array(numbers, np.int64))).tolist() == numbers
 
 
+@pytest.mark.parametrize("vocabulary, size", [(1 << 16, 2), ((1 << 16) + 1, 4)])
+def test_ids_of_a_rare_word_travel_in_as_few_bytes_as_the_vocabulary_needs(vocabulary, size):
+    unit = wordtable._unit(vocabulary)
+    ids = [[vocabulary - 1, 0, 7], [], [1], [5] * 300]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([9, 9, 9, 9], pa.int64()), pa.array([70_000, 0, 1, 2], pa.int32()), pa.array(ids, pa.list_(pa.int32()))], ["row", "place", "ids"])
+    entries = next(wordtable._entries(unit)(iter([batch]))).column("entry")
+    assert [len(e) for e in entries.to_pylist()] == [4 + size * len(x) for x in ids]
+    # Those of one text have places from 0 on, in any order; here they are a slice of a longer column.
+    data, starts, sizes = wordtable._own_ids(entries.slice(1), unit)
+    assert [data[a: a + n].tolist() for a, n in zip(starts, sizes)] == ids[1:]
+
+
+def test_repeated_rows_and_rare_words_keep_their_places(documents):
+    library, text = Tokenizer.from_file(WORD_BPE), "zq1 zq2\u00a0x zq1\x1czq3 zq2 zq1\vzq4"
+    rows = [(1, text, None, None), (1, text, None, None), (2, text, None, None), (3, None, None, None)]
+    found = wordtable.encode_decode(documents(rows), WORD_BPE, frequent=0).collect()
+    expected = {i: digest(" ".join(map(str, library.encode(t or "", add_special_tokens=False).ids))) for i, t, *_ in rows}
+    assert sorted((r.doc_id, r.ids_sha256) for r in found) == sorted((i, expected[i]) for i, *_ in rows)
+
+
 @pytest.mark.parametrize("chunk, overlap", [(65_536, 256), (300, 40), (64, 4)])
 def test_token_counts_as_the_library_gives_them(documents, messy_rows, chunk, overlap):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
